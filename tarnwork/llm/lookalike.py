@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.session import cut
+
 #: Letters of the Cyrillic and Greek alphabets and the Latin letters they look like.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -109,7 +111,8 @@ def consistent(text: Column) -> Column:
         for s in batches:
             yield pd.Series([t.apply(x) for x in s], index=s.index, dtype=object)
 
-    return F.when(text.rlike(r"[^\x00-\x7F]"), form(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
+    wide = text.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, form.asNondeterministic()(F.when(wide, text))).otherwise(text)
 
 
 def keyed_forms(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,7 +129,7 @@ def alike_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     documents, so a text with very many exact copies is never compared with itself. Each pair
     comes once; repeated ids give no pair with themselves.
     """
-    forms = keyed_forms(docs, key, text)
+    forms = cut(keyed_forms(docs, key, text))
     mixed = forms.groupBy("form_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi").select("form_hash")
     rows = forms.join(mixed, "form_hash", "left_semi")
     classes = rows.select("form_hash", "text_hash").distinct()
