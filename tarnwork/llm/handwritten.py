@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwork.functions.globs import glob_regex
 from tarnwork.functions.paths import ancestors, basename
 
 #: Directories that by convention hold other projects' files, as attribute lines.
@@ -93,27 +94,6 @@ def piece_marks(chunks: DataFrame) -> DataFrame:
     return chunks.select(*keep, "start_line", "text").mapInPandas(run, schema)
 
 
-def glob_regex(glob: str) -> str:
-    """An anchored expression for an attribute pattern relative to its directory; a pattern without `/` holds at any depth."""
-    anchored = "/" in glob.rstrip("/")
-    g = glob.strip("/") + ("/**" if glob.endswith("/") else "")
-    out, i = "", 0
-    while i < len(g):
-        if g.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif g.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif g[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif g[i] == "?":
-            out, i = out + "[^/]", i + 1
-        elif g[i] == "[" and (j := g.find("]", i + 2)) > 0:
-            out, i = out + "[" + ("^" if g[i + 1] in "!^" else "") + g[i + 1 + (g[i + 1] in "!^") : j].replace("\\", "\\\\") + "]", j + 1
-        else:
-            out, i = out + re.escape(g[i]), i + 1
-    return ("^" if anchored else "^(?:.*/)?") + out + "$"
-
-
 _glob = F.udf(glob_regex, T.StringType())
 
 
