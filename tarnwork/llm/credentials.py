@@ -36,6 +36,11 @@ PAIRED = re.compile(rf"(?P<q>[\"'`])(?P<name>{NAME})(?P=q)[ \t]*,[ \t]*(?P<value
 DEFINED = re.compile(rf"(?:#define|IDENTIFIED BY|PASSWORD|(?<=\s)--?[a-z-]*(?:password|passwd|token|secret|key)[a-z-]*)[ \t=]+(?:(?P<name>\w+)[ \t]+)?(?P<value>{PIECES})", re.I)
 BARE = re.compile(rf"(?P<name>{NAME})[\"'`]?(?:[ \t]*[:=][ \t]*|[ \t]+is[ \t]+)(?P<value>[^\s\"'`,;(){{}}\[\]<>|]{{4,}})")
 FLAG = re.compile(r"--?(?P<name>[a-z-]*(?:password|passwd|token|secret|api-key|apikey|pass))(?:=|[ \t]+)(?P<value>[^\s\"'`$,;(){}\[\]<>|-][^\s\"'`,;(){}\[\]<>|]{5,})")
+CALLED = re.compile(
+    r"(?:mysql\w*|mariadb\w*|sshpass)\b[^\n]*?\s-p[ \t]*(?P<q>[\"']?)(?P<value>[^\s\"'$-][^\s\"']{3,})(?P=q)|redis-cli\b[^\n]*?\s-a[ \t]+[\"']?(?P<redis>[^\s\"'$-][^\s\"']{3,})"
+    r"|curl\b[^\n]*?\s(?:-u|--user)[ \t]+[\"']?[\w.@-]+:(?P<user>[^\s\"'$][^\s\"']{3,})|\s(?:-H|--header)[ \t]+[\"'](?P<name>[\w-]*(?:auth|key|token|secret|pass)[\w-]*)[ \t]*:[ \t]*(?P<header>[^\s\"']{4,})[\"']",
+    re.I,
+)
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----BEGIN)[\s\S]){0,12000}?)(?:-----END [A-Z0-9 ]+-----|\Z)")
 STARTS = re.compile(rf"(?<![A-Za-z0-9_])(?:{ISSUED}[A-Za-z0-9_\-.]*|(?:AKIA|ASIA)[A-Z0-9]*|eyJ[A-Za-z0-9_\-]{{6,}}[A-Za-z0-9_\-.]*)")
 SCHEME = re.compile(r"\b(?P<how>Basic|Bearer|basic|bearer|BASIC|BEARER)[ \t]+(?P<value>[A-Za-z0-9+/_\-.~]{8,}={0,2})")
@@ -60,6 +65,7 @@ PLACEHOLDER = re.compile(
 FORM = re.compile(r"^(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z][a-z]+(?:-[A-Z][a-z]+)+|X(?:-[A-Za-z]+)+|[a-z]+(?:[./:][a-z]+)+|[a-z]+(?:_[a-z]+)*|[a-z]+(?:-[a-z]+)*|[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]*(?:[A-Z][a-z]+)*|[-\d.]+[a-z%]{0,2})$")
 UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+HEX = re.compile(r"^(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,}$|^(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{32,}$")
 CODE = {".py", ".js", ".ts", ".go", ".java", ".rs", ".c", ".h", ".sql", ".jsx", ".tsx", ".mjs"}
 COMMENT = re.compile(r"(?://|#|--|/\*|<!--|^\s*\*)")
 
@@ -87,6 +93,7 @@ def triggers() -> ahocorasick.Automaton:
     groups = {
         "name": ["pass", "pwd", "secret", "token", "cred", "auth", "key", "signing", "pw", "jwt", "cookie", "session", "identified by"],
         "url": ["://"],
+        "call": ["mysql", "mariadb", "sshpass", "redis-cli", "curl "],
         "scheme": ["basic ", "bearer ", "basic\t", "bearer\t"],
         "issued": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "pypi-", "xoxa-", "xoxb-", "xoxe-", "xoxp-", "xoxr-", "xoxs-", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "whsec_", "shpat_", "hvs.", "dop_v1_", "aiza", "sg.", "ya29.", "akia", "asia", "eyj"],
     }
@@ -98,7 +105,7 @@ def triggers() -> ahocorasick.Automaton:
 
 
 #: A name with `key` or `token` in it is common as a parameter; it matters only before a value.
-GIVES = re.compile(r"\w*[\"'`]?\]?[ \t]*(?:[:=,]|is[ \t])")
+GIVES = re.compile(r"\w*(?:[\"'`]?\]?[ \t]*(?:[:=,]|is[ \t])|[ \t]+[\"'`])")
 
 
 def hot_lines(text: str) -> Iterator[tuple[int, int, set[str]]]:
@@ -133,7 +140,8 @@ class Finder:
         return len(value) / max(1, len(next(self.encode([value]))))
 
     def odd(self, value: str) -> bool:
-        return self.per_token(value) < self.unnatural
+        """Few characters per subword, or a long run of hexadecimal digits, which happen to pair up in some vocabularies."""
+        return self.per_token(value) < self.unnatural or HEX.match(value) is not None
 
     def secret(self, value: str, kind: str) -> bool:
         """Whether a value under a name of this kind is a live secret."""
@@ -158,6 +166,8 @@ class Finder:
                 self.urls(text, start, end, found)
             if "scheme" in what:
                 self.schemes(text, start, end, found)
+            if "call" in what or "name" in what:
+                self.called(text, start, end, found)
             if "name" in what:
                 quoted = any(q in text[start : end + 200] for q in "\"'`")
                 if quoted:
@@ -224,6 +234,13 @@ class Finder:
             if good:
                 found.append((m.start("value"), m.end("value"), "authorization"))
 
+    def called(self, text: str, at: int, stop: int, found: list) -> None:
+        """Passwords and header values in the arguments of command-line tools."""
+        for m in CALLED.finditer(text, at, stop):
+            group = next(g for g in ("value", "redis", "user", "header") if m[g])
+            if self.secret(m[group], "password"):
+                found.append((m.start(group), m.end(group), "password"))
+
     def assigned(self, text: str, at: int, stop: int, found: list) -> None:
         """Quoted values, also in pieces, under a name or after a keyword."""
         for pattern in (ASSIGNED, PAIRED, DEFINED):
