@@ -58,7 +58,7 @@ SQL = {
     "events_coalesced": _E + "SELECT * FROM co",
     "events_stream": _E + "SELECT * FROM co",
     "events_pending": _E + "SELECT * FROM co WHERE \"at\" > TIMESTAMP '2024-01-10'",
-    "events_sessions": _E + """, s AS (SELECT *, CASE WHEN "at" - lag("at") OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY owner ORDER BY "at", seq)), i AS (SELECT *, sum(n) OVER (PARTITION BY owner ORDER BY "at", seq ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    "events_sessions": _E + """, s AS (SELECT *, CASE WHEN "at" - lag("at") OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY owner ORDER BY "at", seq, path)), i AS (SELECT *, sum(n) OVER (PARTITION BY owner ORDER BY "at", seq, path ROWS UNBOUNDED PRECEDING) AS k FROM s)
 SELECT owner, min("at") AS first, max("at") AS last, count(*) AS events FROM i GROUP BY owner, k""",
     "events_daily": _E + "SELECT owner, CAST(\"at\" AS DATE) AS day, count(*) AS seen, count(*) - count(DISTINCT path) AS coalesced FROM e GROUP BY 1, 2",
 }
