@@ -280,7 +280,7 @@ class Finder:
             out.append(text[at:s])
             part = text[s:e]
             if kind == "private_key":
-                part = re.sub(r"(-----[A-Z0-9 ]+-----)|(\\.)|[A-Za-z0-9+/=]", lambda m: m[0] if m[1] or m[2] else MASK, part)
+                part = re.sub(r"(-----[A-Z0-9 ]+-----)|(\\.)|([\"'`]\s*[+.,]?\s*[\"'`])|[A-Za-z0-9+/=]", lambda m: m[0] if m[1] or m[2] or m[3] else MASK, part)
             else:
                 part = re.sub(r"(\\.)|([\"'`][^\"'`]*[\"'`])|[^\s]", lambda m: m[0] if m[1] or m[2] else MASK, part)
             out.append(part)

@@ -23,7 +23,7 @@ class Language:
     before: tuple = ()
     lines: str = "none"  # none, ends (line ends may end a statement), all, blocks (indentation)
     names: str = r"[A-Za-z_$\x80-\U0010ffff][\w$]*"
-    numbers: str = r"(?:0[xXbBoO][0-9a-fA-F_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)[A-Za-z0-9_]*"
+    numbers: str = r"(?:0[xXbBoO][0-9a-fA-F_]+|(?:\d[\d_]*(?:\.(?![.A-Za-z_])[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[A-Za-z0-9_]*"
     goes_on: str = ""
     ender: str = ""
     extra: dict = field(default_factory=dict)
@@ -84,10 +84,10 @@ sub = starred ( ':' expr? ( ':' expr? )? )? | ':' expr? ( ':' expr? )? ;
 
 _JS_EXPR = r"""
 exprs = asg ( ',' asg )* ;
-asg = unit ( binop unit )* ( '?' asg ':' asg )? ( '=>' ( block | asg ) )? ;
+asg = unit ( binop unit )* ( '?' asg ':' asg )? ( ARROW '=>' ( block | asg ) )? ;
 unit = pre* prim post* ;
 pre = '+' | '-' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await' | 'new' | 'yield' '*'? | '++' | '--' | 'async' ;
-prim = id | N | S | 'this' | 'super' | 'import' | '(' args? ')' | '[' elems ']' | '{' props? '}' | 'async'? 'function' '*'? id? tparams? '(' params? ')' rtype? block | 'class' id? tparams? heritage classbody ;
+prim = id | N | S | 'this' | 'super' | 'import' | '(' args? ')' | '[' elems ']' | '{' props? '}' | 'async'? 'function' '*'? id? tparams? '(' params? ')' rtype? block | 'class' id? tparams? heritage classbody GENERIC ;
 post = '.' anyid | '?.' ( anyid | '(' args? ')' | '[' exprs ']' ) | '(' args? ')' | '[' exprs ']' | '++' | '--' TSPOST ;
 binop = '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' '>'* '='? | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&&' | '||' | '??' | '&' | '|' | '^' | '<<' | 'instanceof' | 'in'
   | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' ;
@@ -139,7 +139,7 @@ def _script(keys: str, soft: list[str], typed: bool) -> str:
     if typed:
         fill = {
             " TSPOST": "| '!' | 'as' type | 'satisfies' type | targs '(' args? ')'", "ARGTYPE": "'?'? ptype? ( '=' asg )?", "PMOD": "( 'public' | 'private' | 'protected' | 'readonly' | 'override' )*",
-            "ARGQ": "( '?' | '!' )?", "DEF": "'!'?", "TSEXPORT": "| tsdecl | 'async'? 'function' id tparams? '(' params? ')' rtype? end", "TSCLOSED": "| tsdecl | decor+ ( 'export' 'default'? )? class", "FNSIG": "| end",
+            "ARROW": "rtype?", "GENERIC": "| tparams '(' params? ')'", "ARGQ": "( '?' | '!' )?", "DEF": "'!'?", "TSEXPORT": "| tsdecl | 'async'? 'function' id tparams? '(' params? ')' rtype? end", "TSCLOSED": "| tsdecl | decor+ ( 'export' 'default'? )? class", "FNSIG": "| end",
             "ABSTRACT": "'declare'? 'abstract'?", "IMPLEMENTS": "( 'implements' type ( ',' type )* )?", "MMOD": "( 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare' )*",
             "SIGEND": "| end", "TYPEONLY": "'type'?", "TSOPEN": "| 'type' I tparams? '=' '|'? type | 'export' 'type' I tparams? '=' '|'? type | 'declare' ( 'var' | 'let' | 'const' ) decl",
         }
@@ -157,7 +157,7 @@ tmember = ( 'readonly' | 'get' | 'set' | '-' | '+' )* ( key '?'? ( tparams? '('
 tsdecl = 'declare'? ( 'interface' I tparams? ( 'extends' type ( ',' type )* )? '{' ( NL | ';' | ',' | tmember )* '}' | 'const'? 'enum' I '{' ( NL | I ( '=' asg )? | S ( '=' asg )? | ',' )* '}' | ( 'namespace' | 'module' ) ( I ( '.' I )* | S ) block ) ;
 """
     else:
-        fill = dict.fromkeys(["TSPOST", "ARGTYPE", "PMOD", "ARGQ", "DEF", "TSEXPORT", "TSCLOSED", "FNSIG", "ABSTRACT", "IMPLEMENTS", "MMOD", "SIGEND", "TYPEONLY", "TSOPEN"], "")
+        fill = dict.fromkeys(["ARROW", "GENERIC", "TSPOST", "ARGTYPE", "PMOD", "ARGQ", "DEF", "TSEXPORT", "TSCLOSED", "FNSIG", "ABSTRACT", "IMPLEMENTS", "MMOD", "SIGEND", "TYPEONLY", "TSOPEN"], "")
         for gone in (" tparams?", " rtype?", " ptype?", " targs?"):
             text = text.replace(gone, "")
     text = text.replace("( key | PRIV key )", "key").replace("PRIVATE_UNUSED = 'never' ;\n", "")
@@ -441,19 +441,20 @@ kw = 'if' | 'then' | 'elif' | 'else' | 'fi' | 'for' | 'while' | 'until' | 'do' |
 
 SQL = Language(
     strings=r"\$(?P<t>\w*)\$[\s\S]*?\$(?P=t)\$|'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`", comments=r"--[^\n]*|" + BLOCK_COMMENT, operators=r"<>|<=|>=|!=|\|\||::|->>|->|:=|<<|>>",
-    keywords="select from where group order by having limit offset join left right full inner outer cross on using as insert into values update set delete create table index view or replace unique if not exists drop alter add column primary key foreign references default null constraint check and in like ilike between is case when then else end union all distinct except intersect with asc desc begin commit rollback cast over partition",
+    keywords="select from where group order by having limit offset join left right full inner outer cross on using as insert into values update set delete create table index view or replace unique if not exists drop alter add column primary key foreign references default null constraint check and in like ilike between is case when then else end union all distinct except intersect with asc desc begin commit rollback cast over partition grant revoke analyze explain vacuum pragma use call comment truncate declare execute do copy merge show describe lock start savepoint release reindex attach detach refresh",
     names=r"[A-Za-z_@#:\x80-\U0010ffff][\w$@#]*|\[[A-Za-z_]\w*\]",
     grammar=r"""
 file = ( stmt? ';' )* stmt? ;
 stmt = query | insert | 'update' name alias? 'set' asg ( ',' asg )* ( 'from' tables )? ( 'where' expr )? returning | 'delete' 'from' name alias? ( 'using' tables )? ( 'where' expr )? returning | create | 'drop' ( 'table' | 'index' | 'view' | I ) ( 'if' 'exists' )? names I?
   | 'alter' ( 'table' | I ) ( 'if' 'exists' )? name alters | ( 'begin' | 'commit' | 'rollback' ) I? | 'set' I I? ( '=' | I )? ( expr | 'on' )? ( ',' expr )* | other ;
-other = I words ;
+soft = 'grant' | 'revoke' | 'analyze' | 'explain' | 'vacuum' | 'pragma' | 'use' | 'call' | 'comment' | 'truncate' | 'declare' | 'execute' | 'do' | 'copy' | 'merge' | 'show' | 'describe' | 'lock' | 'start' | 'savepoint' | 'release' | 'reindex' | 'attach' | 'detach' | 'refresh' ;
+other = soft words ;
 words = word* ;
-word = I | N | S | '.' | ',' | '=' | '*' | kw | '(' ( word | ';' )* ')' ;
+word = I | N | S | soft | '.' | ',' | '=' | '*' | kw | '(' ( word | ';' )* ')' ;
 kw = 'on' | 'by' | 'like' | 'check' | 'references' | 'primary' | 'key' | 'limit' | 'having' | 'group' | 'order' | 'where' | 'join' | 'add' | 'drop' | 'replace' | 'unique' | 'constraint' | 'foreign' | 'create' | 'all' | 'table' | 'from' | 'select' | 'insert' | 'update' | 'delete' | 'in' | 'with' | 'as' | 'is' | 'null' | 'not' | 'default' | 'set' | 'if' | 'exists' | 'or' | 'and' | 'index' | 'column' | 'view' | 'into' | 'values' | 'using' | 'end' | 'begin' | 'case' | 'when' | 'then' | 'else' | 'for' ;
 names = name ( ',' name )* ;
-id = I | S | 'key' | 'index' | 'offset' | 'replace' | 'check' | 'begin' | 'end' | 'column' | 'partition' | 'view' | 'over' | 'left' | 'right' | 'default' | 'cast' | 'values' | 'set' | 'add' | 'if' ;
-name = ( I | S | 'key' | 'index' | 'column' | 'offset' | 'end' | 'begin' ) ( '.' id )* ;
+id = I | S | soft | 'key' | 'index' | 'offset' | 'replace' | 'check' | 'begin' | 'end' | 'column' | 'partition' | 'view' | 'over' | 'left' | 'right' | 'default' | 'cast' | 'values' | 'set' | 'add' | 'if' ;
+name = ( I | S | soft | 'key' | 'index' | 'column' | 'offset' | 'end' | 'begin' ) ( '.' id )* ;
 alias = 'as' id | I | S ;
 returning = ( I items )? ;
 insert = 'insert' ( 'or' ( 'replace' | I ) )? 'into' name alias? ( '(' cols ')' )? ( 'values' row ( ',' row )* | query | 'default' 'values' ) ( 'on' words )? returning ;

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tarnwork.llm.derivatives import MAX_TERMS, Grammar
 from tarnwork.llm.grammars import LANGUAGES, Language
 
-STRING, MAX_LINES = "\x01", 500_000
+STRING, JOINED, MAX_LINES = "\x01", "\x02", 500_000
 VERDICT = "ok boolean, line bigint, reason string"
 
 
@@ -41,12 +41,13 @@ class Parser:
     def plain(self, text: str, lines_stay: bool = False) -> str:
         """The text with S, N and I signs in place of strings, numbers and names, without comments."""
         lang = self.language
-        text = text.replace(STRING, "?").replace("\r\n", "\n")
+        text = text.replace(STRING, "?").replace(JOINED, "?").replace("\r\n", "\n")
+        end = JOINED if lang.lines == "blocks" else "\n"
         for pattern, new in lang.before:
-            text = pattern.sub(new if not lines_stay else lambda m, new=new: m.expand(new) + "\n" * (m[0].count("\n") - m.expand(new).count("\n")), text)
+            text = pattern.sub(new if not lines_stay else lambda m, new=new: m.expand(new) + end * (m[0].count("\n") - m.expand(new).count("\n")), text)
         if lines_stay:
             text = self.strip.sub(lambda m: m[1] or " " + "\n" * m[0].count("\n"), text)
-            text = self.strings.sub(lambda m: STRING + "\n" * m[0].count("\n") if lang.lines != "blocks" else STRING, text)
+            text = self.strings.sub(lambda m: STRING + end * m[0].count("\n"), text)
         else:
             text = self.strip.sub(r"\1 " if lang.lines != "blocks" else r"\1", text)
             text = self.strings.sub(STRING, text)
@@ -132,7 +133,12 @@ class Parser:
         state, empty = g.start, g.empty
         stack = [(0, 0)]
         depth = 0
+        joined = 0
         for n, row in enumerate(plain.split("\n")):
+            n += joined
+            if JOINED in row:
+                joined += row.count(JOINED)
+                row = row.replace(JOINED, "")
             line = row.strip()
             if not line:
                 continue
