@@ -88,7 +88,7 @@ def mix(sizes: DataFrame, key: str, targets: DataFrame, seed: int = 17, block_to
         shares = [x if x == x else 0.0 for x in part["share"]]
         for s, r, b in zip(part["source"], part["repeats"], apportion(shares, blocks, caps)):
             if b:
-                quota.append((name, s, int(r), b, max(1, min(4096, math.ceil(have[s] / shard_tokens)))))
+                quota.append((name, s, int(r), b, max(1, min(65_536, math.ceil(have[s] / shard_tokens)))))
     schema = "mix_name string, source string, repeats_max int, blocks bigint, shards int"
     quotas = spark.createDataFrame(quota, schema)
     draw = F.xxhash64(F.lit(seed), F.col(key))
