@@ -147,11 +147,8 @@ def not_hand_written(files: DataFrame, pieces: DataFrame, languages: list[str])
     key = ["project_id", "path"]
     listed = files.where(F.col("language").isin(languages) & F.col("project_id").isNotNull() & F.col("path").isNotNull())
     listed = listed.groupBy(*key).agg(F.max("content_hash").alias("content_hash"))
-    version = (
-        pieces.groupBy(*key, "file_hash", "chunk_id").agg(*[F.max(c).alias(c) for c in ("lines", "chars", "tight", "data", "shaped", "tool", "other", "code_hash")])
-        .groupBy(*key, "file_hash")
-        .agg(*[F.sum(c).alias(c) for c in ("lines", "chars", "tight", "data", "shaped")], *[F.max(c).alias(c) for c in ("tool", "other")], F.collect_set(F.struct("code_hash", "lines")).alias("codes"))
-    )
+    each = pieces.groupBy(*key, "file_hash", "chunk_id").agg(*[F.max(c).alias(c) for c in ("lines", "chars", "tight", "data", "shaped", "tool", "other", "code_hash")])
+    version = each.groupBy(*key, "file_hash").agg(*[F.sum(c).alias(c) for c in ("lines", "chars", "tight", "data", "shaped")], *[F.max(c).alias(c) for c in ("tool", "other")])
     current = Window.partitionBy(*key).orderBy(F.col("file_hash").eqNullSafe(F.col("content_hash")).desc(), "file_hash")
     file = listed.join(version, key, "left").withColumn("_r", F.row_number().over(current)).where("_r = 1").drop("_r")
     lines, chars = F.greatest(F.col("lines"), F.lit(1)), F.greatest(F.col("chars"), F.lit(1))
@@ -160,7 +157,8 @@ def not_hand_written(files: DataFrame, pieces: DataFrame, languages: list[str])
         .when(F.col("tight") > 0.5 * chars, "minified").when(F.col("data") > 0.5 * chars, "data").when(F.col("shaped") > 0.6 * lines, "shape")
     )
     file = file.withColumn("reason", reason)
-    codes = file.select(*key, "reason", "lines", F.explode("codes").alias("c")).select(*key, "reason", "lines", "c.code_hash", F.col("c.lines").alias("piece")).where("code_hash IS NOT NULL")
+    hashed = each.where("code_hash IS NOT NULL").select(*key, "file_hash", "code_hash", F.col("lines").alias("piece")).distinct()
+    codes = hashed.join(file.select(*key, "file_hash", "reason"), [*key, "file_hash"])
     foreign = codes.where("reason = 'other_project'").select("code_hash").distinct()
     copied = (
         codes.where("reason IS NULL").join(foreign, "code_hash", "left_semi").groupBy(*key).agg(F.sum("piece").alias("shared"))
@@ -169,7 +167,7 @@ def not_hand_written(files: DataFrame, pieces: DataFrame, languages: list[str])
     rules = attribute_rules(pieces.where("declared IS NOT NULL").select("project_id", "path", "declared").distinct())
     declared = declared_paths(listed, rules)
     known = (
-        file.drop("codes").join(copied, key, "left").join(declared, key, "left")
+        file.join(copied, key, "left").join(declared, key, "left")
         .withColumn("reason", F.coalesce("reason", F.when(F.col("shared") > 0.5 * lines, "copy"), F.when(F.col("path").rlike(convention), "convention")))
         .select(*key, "declared", "reason")
     )
