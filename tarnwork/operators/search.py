@@ -128,8 +128,13 @@ def ivf_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf and the row's length in words; rows without words have no postings."""
-    tokens = rows.select(F.col(key), words(F.col(text)).alias("_w"))
+    """term, key, tf and the row's length in words; rows without words have no postings.
+
+    Texts are shuffled by key before they are cut into words, so counting needs no second
+    shuffle and all postings of a row lie together: scores are complete within a task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, for texts are small beside the work on them
+    tokens = rows.select(F.col(key), F.col(text)).repartition(n, key).select(F.col(key), words(F.col(text)).alias("_w"))
     return tokens.select(key, F.size("_w").alias("doc_len"), F.explode("_w").alias("term")).groupBy("term", key, "doc_len").agg(F.count("*").alias("tf"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import search as S
 from tarnwork.operators.evaluation import best_per_file, mean_metrics, query_metrics
-from tarnwork.session import cut, table
+from tarnwork.session import cut, spread, table
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _asked(rows: DataFrame) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _weights(rows: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def search_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall at 10 of the list index against the exact search, per query."""
     rows = _vectors(spark, d).select("id", "vector")
     index, centres = S.ivf_index(rows, lists=16)
-    found = S.ivf_search(_asked(rows), cut(index), centres, 10, probes=10)
+    found = S.ivf_search(_asked(rows), cut(index), centres, 10, probes=12)
     exact = S.dense(_asked(rows), rows, 10)
     hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return hit.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
@@ -76,7 +76,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval quality of the lexical channel: relevant are rows of the query's project and kind, categories are kinds."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "project_id", "doc_kind")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "project_id", "doc_kind"))
     asked = docs.where(F.col("id") % 100 == 0)
     labels = asked.select(F.col("id").alias("query_id"), F.col("doc_kind").alias("category"), "project_id", "doc_kind").join(docs.select("id", "project_id", "doc_kind"), ["project_id", "doc_kind"]).select("query_id", "category", "id")
     hits = S.sparse(asked.select(F.col("id").alias("query_id"), "text"), _weights(docs), 10)
@@ -85,7 +85,7 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def best_rank_per_source(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the lexical channel deduplicated to the best rank per source."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("")).alias("file"))
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("")).alias("file")))
     hits = S.sparse(_asked(docs), _weights(docs), 50).join(docs.select("id", "file"), "id")
     return best_per_file(hits).select("query_id", "file", "rank")
 

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from tarnwork.functions.paths import canonical_path
 from tarnwork.operators.chunking import chunk_texts
 from tarnwork.operators.structural import structural_search
-from tarnwork.session import table
+from tarnwork.session import spread, table
 
 
 def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every document."""
-    docs = table(spark, d, "documents").withColumn("language", F.lit("markdown"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("language", F.lit("markdown"))
     return chunk_texts(docs, ["doc_id"], "text", "language").drop("text")
 
 
 def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Characters and lines that the pieces of each document give again."""
-    docs = table(spark, d, "documents").withColumn("language", F.lit("markdown"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("language", F.lit("markdown"))
     got = chunk_texts(docs, ["doc_id"], "text", "language")
     return got.groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("chars"), F.max("end_line").alias("lines"))
 
@@ -45,5 +45,5 @@ _PY = "p AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE lower(language) =
 QUERIES = {f.__name__: f for f in (chunked_documents, chunk_coverage, structural_calls, structural_imports)}
 SQL = {
     "chunk_coverage": "SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END AS lines FROM documents WHERE text IS NOT NULL AND text <> ''",
-    "structural_imports": rf"WITH {_PY}, m AS (SELECT unnest(regexp_extract_all(text, '(?m)^[ \t]*import[ \t]+([\w.]+)[ \t]*$', 1)) AS module FROM p) SELECT module, count(*) AS imports FROM m GROUP BY 1",
+    "structural_imports": rf"WITH {_PY}, m AS (SELECT unnest(regexp_extract_all(text, '(?m)^[ \t]*import[ \t]+([\w.]+)[ \t]*(?:;|$)', 1)) AS module FROM p) SELECT module, count(*) AS imports FROM m GROUP BY 1",
 }
