@@ -336,8 +336,8 @@ def check_syntax(files: DataFrame, chunks: DataFrame) -> DataFrame:
     number exactly chunk_count; the text is those pieces by start_line. `line` is the line of
     the failing token, null where the text ends too early (`truncated`).
 
-    Pieces are shuffled once by file and stream through the parser in order; a task holds one
-    file's text at a time. Repeated pieces and rows of files count once; null texts count as
+    Pieces are shuffled by file and stream through the parser in order; a task holds one file's
+    text at a time. Repeated pieces and rows of files count once; null texts count as
     empty, rows with a null key or language are not judged.
     """
     key = ["project_id", "path"]
@@ -347,6 +347,7 @@ def check_syntax(files: DataFrame, chunks: DataFrame) -> DataFrame:
         .groupBy(*key, "content_hash").agg(F.min("language").alias("language"), F.max("chunk_count").alias("chunk_count"))
     )
     pieces = chunks.select(*key, F.col("file_hash").alias("content_hash"), "chunk_id", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("text", F.lit("")).alias("text"))
+    pieces = pieces.dropDuplicates([*key, "content_hash", "chunk_id"])  # copies are dropped by the map side, before the shuffle
     met = pieces.join(wanted, [*key, "content_hash"]).repartition(*key, "content_hash").sortWithinPartitions(*key, "content_hash", "start_line", "chunk_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
