@@ -5,11 +5,19 @@ from __future__ import annotations
 import re
 
 #: Directory names that are never walked.
-EXCLUDED_DIRS = [".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target", ".idea", ".vscode"]
+EXCLUDED_DIRS = [
+    ".git", ".hg", ".svn", "node_modules", "dist", "build", "target", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".eggs", ".idea", ".vscode",
+]
 #: Names of files that hold secrets, as ignore patterns.
-SECRET_FILES = [".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "*.jks", "*.keystore", "id_rsa*", "id_dsa*", "id_ecdsa*", "id_ed25519*", ".netrc", ".npmrc", ".pypirc", ".htpasswd", "credentials", "credentials.json", "secrets.*", "*.kdbx", "*.asc", "*.gpg"]
+SECRET_FILES = [
+    ".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "*.jks", "*.keystore", "id_rsa*", "id_ed25519*", "id_ecdsa*", "id_dsa*", "*.ppk", "credentials*", ".netrc", ".npmrc", ".pypirc", "*.tfvars",
+    "secrets.*", "*.secret", "**/.aws/**", "**/.ssh/**",
+]
 #: Lock files that tools write.
-LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "uv.lock", "Cargo.lock", "composer.lock", "Gemfile.lock", "go.sum", "mix.lock", "flake.lock", "pubspec.lock", "npm-shrinkwrap.json"]
+LOCK_FILES = [
+    "uv.lock", "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "Cargo.lock", "poetry.lock", "Pipfile.lock", "go.sum", "composer.lock", "Gemfile.lock",
+    "packages.lock.json", "flake.lock",
+]
 
 
 def glob_regex(glob: str) -> str:

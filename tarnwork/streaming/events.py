@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Endings and beginnings of the files that editors write beside the real ones.
-NOISE = r"(?:~|\.sw[a-z]|\.tmp|\.bak|\.part|\.crdownload)$|(?:^|/)(?:\.#|#|\.~|4913$)"
+NOISE = r"(?:\.swp|\.swo|\.swx|~|\.tmp|\.part|\.crswap)$|(?:^|/)(?:\.#|#)[^/]*$|(?:^|/)4913$"
 
 
 def normalised(raw: DataFrame) -> DataFrame:
