@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm.credentials import find_credentials, redact
-from tarnwork.session import table
+from tarnwork.session import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_credentials(table(spark, d, "chunks")).select("chunk_id", "line_no")
+    chunks = spread(table(spark, d, "chunks").select("chunk_id", "file_path", "start_line", "text"))
+    return find_credentials(chunks).select("chunk_id", "line_no")
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:

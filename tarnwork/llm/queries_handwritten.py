@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.paths import canonical_path
 from tarnwork.llm.handwritten import not_hand_written, piece_marks
-from tarnwork.session import cut, table
+from tarnwork.session import cut, spread, table
 
 PROGRAMS = ["python", "javascript", "typescript", "go", "java", "rust", "c", "sql"]
 
 
 def _reasons(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "files").select("project_id", canonical_path(F.col("path")).alias("path"), "language", "content_hash")
-    chunks = table(spark, d, "chunks").select("project_id", canonical_path(F.col("file_path")).alias("path"), "file_hash", "chunk_id", "start_line", "text")
+    chunks = spread(table(spark, d, "chunks").select("project_id", "file_path", "file_hash", "chunk_id", "start_line", "text")).select("project_id", canonical_path(F.col("file_path")).alias("path"), "file_hash", "chunk_id", "start_line", "text")
     return not_hand_written(files, cut(piece_marks(chunks)), PROGRAMS)
 
 

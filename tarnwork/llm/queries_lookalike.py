@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm.lookalike import alike_pairs, consistent
-from tarnwork.session import table
+from tarnwork.session import spread, table
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return alike_pairs(table(spark, d, "documents"), "doc_id", "text")
+    return alike_pairs(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:

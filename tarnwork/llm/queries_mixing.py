@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwork.llm.mixing import mix, shares, sized
-from tarnwork.session import cut, table
+from tarnwork.session import cut, spread, table
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of every mix with their repeat counts."""
-    sizes = cut(sized(table(spark, d, "documents"), "doc_id", "text", "source"))
+    sizes = cut(sized(spread(table(spark, d, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source"))
     return mix(sizes, "doc_id", table(spark, d, "mix_targets"))
 
 

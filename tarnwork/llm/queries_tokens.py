@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm.tokens import encode_corpus
-from tarnwork.session import table
+from tarnwork.session import spread, table
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(table(spark, d, "documents"))
+    return encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p7_source_sizes(spark: SparkSession, d: str) -> DataFrame:
