@@ -91,7 +91,7 @@ def triggers() -> ahocorasick.Automaton:
     """What a line must hold for any of the patterns to match on it."""
     a = ahocorasick.Automaton()
     groups = {
-        "name": ["pass", "pwd", "secret", "token", "cred", "auth", "key", "signing", "pw", "jwt", "cookie", "session", "identified by"],
+        "name": ["pass", "pwd", "secret", "token", "cred", "auth", "key", "signing", "pw", "jwt", "cookie", "session", "bearer", "identified by"],
         "url": ["://"],
         "call": ["mysql", "mariadb", "sshpass", "redis-cli", "curl "],
         "scheme": ["basic ", "bearer ", "basic\t", "bearer\t"],
@@ -105,7 +105,16 @@ def triggers() -> ahocorasick.Automaton:
 
 
 #: A name with `key` or `token` in it is common as a parameter; it matters only before a value.
-GIVES = re.compile(r"\w*(?:[\"'`]?\]?[ \t]*(?:[:=,]|is[ \t])|[ \t]+[\"'`])")
+GIVES = re.compile(r"[\w.\-]*(?:[\"'`]?\]?[ \t]*(?:[:=,]|is[ \t])|[ \t]+[\"'`])")
+
+
+def option(low: str, last: int) -> bool:
+    """Whether the name that ends at `last` is an option, which may have blanks before its value."""
+    if low[last + 1 : last + 2] not in (" ", "\t"):
+        return False
+    while last >= 0 and "a" <= low[last] <= "z":
+        last -= 1
+    return last >= 0 and low[last] == "-"
 
 
 def hot_lines(text: str) -> Iterator[tuple[int, int, set[str]]]:
@@ -123,7 +132,7 @@ def hot_lines(text: str) -> Iterator[tuple[int, int, set[str]]]:
             end = text.find("\n", last)
             end = len(text) if end < 0 else end + 1
             what = set()
-        if kind not in what and (not common or GIVES.match(low, last + 1)):
+        if kind not in what and (not common or GIVES.match(low, last + 1) or option(low, last)):
             what.add(kind)
     if what:
         yield start, end, what

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tarnwork.llm.credentials import Finder, find_credentials, kind_of, redact
+from tarnwork.llm.credentials import ASSIGNED, BARE, DEFINED, FLAG, PAIRED, Finder, find_credentials, hot_lines, kind_of, redact
 from tarnwork.llm.tokens import vocabulary
 from tests.conftest import rows
 
@@ -82,3 +82,21 @@ def test_operator(spark):
     assert out.columns == df.columns and out.count() == 5
     assert [len(r.text) for r in out.where("chunk_id = 'd'").collect()] == [len(data[4][3])]
     assert find_credentials(df.where("1=0")).count() == 0
+
+
+ODD = "9f8Ab3kQz71LmPx0"
+LINES = [f"deploy --token {ODD}", f"deploy --api-key\t{ODD}", f"run -mytoken {ODD}", f"token.prod={ODD}", f"api-key-prod: {ODD}", f'"refresh-token-value": "{ODD}"', f'("signer.key.main", "{ODD}")', f'deploy --key "{ODD}"', f"bearer: {ODD}", f'bearer = "{ODD}"']
+
+
+@pytest.mark.parametrize("line", LINES)
+def test_the_line_filter_lets_through_what_the_patterns_match(finder, line):
+    text = f"echo a\n{line}\necho b\n"
+    assert len(finder.spans(text, ".sh")) == 1
+    hot = [(s, e) for s, e, what in hot_lines(text) if "name" in what]
+    for pattern in (ASSIGNED, PAIRED, DEFINED, BARE, FLAG):
+        for m in pattern.finditer(text):
+            assert not (m["name"] and kind_of(m["name"])) or any(s <= m.start() < e for s, e in hot)
+
+
+def test_the_line_filter_is_still_cheap_on_parameters():
+    assert not list(hot_lines("f(key)\nthe token was read\n"))
