@@ -29,11 +29,15 @@ HARMLESS = {"public", "sha", "sha1", "sha256", "sha512", "md5", "checksum", "com
 
 NAME = r"[A-Za-z_][\w.\-]{0,50}"
 QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
-JOIN = r"\s*(?:\+|\.\.?|\\)?\s*(?://[^\n]*)?\s*"
-PIECES = rf"(?:{QUOTED})(?:{JOIN}(?:{QUOTED}))*"
-ASSIGNED = re.compile(rf"(?P<name>{NAME})(?:[\"'`]?\]?)[ \t]*(?::[ \t]*[&\w<>?\[\]' |]{{1,30}}=|:=|=>|==?|:)[ \t]*(?:\(?\s*)(?:\w*\(?(?=[\"'`]))?(?P<value>{PIECES})")
-PAIRED = re.compile(rf"(?P<q>[\"'`])(?P<name>{NAME})(?P=q)[ \t]*,[ \t]*(?P<value>{PIECES})")
-DEFINED = re.compile(rf"(?:#define|IDENTIFIED BY|PASSWORD|(?<=\s)--?[a-z-]*(?:password|passwd|token|secret|key)[a-z-]*)[ \t=]+(?:(?P<name>\w+)[ \t]+)?(?P<value>{PIECES})", re.I)
+JOIN = r"\s*(?:(?:\+|\.\.?|\\)\s*)?(?://[^\n]*\s*)?"
+#: The first piece of a literal; MORE are those that follow, however many.
+FIRST = rf"(?:{QUOTED})"
+MORE = re.compile(rf"(?:{JOIN}(?:{QUOTED}))*")
+#: Where the value of a name may open on a later line than the name.
+OPENS = re.compile(r"\s*(?:\w+\(?|\()?[\"'`][^\n]*")
+ASSIGNED = re.compile(rf"(?P<name>{NAME})(?:[\"'`]?\]?)[ \t]*(?::[ \t]*[&\w<>?\[\]' |]{{1,30}}=|:=|=>|==?|:)[ \t]*(?:\(?\s*)(?:\w*\(?(?=[\"'`]))?(?P<value>{FIRST})")
+PAIRED = re.compile(rf"(?P<q>[\"'`])(?P<name>{NAME})(?P=q)[ \t]*,[ \t]*(?P<value>{FIRST})")
+DEFINED = re.compile(rf"(?:#define|IDENTIFIED BY|PASSWORD|(?<=\s)--?[a-z-]*(?:password|passwd|token|secret|key)[a-z-]*)[ \t=]+(?:(?P<name>\w+)[ \t]+)?(?P<value>{FIRST})", re.I)
 BARE = re.compile(rf"(?P<name>{NAME})[\"'`]?(?:[ \t]*[:=][ \t]*|[ \t]+is[ \t]+)(?P<value>[^\s\"'`,;(){{}}\[\]<>|]{{4,}})")
 FLAG = re.compile(r"--?(?P<name>[a-z-]*(?:password|passwd|token|secret|api-key|apikey|pass))(?:=|[ \t]+)(?P<value>[^\s\"'`$,;(){}\[\]<>|-][^\s\"'`,;(){}\[\]<>|]{5,})")
 CALLED = re.compile(
@@ -41,7 +45,8 @@ CALLED = re.compile(
     r"|curl\b[^\n]*?\s(?:-u|--user)[ \t]+[\"']?[\w.@-]+:(?P<user>[^\s\"'$][^\s\"']{3,})|\s(?:-H|--header)[ \t]+[\"'](?P<name>[\w-]*(?:auth|key|token|secret|pass)[\w-]*)[ \t]*:[ \t]*(?P<header>[^\s\"']{4,})[\"']",
     re.I,
 )
-BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----BEGIN)[\s\S]){0,12000}?)(?:-----END [A-Z0-9 ]+-----|\Z)")
+BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+END = re.compile(r"-----END [A-Z0-9 ]+-----")
 STARTS = re.compile(rf"(?<![A-Za-z0-9_])(?:{ISSUED}[A-Za-z0-9_\-.]*|(?:AKIA|ASIA)[A-Z0-9]*|eyJ[A-Za-z0-9_\-]{{6,}}[A-Za-z0-9_\-.]*)")
 SCHEME = re.compile(r"\b(?P<how>Basic|Bearer|basic|bearer|BASIC|BEARER)[ \t]+(?P<value>[A-Za-z0-9+/_\-.~]{8,}={0,2})")
 LOGIN = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://(?P<user>[^\s/@:\"'`<>]*):(?P<value>[^\s/@\"'`]+)@[^\s\"'`]*")
@@ -178,8 +183,8 @@ class Finder:
             if "call" in what or "name" in what:
                 self.called(text, start, end, found)
             if "name" in what:
-                quoted = any(q in text[start : end + 200] for q in "\"'`")
-                if quoted:
+                quoted = any(q in text[start:end] for q in "\"'`")
+                if quoted or OPENS.match(text, end):
                     self.assigned(text, start, end, found)
                 if not code or quoted or COMMENT.search(text, start, end):
                     self.bare(text, start, end, code, found)
@@ -194,20 +199,30 @@ class Finder:
         return merged
 
     def blocks(self, text: str, found: list) -> None:
-        for m in BLOCK.finditer(text):
-            body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m["body"])
-            if len(body) >= 40 and not PLACEHOLDER.search(m["body"][:200]) and self.odd(body[:200]):
-                found.append((m.start(), m.end(), "private_key"))
+        """Private keys of any length, from BEGIN to END or to the end of the text; a block in which another begins is none."""
+        for m in BEGIN.finditer(text):
+            other = text.find("-----BEGIN", m.end())
+            end = END.search(text, m.end(), len(text) if other < 0 else other + 5)
+            if end is None and other >= 0:
+                continue
+            whole = text[m.end() : end.start() if end else len(text)]
+            body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", whole)
+            if len(body) >= 40 and not PLACEHOLDER.search(whole[:200]) and self.odd(body[:200]):
+                found.append((m.start(), end.end() if end else len(text), "private_key"))
 
     def issued(self, text: str, at: int, stop: int, found: list) -> None:
         """Tokens that begin as a service issues them, also when the literal is put together from pieces."""
         for m in STARTS.finditer(text, at, stop):
-            end, value = m.end(), m[0]
+            end, parts, dots = m.end(), [m[0]], m[0].rstrip(".").count(".")
             listed = LISTED.search(text, at, m.start())
-            while (n := (NEXT_LISTED if listed else NEXT).match(text, end)) and len(value) < 400:
-                value += n["more"]
+            while n := (NEXT_LISTED if listed else NEXT).match(text, end):
+                if m[0].startswith("eyJ"):  # a JWT has two dots; what follows in the list is none of its pieces
+                    if listed and dots == 2 and (n["more"].startswith("eyJ") or "." in n["more"].rstrip(".")):
+                        break
+                    dots += n["more"].count(".")
+                parts.append(n["more"])
                 end = n.end()
-            value = value.rstrip(".")
+            value = "".join(parts).rstrip(".")
             if value.startswith(("AKIA", "ASIA")):
                 good = len(value) >= 16 and value.isupper() and any(c.isdigit() for c in value)
             elif value.startswith("eyJ"):
@@ -250,16 +265,22 @@ class Finder:
             if self.secret(m[group], "password"):
                 found.append((m.start(group), m.end(group), "password"))
 
+    def literals(self, pattern: re.Pattern, text: str, at: int, stop: int) -> Iterator[tuple[re.Match, int]]:
+        """Matches that begin before stop, and where the literal ends whose first piece they hold."""
+        opens = OPENS.match(text, stop)
+        limit = opens.end() if opens else stop
+        while at < stop and (m := pattern.search(text, at, limit)) and m.start() < stop:
+            at = MORE.match(text, m.end()).end()
+            yield m, at
+
     def assigned(self, text: str, at: int, stop: int, found: list) -> None:
         """Quoted values, also in pieces, under a name or after a keyword."""
         for pattern in (ASSIGNED, PAIRED, DEFINED):
-            for m in pattern.finditer(text, at, min(len(text), stop + 600)):
-                if m.start() >= stop:
-                    break
+            for m, end in self.literals(pattern, text, at, stop):
                 kind = kind_of(m["name"]) if m["name"] else "password" if re.match(r"(?i)identified|password", m[0]) else "secret"
                 if kind is None:
                     continue
-                pieces = [p for p in PIECE.finditer(text, m.start("value"), m.end("value")) if len(p[0]) > 2]
+                pieces = [p for p in PIECE.finditer(text, m.start("value"), end) if len(p[0]) > 2]
                 value = "".join(p[0][1:-1] for p in pieces)
                 if self.secret(value, kind):
                     found.append((pieces[0].start() + 1, pieces[-1].end() - 1, kind))
