@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -193,6 +195,8 @@ _FLOW = re.compile(r"\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^']|'')*'|[\[\]{},]|:(?=[\s,
 def yaml_tokens(text: str) -> Iterator[tuple[int, str]]:
     """(line, token) of block structure: KEY, DASH, VALUE, IN, OUT, DOC, flow brackets, BAD."""
     rows = text.replace("\r\n", "\n").lstrip("﻿").split("\n")
+    whole = "\n".join(rows)  # flow collections are read from here, each once and over any number of lines
+    begins = list(accumulate((len(row) + 1 for row in rows[:-1]), initial=0))
     stack: list[int] = []
     plain_at: int | None = None  # column beyond which a line continues the last plain value
     n = 0
@@ -281,34 +285,26 @@ def yaml_tokens(text: str) -> Iterator[tuple[int, str]]:
                 n += 1
             continue
         if rest[0] in "[{\"'":
-            chunk, depth, end = rest, 0, None
-            start = n
-            while True:
-                tokens, depth, end = [], 0, None
-                for m in _FLOW.finditer(chunk):
-                    t = m[0]
-                    if t == "\n" or (t[0] == "#" and (m.start() == 0 or chunk[m.start() - 1] in " \t\n")):
-                        continue
-                    if len(t) == 1 and t in "\"'":
-                        tokens.append("OPEN")
-                        break
-                    tokens.append(t if t in "[]{},:" else "VALUE")
-                    depth += (t in "[{") - (t in "]}")
-                    if depth <= 0:
-                        end = m.end()
-                        break
-                if end is not None or n >= len(rows):
-                    break
-                chunk += "\n" + rows[n]
-                n += 1
-                if n - start > 20_000:
+            start, depth, end = n, 0, None
+            row_end = row if row.endswith(rest) else row.rstrip()
+            for m in _FLOW.finditer(whole, begins[n - 1] + len(row_end) - len(rest)):
+                t = m[0]
+                if t == "\n" or (t[0] == "#" and whole[m.start() - 1] in " \t\n"):
+                    continue
+                if len(t) == 1 and t in "\"'":
+                    yield start, "BAD"
+                    return
+                yield start, t if t in "[]{},:" else "VALUE"
+                depth += (t in "[{") - (t in "]}")
+                if depth <= 0:
+                    end = m.end()
                     break
-            for t in tokens:
-                yield start, "BAD" if t == "OPEN" else t
             if end is None:
-                yield n, "BAD"
+                yield len(rows), "BAD"
                 return
-            if chunk[end:].strip() and not re.match(r"[ \t]+#|[ \t]*\n", chunk[end:]):
+            n = bisect_right(begins, end - 1)
+            tail = whole[end : begins[n - 1] + len(rows[n - 1])]
+            if tail.strip() and not re.match(r"[ \t]+#", tail):
                 yield n, "BAD"
                 return
             continue

@@ -102,3 +102,13 @@ def test_operator(spark):
     assert rows(v, "path", "ok", "reason") == [("a.py", False, "truncated"), ("b.go", True, None), ("big.py", True, None), ("nil.json", False, "truncated"), ("z.json", False, "truncated")]
     assert rows(failure_rates(v).where("language = 'json'"), "judged", "failing", "rate") == [(2, 2, 1.0)]
     assert check_syntax(spark.createDataFrame([], F_), spark.createDataFrame([], C_)).count() == 0
+
+
+def test_flow_collections_of_any_length():
+    n = 50_000
+    numbers = "[\n" + "  1, # x\n" * n + "]"
+    assert parser("yaml").judge(f"a: {numbers}\nb: 1\n") == (True, None, None)
+    assert parser("yaml").judge("{\n" + "".join(f'  "k{i}": [{i}, "a\n  b"],\n' for i in range(n)) + "}\n")[0]
+    assert parser("yaml").judge(f"a: {numbers}]\n") == (False, n + 2, "token")
+    assert not parser("yaml").judge(f"a: {numbers[:-1]}")[0]
+    assert parser("yaml").judge("a: [1, # x\n  'b\n  c' ]  # d\nb: [] \n- c\n")[1] == 5
