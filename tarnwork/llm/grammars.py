@@ -411,15 +411,9 @@ value = S | N | 'true' | 'false' | '[' NL* ( value NL* ( ',' NL* value NL* )* ',
 """,
 )
 
-BASH = Language(
-    strings=r"\$?\"(?:[^\"\\]|\\[\s\S])*\"|\$?'(?:[^'])*'", comments=r"(?:(?<=\s)|(?<=;)|(?<=\A))#[^\n]*", keywords="if then elif else fi for while until do done case in esac function select time",
-    operators=r";;&|;;|;&|&&|\|\||<<<|<<-|<<|>>|>&|<&|&>|\|&", lines="all",
-    numbers=r"(?!)",
-    before=(
-        (re.compile(r"<<-?[ \t]*(['\"]?)(\w+)\1([^\n]*)\n(?:[^\n]*\n)*?[ \t]*\2(?=\n|\Z)"), r"< w\3"), (re.compile(r"\\\n"), " "),
-        (re.compile(r"\$\(\((?:[^()]|\([^()]*\))*\)\)|\$\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|\$\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|`[^`]*`"), "w"),
-        (re.compile(r"\[\[ [^\n]*? \]\]"), "w"), (re.compile(r"\(\((?:[^()]|\([^()]*\))*\)\)"), "w"), (re.compile(r"(?<=[=])\((?:[^()]|\([^()]*\))*\)"), "w"),
-    ),
+BASH = Language(  # read by tarnwork.llm.shell, which replaces words, strings and expansions
+    strings=r"(?!)", comments=r"(?!)", keywords="if then elif else fi for while until do done case in esac function select time",
+    operators=r";;&|;;|;&|&&|\|\||<<<|<<-|<<|>>|>&|<&|&>|\|&|\[\[|\]\]|=\(", lines="all", numbers=r"(?!)",
     grammar=r"""
 file = sep* ( list )? ;
 sep = NL | ';' ;
@@ -429,7 +423,11 @@ andor = pipe ( ( '&&' | '||' ) NL* pipe )* ;
 pipe = 'time'? cmd ( ( '|' | '|&' ) NL* cmd )* ;
 redir = N? ( '<' | '>' | '>>' | '<<<' | '>&' | '<&' | '&>' ) ( I | S )+ ;
 cmd = simple | compound redir* ;
-simple = ( I | S | redir )+ ( I | S | redir | kw )* ( '(' ')' NL* compound redir* )? ;
+simple = ( I | S | redir | array | test )+ ( I | S | redir | array | test | kw )* ( '(' ')' NL* compound redir* )? ;
+array = '=(' ( I | kw | '{' | '}' | NL )* ')' ;
+test = '[[' cond ']]' ;
+cond = NL* unit ( ( '&&' | '||' ) NL* unit )* ;
+unit = I+ ( ( '<' | '>' ) I )? NL* | I* '(' cond ')' NL* ;
 compound = '{' NL* list '}' | '(' NL* list ')' | 'if' NL* list 'then' NL* list ( 'elif' NL* list 'then' NL* list )* ( 'else' NL* list )? 'fi'
   | 'for' ( I | kw | '(' ) ( NL* 'in' ( I | S | kw )* )? sep+ ( 'do' NL* list 'done' | '{' NL* list '}' ) | ( 'while' | 'until' ) NL* list 'do' NL* list 'done' | 'select' I 'in' ( I | S )* sep+ 'do' NL* list 'done'
   | 'case' ( I | S | kw )+ NL* 'in' NL* ( '('? pat ( '|' pat )* ')' NL* list? ( ( ';;' | ';;&' | ';&' ) NL* ) )* ( '('? pat ( '|' pat )* ')' NL* list )? 'esac'

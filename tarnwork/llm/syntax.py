@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm.derivatives import MAX_TERMS, Grammar
 from tarnwork.llm.grammars import LANGUAGES, Language
+from tarnwork.llm.shell import Unclosed, shell_parts
 
 STRING, JOINED, MAX_LINES = "\x01", "\x02", 500_000
 VERDICT = "ok boolean, line bigint, reason string"
@@ -55,8 +56,6 @@ class Parser:
             text = self.strings.sub(STRING, text)
         if lang is LANGUAGES["sql"]:
             text = text.lower()
-        if lang is LANGUAGES["bash"]:
-            return re.sub(r"[^\s;&|()<>]+", lambda m: m[0] if m[0] in self.words or m[0] in "{}" else "i", text)
         if self.numbers:
             text = self.numbers.sub("0", text)
         return self.names.sub("i", text)
@@ -84,6 +83,8 @@ class Parser:
             self.known.clear()
         if self.language.lines == "yaml":
             return self.yaml(text)
+        if self.language is LANGUAGES["bash"]:
+            return self.shell(text.replace("\r\n", "\n"))
         if text.startswith("﻿"):
             text = text[1:]
         at = self.lines(self.plain(text))
@@ -177,6 +178,22 @@ class Parser:
             state = g.derive(state, "OUT")
         return None if depth == 0 and g.nullable(state) else -1
 
+    def shell(self, text: str) -> tuple[bool, int | None, str | None]:
+        """A script and each command nested in it by the same grammar."""
+        try:
+            *nested, script = shell_parts(text.removeprefix("\ufeff"), self.words)
+        except Unclosed:
+            return False, None, "truncated"
+        bad = []
+        for rows in (*nested, script):
+            at = self.lines("\n".join(row for _, row in rows))
+            if at is not None:
+                bad.append(rows[at][0] if at >= 0 or rows is not script else None)
+        if not bad:
+            return True, None, None
+        lines = [n for n in bad if n is not None]
+        return (False, min(lines), "token") if lines else (False, None, "truncated")
+
     def yaml(self, text: str) -> tuple[bool, int | None, str | None]:
         g = self.grammar
         state = g.start
