@@ -69,7 +69,7 @@ def marks(text: str, first: bool) -> tuple:
     return len(lines), chars, tight, data, shaped, tool, other, digest
 
 
-MARKS = "lines bigint, chars bigint, tight bigint, data bigint, shaped bigint, tool boolean, other boolean, code_hash bigint, declared string"
+MARKS = "lines bigint, chars bigint, tight bigint, data bigint, shaped bigint, tool boolean, other boolean, code_hash bigint, declared string, first_line bigint"
 
 
 def piece_marks(chunks: DataFrame) -> DataFrame:
@@ -85,8 +85,9 @@ def piece_marks(chunks: DataFrame) -> DataFrame:
         for pdf in batches:
             texts = pdf["text"].fillna("")
             rows = [marks(t, f <= 1) for t, f in zip(texts, pdf["start_line"].fillna(1))]
-            got = pd.DataFrame(rows, columns=names[:-1], index=pdf.index).astype({"code_hash": "Int64"})
+            got = pd.DataFrame(rows, columns=names[:-2], index=pdf.index).astype({"code_hash": "Int64"})
             got["declared"] = [t if isinstance(p, str) and p.rpartition("/")[2] == ATTRIBUTES else None for p, t in zip(pdf["path"], texts)]
+            got["first_line"] = pdf["start_line"].fillna(1).astype("int64")
             yield pd.concat([pdf[keep], got], axis=1)
 
     kinds = dict(chunks.dtypes)
@@ -97,6 +98,21 @@ def piece_marks(chunks: DataFrame) -> DataFrame:
 _glob = F.udf(glob_regex, T.StringType())
 
 
+def declared_texts(files: DataFrame, pieces: DataFrame) -> DataFrame:
+    """project_id, path, declared: the whole text of each attribute file, its pieces in the order of their lines.
+
+    `files` gives the content_hash of each path, in any language. Of a listed attribute file only
+    the pieces of that content count; of one that is not listed those of one content, the
+    highest hash, since contents aren't mixed.
+    """
+    key = ["project_id", "path"]
+    found = pieces.where("declared IS NOT NULL").select(*key, "file_hash", F.struct("first_line", "chunk_id", "declared").alias("piece")).distinct()
+    whole = found.groupBy(*key, "file_hash").agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["declared"]), "").alias("declared"))
+    hashes = files.where(F.element_at(F.split("path", "/"), -1) == ATTRIBUTES).groupBy(*key).agg(F.max("content_hash").alias("content_hash"), F.lit(True).alias("listed"))
+    met = whole.join(hashes, key, "left").where(F.col("listed").isNull() | F.col("file_hash").eqNullSafe(F.col("content_hash")))
+    return met.groupBy(*key).agg(F.max_by("declared", F.coalesce("file_hash", F.lit(""))).alias("declared"))
+
+
 def attribute_rules(declared: DataFrame) -> DataFrame:
     """project_id, folder, depth, line, expression, value of each rule that marks paths as (not) generated or vendored."""
     lines = declared.select("project_id", F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("folder"), F.posexplode(F.split("declared", r"\r?\n")).alias("line", "rule"))
@@ -141,6 +157,7 @@ def not_hand_written(files: DataFrame, pieces: DataFrame, languages: list[str])
     generated or vendored is never reported.
 
     - The pieces of the file's current content count; without any, those of its latest other one.
+    - Attribute files count with their current content only and are read whole.
     - Repeated pieces count once. A file without pieces is judged by its path.
     - Rows with a null project or path are left out; a null language is not listed.
     """
@@ -164,7 +181,7 @@ def not_hand_written(files: DataFrame, pieces: DataFrame, languages: list[str])
         codes.where("reason IS NULL").join(foreign, "code_hash", "left_semi").groupBy(*key).agg(F.sum("piece").alias("shared"))
     )
     convention = "|".join(f"(?:{glob_regex(x.split()[0])})" for x in CONVENTION)
-    rules = attribute_rules(pieces.where("declared IS NOT NULL").select("project_id", "path", "declared").distinct())
+    rules = attribute_rules(declared_texts(files, pieces))
     declared = declared_paths(listed, rules)
     known = (
         file.join(copied, key, "left").join(declared, key, "left")

@@ -50,3 +50,14 @@ def test_mined_patterns(spark):
     known = [(f"p{i % 5}", f"src{i}/thirdparty_x/a{i}.py", True) for i in range(40)] + [(f"p{i % 5}", f"lib/a{i}.py", i % 2 == 0) for i in range(40)] + [("p1", f"only/one{i}.py", True) for i in range(40)] + [(f"p{i % 5}", f"a/m{i}_pb2.py", True) for i in range(30)]
     df = spark.createDataFrame(known, "project_id string, path string, known boolean")
     assert rows(mined_patterns(df)) == [("_pb2.py",), ("a/",), ("thirdparty_x/",)]
+
+
+def test_attribute_files_are_read_whole_and_in_their_current_content(spark):
+    files = [("p", x, "python", "h") for x in ("gen/a.py", "gen/mine.py", "lib/b.py", "lib/c.py", "old/d.py")] + [("p", ".gitattributes", None, "h"), ("p", "lib/.gitattributes", None, "h"), ("p", "old/.gitattributes", None, "empty"), ("q", "x/e.py", "python", "h")]
+    chunks = [("p", p, "h", p, 1, HAND, 0) for p in ("gen/a.py", "gen/mine.py", "lib/b.py", "lib/c.py", "old/d.py")] + [("q", "x/e.py", "h", "e", 1, HAND, 0)]
+    chunks += [("p", ".gitattributes", "h", "z1", 1, "# a\n# b\ngen/** linguist-generated\nlib/b.py lingu", 0), ("p", ".gitattributes", "h", "a2", 4, "ist-vendored\ngen/mine.py -linguist-generated\n", 0)] * 2
+    chunks += [("p", ".gitattributes", "was", "w", 1, "lib/c.py linguist-vendored\n", 0), ("p", "lib/.gitattributes", "was", "w2", 1, "c.py linguist-vendored\n", 0), ("p", "old/.gitattributes", "was", "w3", 1, "* linguist-vendored\n", 0)]
+    chunks += [("q", ".gitattributes", None, "n", None, "x/* linguist-generated\n", 0)]
+    pieces = piece_marks(spark.createDataFrame(chunks, C_)).cache()
+    got = rows(not_hand_written(spark.createDataFrame(files, F_), pieces, ["python"]), "path", "reason")
+    assert got == [("gen/a.py", "declared"), ("lib/b.py", "declared"), ("x/e.py", "declared")]

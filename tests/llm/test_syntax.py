@@ -114,7 +114,7 @@ def test_flow_collections_of_any_length():
     assert parser("yaml").judge("a: [1, # x\n  'b\n  c' ]  # d\nb: [] \n- c\n")[1] == 5
 
 
-SHELL_GOOD = ["echo it\\'s \\\" a\n", "x=$'it\\'s'\n", 'a="$(echo "b $(c "d")")"\n', "# don't `\necho ${x#*\"}\"} \"${y:-'}'}\"\n", "x=$(case $1 in a) echo \")\" ;; (b) c ;; esac)\n", "a=(1 \"b c\" [3]=x # don't (\n  $(d)\n)\nlocal -a b=()\n", "[[ $a =~ ^(x|y)+$ && ! ( -f b || c < d ) ]] || e\n", "while ! [[ -n $a &&\n  $b == *.@(c|d) ]]; do :; done < <(cat <<E\nit's $(\nE\n)\n", "for ((i = 0; i < $(n); i++)); do ((i > 1)) && echo $((i << 1)) $#; done\n", "((a) ; (b))\n", "x=`echo \\`a\\` \"b\"`\n", "find . -exec rm {} \;\n", "cat <<-'A' <<B\n\tit's\n\tA\n$(\nB\n"]
+SHELL_GOOD = ["echo it\\'s \\\" a\n", "x=$'it\\'s'\n", 'a="$(echo "b $(c "d")")"\n', "# don't `\necho ${x#*\"}\"} \"${y:-'}'}\"\n", "x=$(case $1 in a) echo \")\" ;; (b) c ;; esac)\n", "a=(1 \"b c\" [3]=x # don't (\n  $(d)\n)\nlocal -a b=()\n", "[[ $a =~ ^(x|y)+$ && ! ( -f b || c < d ) ]] || e\n", "while ! [[ -n $a &&\n  $b == *.@(c|d) ]]; do :; done < <(cat <<E\nit's $(\nE\n)\n", "for ((i = 0; i < $(n); i++)); do ((i > 1)) && echo $((i << 1)) $#; done\n", "((a) ; (b))\n", "x=`echo \\`a\\` \"b\"`\n", "find . -exec rm {} \\;\n", "cat <<-'A' <<B\n\tit's\n\tA\n$(\nB\n"]
 SHELL_BAD = ["echo \"${y:-it's}\"\n", "echo \"batch flu", "echo 'a\n", "echo $'a\\'\n", "echo `date\n", 'x="$(echo "a)"\n', "x=$(\n<<<<<<< HEAD\na\n=======\nb\n>>>>>>> x\n)\n", 'echo "$(if a; then b)"\n', "x=`for i in; do`\n", "a=(1\n<<<<<<< HEAD\n2\n>>>>>>> x\n)\n", "[[ a == b\n<<<<<<< HEAD\n]]\n", "[[ a && ]]\n", "[[ ( a ]]\n", "((i = 1)\n", "echo ${a\n", "cat <(echo |)\n"]
 
 
