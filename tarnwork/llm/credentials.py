@@ -1,4 +1,10 @@
-"""Credentials embedded in source code and configuration."""
+"""Credentials embedded in source code and configuration.
+
+Every string-like run of a text is measured first, in characters per subword of a public
+vocabulary. Only runs that are unnatural by that measure are looked at further; context then
+says how unnatural a value must be to count: a string that nothing explains more than one under
+the name of a secret, and that one more than one under the name of a password.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +14,23 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.tokens import encoder, vocabulary
+from tarnwork.llm.tokens import WORDS, load_ranks, vocabulary
 
-#: Characters per subword below which a string is not written by people; words and names lie above 3.
-UNNATURAL = 2.7
+#: Characters per subword below which a value may be a credential, by what its context says. Random
+#: strings lie below 1.9, code between 2 and 4, single words above 6.
+UNNATURAL = {"unnamed": 1.9, "secret": 2.7, "password": 6.0}
 MASK = "x"
+KNOWN_RUNS = 300_000
+
+#: A string-like run: what neither white space, quotes, brackets nor the signs around a value end.
+RUN = re.compile(r"[^\s\"'`,;(){}\[\]<>|=:@/\\]{4,}")
+#: Letters beside digits or signs, or digits alone: what a password has and a name in code has not.
+MIXED = re.compile(r"(?=.*[^\W\d_])(?=.*[^A-Za-z_.\-])|\d{6,}$|.*-\d+$")
 
 #: How tokens of public services begin.
 ISSUED = r"(?:gh[pousr]_|github_pat_|glpat-|npm_|pypi-|xox[abeprs]-|[sr]k_(?:live|test)_|whsec_|shpat_|hvs\.|dop_v1_|AIza|SG\.|ya29\.)"
@@ -69,14 +82,14 @@ PLACEHOLDER = re.compile(
 )
 FORM = re.compile(r"^(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z][a-z]+(?:-[A-Z][a-z]+)+|X(?:-[A-Za-z]+)+|[a-z]+(?:[./:][a-z]+)+|[a-z]+(?:_[a-z]+)*|[a-z]+(?:-[a-z]+)*|[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]*(?:[A-Z][a-z]+)*|[-\d.]+[a-z%]{0,2})$")
 UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
-WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 HEX = re.compile(r"^(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,}$|^(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{32,}$")
 CODE = {".py", ".js", ".ts", ".go", ".java", ".rs", ".c", ".h", ".sql", ".jsx", ".tsx", ".mjs"}
 COMMENT = re.compile(r"(?://|#|--|/\*|<!--|^\s*\*)")
 
 
 def words_of(name: str) -> list[str]:
-    return [w.lower() for w in WORDS.findall(name)]
+    return [w.lower() for w in NAME_WORDS.findall(name)]
 
 
 def kind_of(name: str) -> str | None:
@@ -91,111 +104,108 @@ def kind_of(name: str) -> str | None:
     return None
 
 
-@lru_cache(maxsize=1)
-def triggers() -> ahocorasick.Automaton:
-    """What a line must hold for any of the patterns to match on it."""
-    a = ahocorasick.Automaton()
-    groups = {
-        "name": ["pass", "pwd", "secret", "token", "cred", "auth", "key", "signing", "pw", "jwt", "cookie", "session", "bearer", "identified by"],
-        "url": ["://"],
-        "call": ["mysql", "mariadb", "sshpass", "redis-cli", "curl "],
-        "scheme": ["basic ", "bearer ", "basic\t", "bearer\t"],
-        "issued": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "pypi-", "xoxa-", "xoxb-", "xoxe-", "xoxp-", "xoxr-", "xoxs-", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "whsec_", "shpat_", "hvs.", "dop_v1_", "aiza", "sg.", "ya29.", "akia", "asia", "eyj"],
-    }
-    for what, words in groups.items():
-        for w in words:
-            a.add_word(w, (what, w in ("key", "token")))
-    a.make_automaton()
-    return a
-
-
-#: A name with `key` or `token` in it is common as a parameter; it matters only before a value.
-GIVES = re.compile(r"[\w.\-]*(?:[\"'`]?\]?[ \t]*(?:[:=,]|is[ \t])|[ \t]+[\"'`])")
-
-
-def option(low: str, last: int) -> bool:
-    """Whether the name that ends at `last` is an option, which may have blanks before its value."""
-    if low[last + 1 : last + 2] not in (" ", "\t"):
-        return False
-    while last >= 0 and "a" <= low[last] <= "z":
-        last -= 1
-    return last >= 0 and low[last] == "-"
-
-
-def hot_lines(text: str) -> Iterator[tuple[int, int, set[str]]]:
-    """(start, end, reasons) of the lines on which something may be found."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = re.sub(r"[A-Z]+", lambda m: m[0].lower(), text)
-    start = end = -1
-    what: set[str] = set()
-    for last, (kind, common) in triggers().iter(low):
-        if last >= end:
-            if what:
-                yield start, end, what
-            start = text.rfind("\n", 0, last) + 1
-            end = text.find("\n", last)
-            end = len(text) if end < 0 else end + 1
-            what = set()
-        if kind not in what and (not common or GIVES.match(low, last + 1) or option(low, last)):
-            what.add(kind)
-    if what:
-        yield start, end, what
+#: What a line must hold for a name on it to be one of a password or secret.
+TELLING = ("pass", "pwd", "secret", "token", "cred", "auth", "key", "signing", "pw", "jwt", "cookie", "session", "bearer", "identified by")
+BEGINNINGS = ("gh", "glpat-", "npm_", "pypi-", "xox", "k_live_", "k_test_", "whsec_", "shpat_", "hvs.", "dop_v1_", "aiza", "sg.", "ya29.", "akia", "asia", "eyj")
+TOOLS = ("mysql", "mariadb", "sshpass", "redis-cli", "curl", " -h", "\t-h", "--header")
+#: A literal that looks random whatever it is called: no base64 of full lines, no hexadecimal digits alone.
+RANDOM = re.compile(r"(?P<q>[\"'`])(?P<value>(?=[^\"'`\n]*[a-z])(?=[^\"'`\n]*[A-Z])(?=[^\"'`\n]*\d)[A-Za-z0-9_+/\-.~!#$%^&*]{20,64}={0,2})(?P=q)")
+EXPLAINED = re.compile(r"sha\d|md5|hash|digest|checksum|integrity|commit|revision|etag|fingerprint|uuid|guid|cert|public|oid\b|base64|data:|nonce|cursor|thumb|pixel|glyph|icon|image|font", re.I)
+
+
+@lru_cache(maxsize=2)
+def subwords(path: str) -> tiktoken.Encoding:
+    """The public vocabulary as an encoder, once per Python worker."""
+    return tiktoken.Encoding("public", pat_str=WORDS, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+class Runs(dict):
+    """run -> whether it may be (part of) a credential, by its characters per subword; worked out once per distinct run."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, run: str) -> bool:
+        if len(self) > KNOWN_RUNS:
+            self.clear()
+        rate = len(run) / len(self.encode(run))
+        odd = self[run] = rate < UNNATURAL["secret"] or (rate < UNNATURAL["password"] and MIXED.match(run) is not None)
+        return odd
 
 
 class Finder:
-    """Spans of credentials in one text, found by names, forms and characters per subword."""
+    """Credentials in one text, by characters per subword first and context second."""
 
-    def __init__(self, path: str, unnatural: float = UNNATURAL):
-        self.encode = encoder(path).encode
-        self.unnatural = unnatural
+    def __init__(self, path: str):
+        self.encode = subwords(path).encode_ordinary
+        self.runs = Runs(self.encode)
 
     def per_token(self, value: str) -> float:
-        return len(value) / max(1, len(next(self.encode([value]))))
+        return len(value) / max(1, len(self.encode(value)))
 
-    def odd(self, value: str) -> bool:
+    def odd(self, value: str, context: str = "secret") -> bool:
         """Few characters per subword, or a long run of hexadecimal digits, which happen to pair up in some vocabularies."""
-        return self.per_token(value) < self.unnatural or HEX.match(value) is not None
+        return self.per_token(value) < UNNATURAL[context] or HEX.match(value) is not None
 
     def secret(self, value: str, kind: str) -> bool:
         """Whether a value under a name of this kind is a live secret."""
-        if PLACEHOLDER.search(value) or UUID.match(value) or any(c.isspace() for c in value):
+        if PLACEHOLDER.search(value) or UUID.match(value) or any(c.isspace() for c in value) or not self.odd(value, kind):
             return False
         if kind == "password":
             return len(value) >= 4 and (not FORM.match(value) or (value.isdigit() and len(value) >= 6))
-        if len(value) < 12 or FORM.match(value) or len(set(value)) < 6:
-            return False
-        return self.odd(value)
+        return len(value) >= 12 and not FORM.match(value) and len(set(value)) >= 6
+
+    def odd_lines(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of the lines that hold an unnatural run and of the last line with content before each, in order."""
+        runs, end = self.runs, 0
+        for m in RUN.finditer(text):
+            if m.start() >= end and runs[m[0]]:
+                start = text.rfind("\n", 0, m.start()) + 1
+                if start > end:
+                    before = len(text[end:start].rstrip()) + end
+                    if before > end:
+                        yield text.rfind("\n", 0, before) + 1, text.index("\n", before) + 1
+                end = text.find("\n", m.end())
+                end = len(text) if end < 0 else end + 1
+                yield start, end
 
     def spans(self, text: str, suffix: str) -> list[tuple[int, int, str]]:
-        """(start, end, kind) of the secret parts, ordered; overlapping finds are one."""
-        found: list[tuple[int, int, str]] = []
+        """(start, end, kind) of the credentials, ordered; overlapping finds are one."""
+        return [(s, e, k) for s, e, k, _ in self.finds(text, suffix)]
+
+    def finds(self, text: str, suffix: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+        """As spans, each with the pieces of text that make it up, which are what a mask must cover."""
+        found: list[tuple[int, int, str, list[tuple[int, int]]]] = []
         if "PRIVATE KEY" in text:
             self.blocks(text, found)
         code = suffix in CODE
-        for start, end, what in hot_lines(text):
-            if "issued" in what:
+        for start, end in self.odd_lines(text):
+            line = text[start:end].lower()
+            if any(map(line.__contains__, BEGINNINGS)):
                 self.issued(text, start, end, found)
-            if "url" in what:
+            if "://" in line:
                 self.urls(text, start, end, found)
-            if "scheme" in what:
+            if "basic" in line or "bearer" in line:
                 self.schemes(text, start, end, found)
-            if "call" in what or "name" in what:
+            if any(map(line.__contains__, TOOLS)):
                 self.called(text, start, end, found)
-            if "name" in what:
-                quoted = any(q in text[start:end] for q in "\"'`")
+            quoted = '"' in line or "'" in line or "`" in line
+            if any(map(line.__contains__, TELLING)):
                 if quoted or OPENS.match(text, end):
                     self.assigned(text, start, end, found)
                 if not code or quoted or COMMENT.search(text, start, end):
                     self.bare(text, start, end, code, found)
+            if quoted:
+                self.unnamed(text, start, end, found)
         found.sort()
-        merged: list[tuple[int, int, str]] = []
-        for s, e, k in found:
+        merged: list[tuple[int, int, str, list[tuple[int, int]]]] = []
+        for s, e, k, parts in found:
             if merged and s < merged[-1][1]:
-                s0, e0, k0 = merged[-1]
-                merged[-1] = (s0, max(e, e0), k0)
+                s0, e0, k0, parts0 = merged[-1]
+                merged[-1] = (s0, max(e, e0), k0, parts0 if k0 == "private_key" else parts0 + parts)
             else:
-                merged.append((s, e, k))
+                merged.append((s, e, k, parts))
         return merged
 
     def blocks(self, text: str, found: list) -> None:
@@ -208,12 +218,13 @@ class Finder:
             whole = text[m.end() : end.start() if end else len(text)]
             body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", whole)
             if len(body) >= 40 and not PLACEHOLDER.search(whole[:200]) and self.odd(body[:200]):
-                found.append((m.start(), end.end() if end else len(text), "private_key"))
+                stop = end.end() if end else len(text)
+                found.append((m.start(), stop, "private_key", [(m.start(), stop)]))
 
     def issued(self, text: str, at: int, stop: int, found: list) -> None:
         """Tokens that begin as a service issues them, also when the literal is put together from pieces."""
         for m in STARTS.finditer(text, at, stop):
-            end, parts, dots = m.end(), [m[0]], m[0].rstrip(".").count(".")
+            end, parts, spans, dots = m.end(), [m[0]], [m.span()], m[0].rstrip(".").count(".")
             listed = LISTED.search(text, at, m.start())
             while n := (NEXT_LISTED if listed else NEXT).match(text, end):
                 if m[0].startswith("eyJ"):  # a JWT has two dots; what follows in the list is none of its pieces
@@ -221,6 +232,7 @@ class Finder:
                         break
                     dots += n["more"].count(".")
                 parts.append(n["more"])
+                spans.append(n.span("more"))
                 end = n.end()
             value = "".join(parts).rstrip(".")
             if value.startswith(("AKIA", "ASIA")):
@@ -231,21 +243,21 @@ class Finder:
                 rest = re.sub(rf"^{ISSUED}", "", value)
                 good = len(rest) >= 12 and len(set(rest)) >= 6 and self.odd(rest)
             if good and not PLACEHOLDER.search(value):
-                found.append((m.start(), end, "token"))
+                found.append((m.start(), end, "token", spans))
 
     def urls(self, text: str, at: int, stop: int, found: list) -> None:
         for m in LOGIN.finditer(text, at, stop):
-            if not PLACEHOLDER.search(m["value"]) and not PLACEHOLDER.search(m["user"]) and "{" not in m["value"]:
-                found.append((m.start("value"), m.end("value"), "url_login"))
+            if not PLACEHOLDER.search(m["value"]) and not PLACEHOLDER.search(m["user"]) and "{" not in m["value"] and self.odd(m["value"], "password"):
+                found.append((*m.span("value"), "url_login", [m.span("value")]))
         for pattern, kind in ((QUERY, "url_token"), (HOOK, "url_path")):
             for m in pattern.finditer(text, at, stop):
                 if not PLACEHOLDER.search(m["value"]) and not FORM.match(m["value"]) and self.odd(m["value"]):
-                    found.append((m.start("value"), m.end("value"), kind))
+                    found.append((*m.span("value"), kind, [m.span("value")]))
 
     def schemes(self, text: str, at: int, stop: int, found: list) -> None:
         for m in SCHEME.finditer(text, at, stop):
             value = m["value"]
-            if PLACEHOLDER.search(value):
+            if PLACEHOLDER.search(value) or not self.odd(value):
                 continue
             if m["how"].lower() == "basic":
                 try:
@@ -254,16 +266,16 @@ class Finder:
                 except (binascii.Error, ValueError):
                     good = False
             else:
-                good = len(value) >= 12 and not FORM.match(value) and self.odd(value)
+                good = len(value) >= 12 and not FORM.match(value)
             if good:
-                found.append((m.start("value"), m.end("value"), "authorization"))
+                found.append((*m.span("value"), "authorization", [m.span("value")]))
 
     def called(self, text: str, at: int, stop: int, found: list) -> None:
         """Passwords and header values in the arguments of command-line tools."""
         for m in CALLED.finditer(text, at, stop):
             group = next(g for g in ("value", "redis", "user", "header") if m[g])
             if self.secret(m[group], "password"):
-                found.append((m.start(group), m.end(group), "password"))
+                found.append((*m.span(group), "password", [m.span(group)]))
 
     def literals(self, pattern: re.Pattern, text: str, at: int, stop: int) -> Iterator[tuple[re.Match, int]]:
         """Matches that begin before stop, and where the literal ends whose first piece they hold."""
@@ -283,7 +295,7 @@ class Finder:
                 pieces = [p for p in PIECE.finditer(text, m.start("value"), end) if len(p[0]) > 2]
                 value = "".join(p[0][1:-1] for p in pieces)
                 if self.secret(value, kind):
-                    found.append((pieces[0].start() + 1, pieces[-1].end() - 1, kind))
+                    found.append((pieces[0].start() + 1, pieces[-1].end() - 1, kind, [(p.start() + 1, p.end() - 1) for p in pieces]))
 
     def bare(self, text: str, at: int, stop: int, code: bool, found: list) -> None:
         """Values without quotes: configuration, shell, prose, comments and text inside a literal."""
@@ -301,20 +313,36 @@ class Finder:
                         continue
                 if re.match(r"[A-Za-z_][\w.]*\(", text[m.start("value") : m.end("value") + 1]):
                     continue
-                found.append((m.start("value"), m.start("value") + len(value), kind))
-
-    def masked(self, text: str, spans: list[tuple[int, int, str]]) -> str:
-        """The text with letters and digits of the spans masked; length, lines, quotes and escapes stay."""
+                at_value = (m.start("value"), m.start("value") + len(value))
+                found.append((*at_value, kind, [at_value]))
+
+    def unnamed(self, text: str, at: int, stop: int, found: list) -> None:
+        """Literals that are random by their subwords alone, unless the line explains them or they are lines of a block of data."""
+        near = [m for m in RANDOM.finditer(text, at, stop) if self.odd(m["value"], "unnamed") and not UUID.match(m["value"]) and not PLACEHOLDER.search(m["value"])]
+        if not near or len(near) > 2 or EXPLAINED.search(text, at, stop):
+            return
+        for side in (text[text.rfind("\n", 0, max(0, at - 1)) + 1 : at], text[stop : (text.find("\n", stop) + 1 or len(text))]):
+            if any(len(r) >= 20 and self.odd(r, "unnamed") for r in RUN.findall(side)):
+                return
+        for m in near:
+            found.append((*m.span("value"), "unnamed", [m.span("value")]))
+
+    def masked(self, text: str, finds: list[tuple[int, int, str, list[tuple[int, int]]]]) -> str:
+        """The text with the pieces of the finds masked, quotes inside them too; length, lines, escapes and what joins the pieces stay."""
         out, at = [], 0
-        for s, e, kind in spans:
-            out.append(text[at:s])
-            part = text[s:e]
-            if kind == "private_key":
-                part = re.sub(r"(-----[A-Z0-9 ]+-----)|(\\.)|([\"'`]\s*[+.,]?\s*[\"'`])|[A-Za-z0-9+/=]", lambda m: m[0] if m[1] or m[2] or m[3] else MASK, part)
-            else:
-                part = re.sub(r"(\\.)|([\"'`][^\"'`]*[\"'`])|[^\s]", lambda m: m[0] if m[1] or m[2] else MASK, part)
-            out.append(part)
-            at = e
+        for _, _, kind, parts in finds:
+            for s, e in sorted(parts):
+                if e <= at:
+                    continue
+                s = max(s, at)
+                out.append(text[at:s])
+                part = text[s:e]
+                if kind == "private_key":
+                    part = re.sub(r"(-----[A-Z0-9 ]+-----)|(\\.)|([\"'`]\s*[+.,]?\s*[\"'`])|[A-Za-z0-9+/=]", lambda m: m[0] if m[1] or m[2] or m[3] else MASK, part)
+                else:
+                    part = re.sub(r"(\\[\s\S])|\S", lambda m: m[0] if m[1] else MASK, part)
+                out.append(part)
+                at = e
         return "".join(out) + text[at:]
 
 
@@ -354,6 +382,6 @@ def redact(chunks: DataFrame, vocab: str | None = None) -> DataFrame:
     def mask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         finder = Finder(vocab)
         for paths, texts in batches:
-            yield pd.Series([finder.masked(t, finder.spans(t, _suffix(p))) if t else t for p, t in zip(paths, texts)], index=texts.index, dtype=object)
+            yield pd.Series([finder.masked(t, finder.finds(t, _suffix(p))) if t else t for p, t in zip(paths, texts)], index=texts.index, dtype=object)
 
     return chunks.withColumn("text", mask("file_path", "text"))
