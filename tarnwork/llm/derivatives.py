@@ -88,52 +88,101 @@ class Grammar:
             return b
         if b == self.eps:
             return a
-        t = self.terms[a]
-        if t[0] == SEQ:
-            return self.term((SEQ, t[1], self.seq(t[2], b)))
-        return self.term((SEQ, a, b))
+        heads = []
+        while self.terms[a][0] == SEQ:
+            _, head, a = self.terms[a]
+            heads.append(head)
+        node = self.term((SEQ, a, b))
+        for head in reversed(heads):
+            node = self.term((SEQ, head, node))
+        return node
 
     def alt(self, *nodes: int) -> int:
+        """Any of the terms. Those that begin alike are joined behind their common beginning,
+
+        so that brackets in which two readings go on side by side deepen a term on its right
+        only, and a step inside them costs the same at every depth.
+        """
         flat = set()
         for n in nodes:
             t = self.terms[n]
             flat.update(t[1] if t[0] == ALT else (n,))
         flat.discard(self.empty)
+        if len(flat) > 1:
+            tails: dict[int, list[int]] = {}
+            for n in flat:
+                t = self.terms[n]
+                head, tail = (t[1], t[2]) if t[0] == SEQ else (n, self.eps)
+                tails.setdefault(head, []).append(tail)
+            if len(tails) < len(flat):
+                flat = {self.seq(head, rest[0] if len(rest) == 1 else self.alt(*rest)) for head, rest in tails.items()}
         if not flat:
             return self.empty
         return flat.pop() if len(flat) == 1 else self.term((ALT, frozenset(flat)))
 
     def nullable(self, i: int) -> bool:
-        known = self.ends.get(i)
-        if known is None:
-            t = self.terms[i]
+        ends, waiting = self.ends, [i]
+        while waiting:
+            n = waiting[-1]
+            if n in ends:
+                waiting.pop()
+                continue
+            t = self.terms[n]
             kind = t[0]
-            known = self.ends[i] = (
-                kind in (EPS, STAR) or (kind == SEQ and self.nullable(t[1]) and self.nullable(t[2]))
-                or (kind == ALT and any(map(self.nullable, t[1]))) or (kind == RULE and self.can_end[t[1]])
-            )
-        return known
+            if kind in (SEQ, ALT):
+                parts = t[1:] if kind == SEQ else t[1]
+                known = [ends.get(x) for x in parts]
+                decided = (False in known) if kind == SEQ else (True in known)
+                if not decided and None in known:
+                    waiting.extend(x for x, k in zip(parts, known) if k is None)
+                    continue
+                ends[n] = decided if kind == ALT else not decided
+            else:
+                ends[n] = kind in (EPS, STAR) or (kind == RULE and self.can_end[t[1]])
+            waiting.pop()
+        return ends[i]
 
     def derive(self, i: int, token: str) -> int:
-        """What may follow after the token; the empty term if it cannot stand here."""
-        key = (i, token)
-        known = self.steps.get(key)
-        if known is None:
-            known = self.steps[key] = self._derive(i, token)
-        return known
-
-    def _derive(self, i: int, token: str) -> int:
-        t = self.terms[i]
-        kind = t[0]
-        if kind == TOKEN:
-            return self.eps if t[1] == token else self.empty
-        if kind == SEQ:
-            rest = self.seq(self.derive(t[1], token), t[2])
-            return self.alt(rest, self.derive(t[2], token)) if self.nullable(t[1]) else rest
-        if kind == ALT:
-            return self.alt(*[self.derive(x, token) for x in t[1]])
-        if kind == STAR:
-            return self.seq(self.derive(t[1], token), i)
-        if kind == RULE:
-            return self.derive(self.rules[t[1]], token)
-        return self.empty
+        """What may follow after the token; the empty term if it cannot stand here.
+
+        Terms whose derivative waits for that of their parts lie on a list, so nesting of any
+        depth needs no deeper calls.
+        """
+        steps = self.steps
+        known = steps.get((i, token))
+        if known is not None:
+            return known
+        waiting = [i]
+        while waiting:
+            n = waiting[-1]
+            if (n, token) in steps:
+                waiting.pop()
+                continue
+            t = self.terms[n]
+            kind = t[0]
+            if kind == SEQ:
+                parts = t[1:] if self.nullable(t[1]) else t[1:2]
+            elif kind == ALT:
+                parts = tuple(t[1])
+            else:
+                parts = (t[1],) if kind == STAR else (self.rules[t[1]],) if kind == RULE else ()
+            late = [x for x in parts if (x, token) not in steps]
+            if late:
+                waiting.extend(late)
+                continue
+            after = [steps[x, token] for x in parts]
+            if kind == TOKEN:
+                done = self.eps if t[1] == token else self.empty
+            elif kind == SEQ:
+                done = self.seq(after[0], t[2])
+                if len(after) > 1:
+                    done = self.alt(done, after[1])
+            elif kind == ALT:
+                done = self.alt(*after)
+            elif kind == STAR:
+                done = self.seq(after[0], n)
+            else:
+                done = after[0] if kind == RULE else self.empty
+            steps[n, token] = done
+            waiting.pop()
+        return steps[i, token]

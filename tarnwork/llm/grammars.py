@@ -36,47 +36,58 @@ PYTHON = Language(
     operators=r"\*\*=|//=|<<=|>>=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=",
     lines="blocks",
     names=r"[A-Za-z_\x80-\U0010ffff]\w*",
-    before=((re.compile(r"\\\n"), " "), (re.compile(r"^([ \t]*)(?:match|case)\b(?=[ \t]+[^=\n]*:[ \t]*(?:#[^\n]*)?$)", re.M), r"\1while"), (re.compile(r"^([ \t]*)type(?=[ \t]+\w+[^=\n]*=)", re.M), r"\1del")),
+    numbers=r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:{d}\.(?:{d})?|\.{d})(?:[eE][+-]?{d})?[jJ]?|{d}(?:[eE][+-]?{d})[jJ]?|{d}[jJ]|(?:[1-9](?:_?\d)*|0(?:_?0)*))(?!(?!(?:if|else|and|or|in|is|not|for)\b)\w)".replace("{d}", r"\d(?:_?\d)*"),
+    before=((re.compile(r"\\\n"), " "), (re.compile(r"^([ \t]*)(?:match\b(?=[ \t]+[^=\n]*:[ \t]*(?:#[^\n]*)?$)|case\b(?=[ \t]+(?!(?:in|is|and|or|if|not|else)\b)[^\s=:.,)\]+*/%&|^<>!][^\n]*:))", re.M), r"\1while"), (re.compile(r"^([ \t]*)type(?=[ \t]+\w+[^=\n]*=)", re.M), r"\1del")),
     grammar=r"""
 file = ( NL | stmt )* ;
 stmt = small ( ';' small )* ';'? NL | compound ;
-small = exprs ( ':' expr )? ( '=' exprs )* | exprs augop exprs | 'return' exprs? | 'raise' ( expr ( 'from' expr )? )? | 'pass' | 'break' | 'continue'
-  | 'import' dotted alias? ( ',' dotted alias? )* | 'from' ( '.' | '...' )* dotted? 'import' ( '*' | '(' I alias? ( ',' I alias? )* ','? ')' | I alias? ( ',' I alias? )* )
-  | ( 'global' | 'nonlocal' ) I ( ',' I )* | 'del' exprs ( '=' exprs )? | 'assert' expr ( ',' expr )? ;
+small = exprs | ( targets '=' )+ exprs | target1 ':' expr ( '=' exprs )? | target1 augop exprs | 'return' exprs? | 'raise' ( expr ( 'from' expr )? )? | 'pass' | 'break' | 'continue'
+  | 'import' dotted alias? ( ',' dotted alias? )* | 'from' ( ( '.' | '...' )+ dotted? | dotted ) 'import' ( '*' | '(' I alias? ( ',' I alias? )* ','? ')' | I alias? ( ',' I alias? )* )
+  | ( 'global' | 'nonlocal' ) I ( ',' I )* | 'del' targets ( '=' exprs )? | 'assert' expr ( ',' expr )? ;
 augop = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '**=' | '>>=' | '<<=' | '&=' | '|=' | '^=' | '@=' ;
 dotted = I ( '.' I )* ;
 alias = 'as' I ;
 block = NL IN ( NL | stmt )+ OUT | small ( ';' small )* ';'? NL ;
 compound = 'if' named ':' block ( 'elif' named ':' block )* ( 'else' ':' block )? | 'while' named ( ',' named )* ( 'if' named )? alias? ':' block ( 'else' ':' block )?
   | for | with | def | class | 'async' ( def | for | with ) | '@' named NL ( '@' named NL )* ( 'async'? def | class )
-  | 'try' ':' block ( ( 'except' '*'? ( exprs alias? )? ':' block )+ ( 'else' ':' block )? ( 'finally' ':' block )? | 'finally' ':' block ) ;
+  | 'try' ':' block ( ( 'except' '*'? ( expr alias? )? ':' block )+ ( 'else' ':' block )? ( 'finally' ':' block )? | 'finally' ':' block ) ;
 for = 'for' targets 'in' exprs ':' block ( 'else' ':' block )? ;
 targets = target ( ',' target )* ','? ;
-target = '*'? atom trailer* ;
-with = 'with' item ( ',' item )* ':' block ;
+target = '*'? target1 ;
+target1 = I | '(' targets? ')' | '[' targets? ']' | atom trailer* ( '.' I | '[' subs ']' ) ;
+with = 'with' ( item ( ',' item )* | '(' item ( ',' item )* ','? ')' ) ':' block ;
 item = expr ( 'as' target )? ;
 def = 'def' I tparams? '(' params? ')' ( '->' expr )? ':' block ;
 class = 'class' I tparams? ( '(' args? ')' )? ':' block ;
 tparams = '[' subs ']' ;
-params = param ( ',' param )* ','? ;
-param = ( '*' | '**' )? I ( ':' expr )? ( '=' expr )? | '*' | '/' ;
+params = pos ( ',' rest )? ','? | rest ','? ;
+pos = plain ( ',' plain )* ( ',' '/' ( ',' plain )* ( ',' given )* | ( ',' given )+ ( ',' '/' ( ',' given )* )? )? | given ( ',' given )* ( ',' '/' ( ',' given )* )? ;
+rest = '*' I ( ':' starred )? ( ',' keyed )* ( ',' last )? | '*' ( ',' keyed )+ ( ',' last )? | last ;
+last = '**' I ( ':' expr )? ;
+plain = I ( ':' expr )? ;
+given = I ( ':' expr )? '=' expr ;
+keyed = I ( ':' expr )? ( '=' expr )? ;
 exprs = starred ( ',' starred )* ','? ;
 starred = '*'? named | yield ;
 yield = 'yield' ( 'from' expr | exprs )? ;
 named = expr ( ':=' expr )? ;
 expr = 'lambda' lparams? ':' expr | unary ( binop unary )* ( 'if' expr 'else' expr )? ;
-lparams = lparam ( ',' lparam )* ','? ;
-lparam = ( '*' | '**' )? I ( '=' expr )? | '*' | '/' ;
+lparams = lpos ( ',' lrest )? ','? | lrest ','? ;
+lpos = I ( ',' I )* ( ',' '/' ( ',' I )* ( ',' lgiven )* | ( ',' lgiven )+ ( ',' '/' ( ',' lgiven )* )? )? | lgiven ( ',' lgiven )* ( ',' '/' ( ',' lgiven )* )? ;
+lgiven = I '=' expr ;
+lrest = '*' I ( ',' I ( '=' expr )? )* ( ',' '**' I )? | '*' ( ',' I ( '=' expr )? )+ ( ',' '**' I )? | '**' I ;
 unary = ( '-' | '+' | '~' | 'not' | 'await' )* atom trailer* ;
 binop = '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^' | '<' | '>' | '<=' | '>=' | '==' | '!=' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' 'not'? ;
-atom = I | N | S+ | '...' | '(' inner? ')' | '[' inner? ']' | '{' dict? '}' ;
+atom = I | N | ( S | fields )+ | '...' | '(' inner? ')' | '[' inner? ']' | '{' ( pairs | inner )? '}' ;
+fields = FS ( '(' exprs ')' )* FE ;
 inner = starred ( comp+ | ( ',' starred )* ','? ) ;
 comp = 'async'? 'for' targets 'in' unary ( binop unary )* ( 'if' unary ( binop unary )* )* ;
-dict = entry ( comp+ | ( ',' entry )* ','? ) ;
-entry = '**' expr | starred ( ':' expr )? ;
+pairs = expr ':' expr comp+ | pair ( ',' pair )* ','? ;
+pair = '**' expr | expr ':' expr ;
 trailer = '.' I | '(' args? ')' | '[' subs ']' ;
-args = arg ( comp+ | ( ',' arg )* ','? ) ;
-arg = ( '*' | '**' ) expr | named ( '=' expr )? ;
+args = named comp+ | arg ( ',' arg )* ( ',' karg )* ','? | karg ( ',' karg )* ','? ;
+arg = '*' expr | named ;
+karg = I '=' expr | '**' expr | '*' expr ;
 subs = sub ( ',' sub )* ','? ;
 sub = starred ( ':' expr? ( ':' expr? )? )? | ':' expr? ( ':' expr? )? ;
 """,
@@ -218,7 +229,8 @@ unary = pre* prim post* lit? post* ;
 cunary = pre* prim post* ;
 pre = '-' | '+' | '!' | '^' | '*' | '&' | '<-' ;
 binop = '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>>' | '&^' | '&&' | '||' | '==' | '!=' | '<' | '<=' | '>' | '>=' ;
-prim = I | N | S | '(' ( expr | type ) ')' | 'func' sig block | ctype lit? ;
+prim = I | N | S | '(' ( expr | bare ) ')' | 'func' sig block | ctype lit? ;
+bare = '*' type | '[' ( expr | '...' )? ']' type | 'map' '[' type ']' type | '<-'? 'chan' '<-'? type | 'func' sig | 'struct' '{' ( end | field end )* field? '}' | 'interface' '{' ( end | method end )* method? '}' ;
 ctype = '[' ( expr | '...' )? ']' type | 'map' '[' type ']' type | 'struct' '{' ( end | field end )* field? '}' | 'interface' '{' '}' | 'chan' type ;
 lit = '{' ( elem ( ',' NL? elem )* )? ','? NL? '}' ;
 elem = ( expr | lit ) ( ':' ( expr | lit ) )? ;
@@ -459,7 +471,9 @@ insert = 'insert' ( 'or' ( 'replace' | I ) )? 'into' name alias? ( '(' cols ')'
 cols = id ( ',' id )* ;
 row = '(' ( expr | 'default' ) ( ',' ( expr | 'default' ) )* ')' ;
 asg = ( name | '(' cols ')' ) '=' ( expr | 'default' ) ;
-query = ( 'with' I? cte ( ',' cte )* )? ( qterm ( ( 'union' | 'except' | 'intersect' ) ( 'all' | 'distinct' )? qterm )* ( 'order' 'by' orders )? ( 'limit' expr ( ( 'offset' | ',' ) expr )? | 'offset' expr )* | insert ) ;
+query = ( 'with' I? cte ( ',' cte )* )? ( qterm more | insert ) ;
+more = ( ( 'union' | 'except' | 'intersect' ) ( 'all' | 'distinct' )? qterm )* ( 'order' 'by' orders )? ( 'limit' expr ( ( 'offset' | ',' ) expr )? | 'offset' expr )* ;
+inner = 'with' I? cte ( ',' cte )* ( qterm more | insert ) | ( select | 'values' row ( ',' row )* ) more | exprs more ;
 cte = id ( '(' cols ')' )? 'as' ( 'not'? I )? '(' stmt ')' ;
 qterm = select | '(' query ')' | 'values' row ( ',' row )* ;
 select = 'select' ( 'all' | 'distinct' ( 'on' '(' exprs ')' )? )? items ( 'into' name )? ( 'from' tables )? ( 'where' expr )? ( 'group' 'by' exprs )? ( 'having' expr )? ;
@@ -473,10 +487,10 @@ talias = 'as'? ( I | S ) ( '(' cols ')' )? ;
 orders = ord ( ',' ord )* ;
 ord = expr ( 'asc' | 'desc' )? ( I I )? ;
 exprs = expr ( ',' expr )* ;
-expr = unit ( op unit | 'is' 'not'? ( 'null' | 'distinct' 'from' unit | I ) | 'not'? 'in' ( '(' ( query | exprs )? ')' | unit ) | 'not'? 'between' unit | I unit )* ;
+expr = unit ( op unit | 'is' 'not'? ( 'null' | 'distinct' 'from' unit | I ) | 'not'? 'in' ( '(' inner? ')' | unit ) | 'not'? 'between' unit | I unit )* ;
 op = '+' | '-' | '*' | '/' | '%' | '<' | '>' | '=' | '<=' | '>=' | '<>' | '!=' | '||' | '->' | '->>' | '&' | '|' | '^' | '~' | 'and' | 'or' | 'not'? ( 'like' | 'ilike' ) ;
 unit = ( '-' | '+' | 'not' | '~' | 'distinct' | 'exists' )* prim post* ;
-prim = N | S | 'null' | 'default' | name ( '(' ( '*' | 'distinct'? exprs ( 'order' 'by' orders )? )? ')' )? ( S )? | 'case' expr? ( 'when' expr 'then' expr )+ ( 'else' expr )? 'end' | 'cast' '(' expr 'as' type ')' | '(' ( query | exprs ) ')' | ( 'replace' | 'left' | 'right' | 'if' | 'values' ) '(' exprs ')' | '?' | '$' N ;
+prim = N | S | 'null' | 'default' | name ( '(' ( '*' | 'distinct'? exprs ( 'order' 'by' orders )? )? ')' )? ( S )? | 'case' expr? ( 'when' expr 'then' expr )+ ( 'else' expr )? 'end' | 'cast' '(' expr 'as' type ')' | '(' inner ')' | ( 'replace' | 'left' | 'right' | 'if' | 'values' ) '(' exprs ')' | '?' | '$' N ;
 post = '::' type | 'over' ( id | '(' ( 'partition' 'by' exprs )? ( 'order' 'by' orders )? words ')' ) | '[' expr ( ':' expr )? ']' | '.' '*' ;
 type = I I? I? I? ( '(' N ( ',' N )? ')' )? ( 'with' I I | I I I )? ( '[' ']' )* ;
 create = 'create' ( 'or' 'replace' )? I? ( table | 'unique'? 'index' I? ( 'if' 'not' 'exists' )? name? 'on' name ( 'using' I )? '(' orders ')' ( 'where' expr )? words | 'view' ( 'if' 'not' 'exists' )? name ( '(' cols ')' )? 'as' query | I words ) | 'create' ( 'or' 'replace' )? I words ;

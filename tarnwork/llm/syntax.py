@@ -17,9 +17,114 @@ from tarnwork.llm.grammars import LANGUAGES, Language
 from tarnwork.llm.shell import Unclosed, shell_parts
 
 STRING, JOINED, MAX_LINES = "\x01", "\x02", 500_000
+#: Begin and end of a string with fields, and what stands for one whose fields are not closed.
+FIELDS, CLOSED, BROKEN = "\x03", "\x04", "\x05"
+SIGNS = str.maketrans(dict.fromkeys(STRING + JOINED + FIELDS + CLOSED + BROKEN, "?"))
 VERDICT = "ok boolean, line bigint, reason string"
 
 
+CLASSES = {"i": "I", "0": "N", STRING: "S", FIELDS: "FS", CLOSED: "FE"}
+FIELD_STRING = re.compile(r"(?<![A-Za-z0-9_])(?P<kind>[fF][rR]?|[rR][fF])(?P<quote>\"\"\"|\'\'\'|\"|\')")
+_SCAN = re.compile(rf"#[^\n]*|{FIELD_STRING.pattern}|{LANGUAGES['python'].strings}")
+_INSIDE = re.compile(FIELD_STRING.pattern + "|" + LANGUAGES["python"].strings + r"|#[^\n]*|[()\[\]{}:!=\n]|[\"']")
+
+
+def unfold_fields(text: str, lines_stay: bool) -> str:
+    """Python text whose f-strings are replaced by their fields, each an expression in brackets between FIELDS and CLOSED.
+
+    One that isn't closed, or has an open, empty or single closing brace, becomes BROKEN.
+    """
+    out, at = [], 0
+    for m in iter(lambda: _SCAN.search(text, at), None):
+        if not m["quote"]:
+            out.append(text[at : m.end()])
+            at = m.end()
+            continue
+        got, end = _fields(text, m.end(), m["quote"], "r" in m["kind"].lower(), lines_stay)
+        out += [text[at : m.start()], got]
+        at = end
+    return "".join(out) + text[at:]
+
+
+def _fields(text: str, at: int, quote: str, raw: bool, lines_stay: bool) -> tuple[str, int]:
+    """What replaces an f-string whose content begins at `at`, and where it ends."""
+    out, size = [FIELDS], len(text)
+    while at < size:
+        c = text[at]
+        if text.startswith(quote, at):
+            return "".join(out) + CLOSED, at + len(quote)
+        if c == "\n":
+            if len(quote) == 1:
+                return BROKEN, at
+            out.append(JOINED if lines_stay else "")
+        elif c == "\\":
+            if not raw and text.startswith("\\N{", at):
+                at = max(text.find("}", at), at)
+            else:
+                at += 1
+                if lines_stay and text[at : at + 1] == "\n":
+                    out.append(JOINED)
+        elif c in "{}":
+            if text.startswith(c + c, at):
+                at += 1
+            elif c == "}":
+                return BROKEN, at + 1
+            else:
+                got, at = _field(text, at + 1, quote, raw, lines_stay)
+                out.append(got)
+                if got == BROKEN:
+                    return BROKEN, at
+                continue
+        at += 1
+    return BROKEN, size
+
+
+def _field(text: str, at: int, quote: str, raw: bool, lines_stay: bool) -> tuple[str, int]:
+    """The expression of one field in brackets, then those of its format; `at` is behind the opening brace."""
+    parts, depth = ["("], 0
+    while m := _INSIDE.search(text, at):
+        t = m[0]
+        parts.append(text[at : m.start()])
+        at = m.end()
+        if m["quote"]:
+            got, at = _fields(text, at, m["quote"], "r" in m["kind"].lower(), lines_stay)
+            parts.append(got)
+        elif t == "\n" and len(quote) == 1 and depth == 0 or t in ("'", '"'):
+            break
+        elif depth == 0 and (t in "}:" or (t == "!" and text[at : at + 1] != "=")):
+            whole = "".join(parts)
+            if whole[-1:] == "=" and whole[-2:-1] not in ("=", "!", "<", ">"):
+                whole = whole[:-1]
+            if not whole[1:].strip():
+                return BROKEN, at
+            whole += ")"
+            if t == "!":
+                kind = re.compile(r"\s*[rsa]\s*").match(text, at)
+                if not kind or text[kind.end() : kind.end() + 1] not in ("}", ":"):
+                    return BROKEN, at
+                at = kind.end() + 1
+                t = text[at - 1]
+            while t == ":":
+                stop = re.compile(r"[{}]|\n" if len(quote) == 1 else r"[{}]").search(text, at)
+                if not stop or stop[0] == "\n":
+                    return BROKEN, at
+                whole += JOINED * text.count("\n", at, stop.start()) if lines_stay else ""
+                at = stop.end()
+                if stop[0] == "}":
+                    break
+                got, at = _field(text, at, quote, raw, lines_stay)
+                if got == BROKEN:
+                    return BROKEN, at
+                whole += got
+            return whole, at
+        else:
+            depth += (t in "([{" and len(t) == 1) - (t in ")]}" and len(t) == 1)
+            if depth < 0:
+                break
+            parts.append(t)
+    return BROKEN, min(at, len(text))
+
+
 class Parser:
     """Judges texts of one language by derivatives over their lines.
 
@@ -44,7 +149,9 @@ class Parser:
     def plain(self, text: str, lines_stay: bool = False) -> str:
         """The text with S, N and I signs in place of strings, numbers and names, without comments."""
         lang = self.language
-        text = text.replace(STRING, "?").replace(JOINED, "?").replace("\r\n", "\n")
+        text = text.translate(SIGNS).replace("\r\n", "\n")
+        if lang is LANGUAGES["python"] and FIELD_STRING.search(text):
+            text = unfold_fields(text, lines_stay)
         end = JOINED if lang.lines == "blocks" else "\n"
         for pattern, new in lang.before:
             text = pattern.sub(new if not lines_stay else lambda m, new=new: m.expand(new) + end * (m[0].count("\n") - m.expand(new).count("\n")), text)
@@ -61,7 +168,7 @@ class Parser:
         return self.names.sub("i", text)
 
     def split(self, line: str) -> list[str]:
-        return ["I" if t == "i" else "N" if t == "0" else "S" if t == STRING else t for t in self.tokens.findall(line)]
+        return [CLASSES.get(t, t) for t in self.tokens.findall(line)]
 
     def step(self, state: int, line: str) -> int:
         """The term after a line; the empty one if the line cannot stand here."""
@@ -349,8 +456,8 @@ def check_syntax(files: DataFrame, chunks: DataFrame) -> DataFrame:
     number exactly chunk_count; the text is those pieces by start_line. `line` is the line of
     the failing token, null where the text ends too early (`truncated`).
 
-    Pieces are shuffled by file and stream through the parser in order; a task holds one file's
-    text at a time. Repeated pieces and rows of files count once; null texts count as
+    Pieces are shuffled once, by file, and stream through the parser in order; a task holds one
+    file's text at a time, and copies of a piece are passed over as they come. Repeated pieces and rows of files count once; null texts count as
     empty, rows with a null key or language are not judged.
     """
     key = ["project_id", "path"]
@@ -360,8 +467,8 @@ def check_syntax(files: DataFrame, chunks: DataFrame) -> DataFrame:
         .groupBy(*key, "content_hash").agg(F.min("language").alias("language"), F.max("chunk_count").alias("chunk_count"))
     )
     pieces = chunks.select(*key, F.col("file_hash").alias("content_hash"), "chunk_id", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = pieces.dropDuplicates([*key, "content_hash", "chunk_id"])  # copies are dropped by the map side, before the shuffle
-    met = pieces.join(wanted, [*key, "content_hash"]).repartition(*key, "content_hash").sortWithinPartitions(*key, "content_hash", "start_line", "chunk_id")
+    pieces = pieces.repartition(*key, "content_hash")  # the only shuffle of texts: the join and the order of pieces keep to it
+    met = pieces.join(wanted, [*key, "content_hash"]).sortWithinPartitions(*key, "content_hash", "start_line", "chunk_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, texts, ids, head = None, [], set(), None

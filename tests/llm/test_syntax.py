@@ -132,3 +132,42 @@ def test_shell_lines_and_depth():
     assert parser("bash").judge('a="\n\n"\nx=$(\n  b\n  if; c\n)\n') == (False, 6, "token")
     assert parser("bash").judge('a\necho "b') == (False, None, "truncated")
     assert parser("bash").judge("x=" + "$(a " * 3000 + ")" * 3000)[0] and not parser("bash").judge("x=" + "$(a " * 3000)[0]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "1 = x", "f() = 3", "f(a=1, 2)", "def f(a=1, b): pass", "def f(*): pass", "x = 08", "x = 5x", 'f"{a"', '"a" = 1', 'x = f"{}"', 'x = f"a}"', "del f()", "for 1 in x: pass", "x = {1: 2, 3}", "f(**k, 2)", 'x = f"{a!z}"', "from import x",
+        "f(x for x in y, 1)", "lambda a=1, b: 2", "try:\n a\nexcept A, B:\n b", 'x = f"{a b}"', 'print "x"', "x = 1__0",
+    ],
+)
+def test_python_refused(text):
+    assert not parser("python").judge(text + "\n")[0]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x = y = f(a, *b, c=1, **d)", "f(a=1, *b)", "def f(a, b=1, /, c=2, *, d, e=3, **k): pass", "def f(*a: int, b): pass", "x: int = 3", "a.b[1] += 2", "(a, b), *c = d", "f(a)[0].b = 1", 'x = f"{a!r:>{w}}" "b" f\'{d["k"]}\'',
+        'x = f"{d["a"]} {{x}} {y=} {z:%Y-%m}"', 'x = f"""a\n{b}\n"""\ny = 1', 'x = rf"\\d{n}"', "with (open(a) as b, c as d): pass", 'x = {**a, "b": 1}', "x = 0x_ff + 0b1 + 0o7 + 1_000.5e-3j + .5 + 1. + 00 + 1e5", "x = lambda *a, b=1, **k: (a, b)",
+        "match x:\n  case 1: pass\n  case Point(x=0, y=[a, *b]) if b: pass", "case = 1\ncase.x = 2", "x[1:2, ::3] = 4", "type X = int",
+    ],
+)
+def test_python_accepted(text):
+    assert parser("python").judge(text + "\n") == (True, None, None)
+
+
+def test_lines_of_failing_tokens_behind_fields():
+    assert parser("python").judge('x = f"""\n{a}\n\n"""\ny = 1\nz = = 2\n') == (False, 6, "token")
+
+
+@pytest.mark.parametrize("n", [300, 10_000])
+@pytest.mark.parametrize("language", ["python", "javascript", "typescript", "go", "java", "c", "rust", "json", "toml", "sql", "bash", "yaml"])
+def test_deep_nesting(language, n):
+    o, c = "(" * n, ")" * n
+    code = {
+        "python": f"x = {o}1{c}\n", "go": f"package a\nvar x = {o}1{c}\n", "java": f"class A {{ int x = {o}1{c}; }}\n", "c": f"int x = {o}1{c};\n", "rust": f"fn f() {{ let x = {o}1{c}; }}\n", "json": "[" * n + "]" * n, "toml": "x = " + "[" * n + "]" * n,
+        "sql": f"select {o}1{c};", "bash": f"{'( ' * n}ls{' )' * n}\n", "yaml": "[" * n + "]" * n,
+    }.get(language, f"x = {o}1{c};\n")
+    assert parser(language).judge(code) == (True, None, None)
+    assert not parser(language).judge(code[: len(code) // 2])[0]
