@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -14,20 +14,19 @@ from pyspark.sql import functions as F
 
 from tarnwork.session import cut
 
-#: Letters of the Cyrillic and Greek alphabets and the Latin letters they look like.
+#: Letters of the three alphabets and the letter they look like, a Latin one where there is one.
 LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
-    "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "α": "a", "ρ": "p", "υ": "u", "ι": "i", "ϳ": "j", "Ϳ": "J",
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y", "Ү": "Y",
+    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y",
+    "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ζ": "Z",
+    "α": "a", "ϲ": "c", "ι": "i", "ϳ": "j", "ο": "o", "ρ": "p", "υ": "u", "ν": "v",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "П": "Π", "Г": "Γ", "Ф": "Φ", "к": "κ",
 }
-CACHE_RUNS = 200_000
+#: Of two families of rules that disagree on a source the first one holds; any other disagreement is an error.
+SETTLED = {("look-alike", "compatibility")}
+CACHE_RUNS, LEARNED = 200_000, 200_000
 JOINED_EMOJI = regex.compile(r"(?<=\p{Extended_Pictographic}[️\U0001f3fb-\U0001f3ff]*)‍(?=\p{Extended_Pictographic})")
 RUN = regex.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
-CLUSTER = regex.compile(r"\X")
-KEEP = ""
 
 
 def roomless(c: str) -> bool:
@@ -36,46 +35,142 @@ def roomless(c: str) -> bool:
     return (unicodedata.category(c) == "Cf" and o not in range(0x600, 0x606) and o not in (0x6DD, 0x70F, 0x8E2)) or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF or o in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0)
 
 
-@lru_cache(maxsize=1)
-def mapping() -> dict[str, str]:
-    """What single characters become, for every code point that changes.
+def joins(c: str) -> bool:
+    """Whether a character belongs to the cluster of the one before it: marks, and the later letters of a Hangul syllable."""
+    return unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff"
 
-    Built by rule from the character database and the look-alike table, and checked: a second
-    application changes nothing, so no two rules pull a character different ways.
-    """
-    table = {}
+
+Rule = tuple[str, str, str]  # what is read, what it becomes, the family it comes from
+
+
+@lru_cache(maxsize=1)
+def single_rules() -> tuple[Rule, ...]:
+    """Rules on one code point, from the character database and the look-alikes."""
+    rules = [(c, new, "look-alike") for c, new in LOOKALIKES.items()]
     for o in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= o <= 0xDFFF:
-            continue
         c = chr(o)
         kind = unicodedata.category(c)
-        if kind in ("Cn", "Co"):
+        if kind in ("Cn", "Co", "Cs"):
             continue
         if roomless(c):
-            table[c] = ""
+            rules.append((c, "", "no room"))
         elif kind == "Zs":
-            table[c] = " "
+            rules.append((c, " ", "space"))
         else:
             parts = unicodedata.normalize("NFKD", c)
             new = "".join(LOOKALIKES.get(x, " " if unicodedata.category(x) == "Zs" else x) for x in parts if not roomless(x))
+            new = unicodedata.normalize("NFC", new)
             if new != c:
-                table[c] = new
-    for c, new in table.items():
-        again = "".join(table.get(x, x) for x in new)
-        if again != new:
-            raise ValueError(f"conflicting rules for U+{ord(c):04X}")
-    return table
+                rules.append((c, new, "look-alike" if parts == c else "compatibility"))
+    return tuple(rules)
 
 
-class Transducer:
-    """Longest runs of non-ASCII characters, each with the character before it, become their consistent form.
+@lru_cache(maxsize=1)
+def cluster_rules() -> tuple[Rule, ...]:
+    """Rules on clusters: each spelling of a letter with accents that the database can compose, the letter itself in any of its forms."""
+    forms: dict[str, list[str]] = {}
+    single = {c: new for c, new, _ in reversed(single_rules())}
+    for c, new in single.items():
+        if len(new) == 1:
+            forms.setdefault(new, []).append(c)
+    rules = []
+    for o in range(0x80, 0x30000):
+        c = chr(o)
+        parts = unicodedata.normalize("NFD", c)
+        if 2 <= len(parts) <= 4 and not joins(parts[0]) and all(map(joins, parts[1:])) and not 0xAC00 <= o < 0xD7A4:
+            base = single.get(parts[0], parts[0])
+            new = unicodedata.normalize("NFC", base + "".join(single.get(x, x) for x in parts[1:]))
+            rules += [(x + parts[1:], new, "accent") for x in (base, *forms.get(base, ()))]
+    return tuple(dict.fromkeys(rules))
+
+
+def conflicts(rules: Iterable[Rule]) -> list[tuple[Rule, Rule]]:
+    """Pairs of rules that read the same and disagree on what it becomes, but for those that SETTLED decides."""
+    seen: dict[str, Rule] = {}
+    found = []
+    for rule in rules:
+        first = seen.setdefault(rule[0], rule)
+        if first[1] != rule[1] and (first[2], rule[2]) not in SETTLED:
+            found.append((first, rule))
+    return found
 
-    A run is rewritten cluster by cluster and composed once; runs are remembered up to CACHE_RUNS.
+
+class Transducer:
+    """A trie over the rules; a text is rewritten in one pass, by the longest rule that matches at each place.
+
+    Characters without room are passed over inside a match too, so they cannot part a letter
+    from its accent. A cluster that goes on behind the longest match, as with two accents in
+    either order, is composed once and becomes a rule of its own (up to LEARNED). Rules must
+    not disagree, and what they give must stay as it is under the rules. Joiners between
+    emoji stay, since they change what is seen. Runs of non-ASCII characters, each with the
+    character before it, are remembered up to CACHE_RUNS.
     """
 
-    def __init__(self):
-        self.table = mapping()
+    def __init__(self, rules: Iterable[Rule] | None = None):
+        rules = list(rules) if rules is not None else [*single_rules(), *cluster_rules()]
+        if bad := conflicts(rules):
+            raise ValueError("rules disagree: " + "; ".join(f"{a[0]!a} to {a[1]!a} ({a[2]}) and to {b[1]!a} ({b[2]})" for a, b in bad[:5]))
+        self.root: dict = {}
         self.known: dict[str, str] = {}
+        self.learned = 0
+        self.nothing = {c for c, new, family in rules if family == "no room"}
+        self.single: dict[str, str] = {}
+        for source, new, _ in rules:
+            self.add(source, new)
+            if len(source) == 1:
+                self.single.setdefault(source, new)
+        self.marks = {c for c, new in self.single.items() if new and joins(new[0])}
+        for source, new, family in rules:
+            if self.rewrite(new) != new:
+                raise ValueError(f"what {source!a} becomes ({family}) becomes something else again")
+
+    def add(self, source: str, new: str) -> None:
+        """The first rule for a source stays."""
+        node = self.root
+        for c in source:
+            node = node.setdefault(c, {})
+        node.setdefault("", new)
+
+    def rewrite(self, s: str) -> str:
+        root, nothing, marks = self.root, self.nothing, self.marks
+        kept = {m.start() for m in JOINED_EMOJI.finditer(s)} if "‍" in s else ()
+        out, at, size = [], 0, len(s)
+        while at < size:
+            node, i, end, new = root, at, at, None
+            while i < size:
+                c = s[i]
+                if c in nothing:
+                    if i in kept:
+                        break
+                    i += 1
+                    if node is root:
+                        at = end = i
+                    continue
+                node = node.get(c)
+                if node is None:
+                    break
+                i += 1
+                if "" in node:
+                    end, new = i, node[""]
+            if at == size:
+                break
+            if new is None:
+                end, new = at + 1, s[at]
+            if end < size and (s[end] >= "\x80"):
+                stop = end
+                while stop < size and stop not in kept and (s[stop] in nothing or s[stop] in marks or joins(s[stop])):
+                    stop += 1
+                tail = [c for c in s[end:stop] if c not in nothing]
+                if tail:
+                    source = "".join(c for c in s[at:stop] if c not in nothing)
+                    new = unicodedata.normalize("NFC", "".join(self.single.get(c, c) for c in source))
+                    if self.learned < LEARNED:
+                        self.learned += 1
+                        self.add(source, new)
+                    end = stop
+            out.append(new)
+            at = end
+        return "".join(out)
 
     def run(self, m) -> str:
         s = m[0]
@@ -83,10 +178,7 @@ class Transducer:
         if new is None:
             if len(self.known) > CACHE_RUNS:
                 self.known.clear()
-            kept = JOINED_EMOJI.sub(KEEP, s)
-            get = self.table.get
-            clusters = ("".join(get(c, c) for c in x) for x in CLUSTER.findall(kept))
-            new = unicodedata.normalize("NFC", "".join(clusters)).replace(KEEP, "‍")
+            new = self.rewrite(s)
             if len(s) <= 64:
                 self.known[s] = new
         return new
@@ -139,3 +231,14 @@ def alike_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     right = rows.select(F.col("text_hash").alias("other_hash"), F.col("id").alias("b"))
     met = pairs.join(left, "text_hash").join(right, "other_hash").where("a <> b")
     return met.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
+
+
+def alike_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Membership: key, `class_id` (the smallest key of the same form), `texts` (distinct texts of the form) and `docs` of each class with more than one text.
+
+    Grows with the documents however large a class is; the pairs of a class follow from it.
+    Repeated keys count once.
+    """
+    forms = keyed_forms(docs, key, text).distinct()
+    sizes = forms.groupBy("form_hash").agg(F.min("id").alias("class_id"), F.count("*").alias("docs"), F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.approx_count_distinct("text_hash").alias("texts"))
+    return forms.join(sizes.where("lo <> hi"), "form_hash").select(F.col("id").alias(key), "class_id", "docs", F.greatest("texts", F.lit(2)).alias("texts"))
