@@ -6,56 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(rows: DataFrame, key: list[str], fields: list[str], **extra: Column) -> DataFrame:
-    """One row per key: least and largest value of each field and whether it is ever null.
+def merge_copies(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], part: str, carry: list[str] | None = None) -> DataFrame:
+    """Both copies side by side, and the fields on which they disagree.
 
-    Partial aggregation runs before the shuffle, so a key with very many rows is one row a task.
-    """
-    parts = [x for f in fields for x in (F.min(f).alias(f"{f}_min"), F.max(f).alias(f"{f}_max"), F.max(F.col(f).isNull()).alias(f"{f}_null"))]
-    return rows.groupBy(*key).agg(*parts, *[c.alias(n) for n, c in extra.items()])
-
-
-def refold(rows: DataFrame, key: list[str], fields: list[str], **extra: Column) -> DataFrame:
-    """fold of rows that are folded by a finer key."""
-    parts = [x for f in fields for x in (F.min(f"{f}_min").alias(f"{f}_min"), F.max(f"{f}_max").alias(f"{f}_max"), F.max(f"{f}_null").alias(f"{f}_null"))]
-    return rows.groupBy(*key).agg(*parts, *[c.alias(n) for n, c in extra.items()])
+    The union of both copies is range-partitioned with shared split points over the key, the
+    side and `part`, the column that tells a key's rows apart, so a key with very many rows is
+    split as well. Partitions are sorted, and two aggregations over the sorted run are the
+    streaming merge: repeated rows of a part to one, then the key's parts of both sides to one.
+    What a partition has of a key is one row when the ends of partitions are put together.
 
-
-def merge_copies(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], carry: list[str] | None = None) -> DataFrame:
-    """Both folded copies side by side, and the fields on which they disagree.
-
-    The union of both copies is range-partitioned once, so both have the same split points;
-    each partition is sorted, and the aggregation over the sorted run is the streaming merge
-    of the two. Result: key, in_left, in_right, `<carry>_left`, `<carry>_right`, and
-    `unequal`, the names of the fields that differ for keys on both sides.
+    Result: key, in_left, in_right, `parts_right` (distinct parts), `<carry>_min` and `_max` over
+    the left rows, and `unequal`, the names of the fields that differ for keys on both sides.
 
     - A field agrees if every value on both sides is the same, or all are null.
-    - A null in the key is a value like any other. Empty copies are fine.
-    - Repeated rows were folded before; columns not named here are not read.
+    - A null in the key is a value like any other; a null part counts as no part. Empty copies are fine.
+    - Repeated rows count once; columns not named here are not read.
     """
-    names = [f"{f}_{x}" for f in fields for x in ("min", "max", "null")] + [c for c in carry or [] if c not in fields]
-    side = lambda df, tag: df.select(*key, F.lit(tag).alias("_side"), F.struct(*names).alias("_v"))
-    both = side(left, 0).unionByName(side(right, 1))
-    spark = left.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run = both.repartitionByRange(n, *key).sortWithinPartitions(*key, "_side")
-    pick = lambda s: F.max(F.when(F.col("_side") == s, F.col("_v")))
-    met = run.groupBy(*key).agg(pick(0).alias("_l"), pick(1).alias("_r"))
-    l, r = F.col("_l"), F.col("_r")
+    carry = carry or []
+    side = lambda df, n: df.select(*key, F.lit(n).alias("_side"), F.col(part).alias("_part") if part in df.columns else F.lit(None).cast(dict(right.dtypes)[part]).alias("_part"), *fields, *[F.col(c) if n == 0 else F.lit(None).cast(dict(left.dtypes)[c]).alias(c) for c in carry])
+    at = [*key, "_side", "_part"]
+    run = side(left, 0).unionByName(side(right, 1)).repartitionByRange(*at).sortWithinPartitions(*at)
+    ends = [x for f in (*fields, *carry) for x in (F.min(f).alias(f"{f}_min"), F.max(f).alias(f"{f}_max"))]
+    piece = run.groupBy(*at).agg(*ends, *[F.max(F.col(f).isNull()).alias(f"{f}_null") for f in fields])
+    here = lambda n, c: F.when(F.col("_side") == n, c)
+    sides = [
+        e.alias(f"_{f}_{n}_{x}")
+        for f in fields for n in (0, 1)
+        for x, e in (("min", F.min(here(n, F.col(f"{f}_min")))), ("max", F.max(here(n, F.col(f"{f}_max")))), ("null", F.max(here(n, F.col(f"{f}_null")))))
+    ]
+    met = piece.groupBy(*key).agg(
+        F.max(F.col("_side") == 0).alias("in_left"), F.max(F.col("_side") == 1).alias("in_right"), F.count(here(1, F.col("_part"))).alias("parts_right"),
+        *[g(here(0, F.col(f"{c}_{x}"))).alias(f"{c}_{x}") for c in carry for x, g in (("min", F.min), ("max", F.max))], *sides,
+    )
 
     def same(f: str) -> Column:
-        lo, hi, no = (l[f"{f}_{x}"] for x in ("min", "max", "null"))
-        lo2, hi2, no2 = (r[f"{f}_{x}"] for x in ("min", "max", "null"))
-        return lo.eqNullSafe(lo2) & hi.eqNullSafe(hi2) & lo.eqNullSafe(hi) & (no == no2) & ~(no & lo.isNotNull())
+        lo, hi, no, lo2, hi2, no2 = (F.col(f"_{f}_{n}_{x}") for n in (0, 1) for x in ("min", "max", "null"))
+        return lo.eqNullSafe(lo2) & hi.eqNullSafe(hi2) & lo.eqNullSafe(hi) & no.eqNullSafe(no2) & ~(no & lo.isNotNull())
 
     unequal = F.filter(F.array(*[F.when(~same(f), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
     return met.select(
-        *key,
-        l.isNotNull().alias("in_left"),
-        r.isNotNull().alias("in_right"),
-        *[s[c].alias(f"{c}_{t}") for c in carry or [] for s, t in ((l, "left"), (r, "right"))],
-        F.when(l.isNotNull() & r.isNotNull(), unequal).otherwise(F.array().cast("array<string>")).alias("unequal"),
-    )
+        *key, "in_left", "in_right", "parts_right", *[f"{c}_{x}" for c in carry for x in ("min", "max")],
+        F.when(F.col("in_left") & F.col("in_right"), unequal).otherwise(F.array().cast("array<string>")).alias("unequal"),
+    )
 
 
 def state_against_store(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -65,16 +57,14 @@ def state_against_store(files: DataFrame, chunks: DataFrame) -> DataFrame:
     project_id, path, chunk_id, file_hash, language; paths are canonical. A null chunk_count
     is 0. A file with count 0 and no piece agrees.
     """
-    key, fields = ["project_id", "path"], ["chunk_count", "content_hash", "language"]
-    state = fold(files.select(*key, F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count"), "content_hash", "language"), key, fields, listed=F.max("chunk_count"))
+    key, fields = ["project_id", "path"], ["content_hash", "language"]
+    state = files.select(*key, F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count"), *fields)
     pieces = chunks.select(*key, "chunk_id", F.col("file_hash").alias("content_hash"), "language")
-    pieces = fold(pieces, [*key, "chunk_id"], ["content_hash", "language"])
-    store = refold(pieces, key, ["content_hash", "language"], n=F.count("chunk_id"))
-    store = store.select("*", F.col("n").alias("chunk_count_min"), F.col("n").alias("chunk_count_max"), F.lit(False).alias("chunk_count_null"), F.lit(None).cast("bigint").alias("listed"))
-    met = merge_copies(state, store, key, fields, carry=["listed"])
+    met = merge_copies(state, pieces, key, fields, "chunk_id", carry=["chunk_count"])
+    counted = (F.col("chunk_count_min") == F.col("parts_right")) & (F.col("chunk_count_max") == F.col("parts_right"))
     what = (
-        F.when(~F.col("in_right"), F.when(F.col("listed_left") > 0, F.array(F.lit("missing_in_store"))))
+        F.when(~F.col("in_right"), F.when(F.col("chunk_count_max") > 0, F.array(F.lit("missing_in_store"))))
         .when(~F.col("in_left"), F.array(F.lit("missing_in_state")))
-        .otherwise(F.col("unequal"))
+        .otherwise(F.concat(F.when(~counted, F.array(F.lit("chunk_count"))).otherwise(F.array().cast("array<string>")), F.col("unequal")))
     )
     return met.select(*key, F.explode(what).alias("difference"))

@@ -4,21 +4,17 @@ from __future__ import annotations
 
 import importlib
 import pkgutil
+from types import ModuleType
 
 
-def _modules() -> list:
-    here = [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__)]
-    try:
-        llm = importlib.import_module("tarnwork.llm")
-    except ImportError:
-        return here
-    return here + [importlib.import_module(f"tarnwork.llm.{m.name}") for m in pkgutil.iter_modules(llm.__path__) if m.name.startswith("queries_")]
+def modules() -> list[ModuleType]:
+    return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__)]
 
 
-def registry() -> tuple[dict, dict]:
-    """Every query and, where there is one, its SQL."""
-    found, sql = {}, {}
-    for m in _modules():
-        found |= m.QUERIES
+def registry(found: list[ModuleType]) -> tuple[dict, dict]:
+    """Every query of the modules and, where there is one, its SQL."""
+    queries, sql = {}, {}
+    for m in found:
+        queries |= m.QUERIES
         sql |= m.SQL
-    return found, sql
+    return queries, sql

@@ -44,7 +44,7 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
     """The coalesced events as a stateful stream over the table's files works them out."""
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-    return E.drain(E.coalescing_stream(_shape(stream)), ["owner", "path"], "seen")
+    return E.drain(E.coalesced(_shape(stream)), ["owner", "path"], "seen")
 
 
 _E = """WITH b AS (SELECT user_id AS owner, 'src/' || json_extract_string(props, '$.k') || '.py' AS path, ts AS "at", event_id AS seq, event_type AS k FROM events),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +27,46 @@ def session(app: str = "tarnwork", cpus: str = "8", **conf: str) -> SparkSession
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and written to the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data that later stages read: what spark.checkpoint.dir names.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a temporary one is set
-    only where that is unset (tests, a single machine).
+    Where it is unset a temporary one is made, but only by a session on a single machine (tests);
+    on a cluster, where executors would not find it, that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written to the shared folder."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once a session, so that it need not be installed on them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarnwork_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "tarnwork.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(here.rglob("*.py")):
+            z.write(file, file.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    sc._tarnwork_shipped = True
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan before heavy work per row, over all cores: repartitioned only if it would fill less than half of them.
 
@@ -49,4 +78,5 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tarnwork.session import shared_folder
 
 #: Endings and beginnings of the files that editors write beside the real ones.
 NOISE = r"(?:\.swp|\.swo|\.swx|~|\.tmp|\.part|\.crswap)$|(?:^|/)(?:\.#|#)[^/]*$|(?:^|/)4913$"
@@ -32,7 +29,8 @@ def normalised(raw: DataFrame) -> DataFrame:
 def coalesced(events: DataFrame) -> DataFrame:
     """One pending event per owner and path: the last one, but created stays created under later modifications.
 
-    Aggregates only: the last event, and the last that isn't a modification.
+    Aggregates only: the last event, and the last that isn't a modification. On a stream, in
+    update mode, each batch gives the new row of every path that it touched.
     """
     at = F.struct("at", "seq")
     got = events.groupBy("owner", "path").agg(F.max_by("event", at).alias("_last"), F.max_by(F.when(F.col("event") != "modified", F.col("event")), F.when(F.col("event") != "modified", at)).alias("_base"), F.max("at").alias("at"), F.count("*").alias("seen"))
@@ -57,43 +55,26 @@ def daily_counters(events: DataFrame) -> DataFrame:
     return per.groupBy("owner", "day").agg(F.sum("n").alias("seen"), F.greatest(F.sum("n") - F.count("*"), F.lit(0)).alias("coalesced"))
 
 
-def _merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-    event, seen, at = (held[0], held[1], held[2]) if held else (None, 0, None)
-    for e, t in zip(rows["event"], rows["at"]):
-        event = "created" if e == "modified" and event == "created" else e
-        seen, at = seen + 1, t
-    state.update((event, seen, pd.Timestamp(at).to_pydatetime()))
-    yield pd.DataFrame({"owner": [key[0]], "path": [key[1]], "event": [event], "at": [at], "seen": [seen]})
-
-
-def coalescing_stream(events: DataFrame) -> DataFrame:
-    """The stream's counterpart of coalesced: a state per owner and path, an updated row after each batch."""
-    state = "event string, seen bigint, at timestamp"
-    out = "owner bigint, path string, event string, at timestamp, seen bigint"
-    return events.groupBy("owner", "path").applyInPandasWithState(_merge, out, state, "update", GroupStateTimeout.NoTimeout)
-
-
 def drain(stream: DataFrame, key: list[str], seen: str) -> DataFrame:
     """Runs an update stream over all that is there and gives its last row per key.
 
     Each batch is written to the shared folder the session names; nothing passes the driver.
     """
     spark: SparkSession = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     schema = stream.schema
+    written: list[int] = []
 
-    def save(batch: DataFrame, n: Any) -> None:
+    def save(batch: DataFrame, n: int) -> None:
+        written.append(n)
         batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
     query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()
     rest = [f.name for f in schema if f.name not in key]
-    try:
-        rows = spark.read.parquet(f"{base}/out")
-    except Exception:  # an empty source writes no batch
+    if not written:  # the source was empty
         return spark.createDataFrame([], schema)
+    rows = spark.read.parquet(f"{base}/out")
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_batch", seen)).alias("_r")).select(*key, "_r.*")
 
 

@@ -29,4 +29,11 @@ def test_stream_equals_batch(spark, tmp_path):
     df = raw(spark, *[(f"p{i % 5}", None, kinds[i * 7 % 4], False, i) for i in range(40)])
     df.coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = E.normalised(spark.readStream.schema(RAW).parquet(str(tmp_path / "e")))
-    assert rows(E.drain(E.coalescing_stream(stream), ["owner", "path"], "seen"), "path", "event", "seen") == rows(E.coalesced(E.normalised(df)), "path", "event", "seen")
+    assert rows(E.drain(E.coalesced(stream), ["owner", "path"], "seen"), "path", "event", "seen") == rows(E.coalesced(E.normalised(df)), "path", "event", "seen")
+
+
+def test_an_empty_stream_drains_to_no_rows(spark, tmp_path):
+    df = spark.createDataFrame([], "owner bigint, path string, target string, event string, is_dir boolean, at timestamp, seq bigint")
+    df.write.parquet(str(tmp_path / "none"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "none"))
+    assert E.drain(E.coalesced(E.normalised(stream)), ["owner", "path"], "seen").collect() == []

@@ -60,3 +60,18 @@ def test_hot_key(spark):
     chunks = [("p", "hot", str(i % 300), "h", "go") for i in range(3000)] + [("p", str(i), "c", "h", "go") for i in range(50)]
     files = [("p", "hot", 300, "h", "go")] + [("p", str(i), 1, "h", "go") for i in range(50)]
     assert diff(spark, files, chunks) == []
+
+
+def test_many_deliveries_without_broadcast(spark):
+    data = [(n * 3, "a", str(k), str(n // 2), t(1), None) for n in range(40) for k in range(5) if (n + k) % 7]
+    df = spark.createDataFrame(data, S)
+    here, joined = (rows(snapshot_changes(df, "no", ["p", "path"], "h", "at", broadcast=b)) for b in (100, 3))
+    kept = {(no, path): h for no, _, path, h, _, _ in data}
+    numbers = sorted({d[0] for d in data})
+    want = []
+    for a, b in zip(numbers, numbers[1:]):
+        for k in map(str, range(5)):
+            x, y = kept.get((a, k)), kept.get((b, k))
+            if x != y:
+                want.append((b, "a", k, "added" if x is None else "removed" if y is None else "changed"))
+    assert here == joined == sorted(want, key=str)
