@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tarnwork.functions.globs import glob_regex
 from tarnwork.functions.paths import ancestors, basename
+from tarnwork.session import cut
 
 ATTRIBUTES = ".gitattributes"
 #: A mined rule: files, projects and the lower bound of the share that is known not to be hand-written.
@@ -231,7 +232,7 @@ def not_hand_written(files: DataFrame, pieces: DataFrame, languages: list[str],
     - Rows with a null project or path are left out; a null language is not listed.
     """
     key = ["project_id", "path"]
-    known = known_files(files, pieces, languages)
+    known = cut(known_files(files, pieces, languages))  # read for the rules, for their use and for the result
     rules = rules_of(known) if rules is None else rules
     mined = known.select(*key, F.explode("patterns").alias("pattern")).join(rules, "pattern", "left_semi").select(*key).distinct().withColumn("mined", F.lit(True))
     done = known.drop("patterns").join(mined, key, "left")
