@@ -13,6 +13,8 @@ DELTA = 400
 FLUSH = 200_000
 BROADCAST_GROUPS = 50_000
 SALTS = 16
+#: Partitions whose digests are merged in one part of a group.
+SALTED = 64
 
 
 def clusters(values: np.ndarray, weights: np.ndarray, delta: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,45 +33,41 @@ def clusters(values: np.ndarray, weights: np.ndarray, delta: int) -> tuple[np.nd
 def partial_digests(rows: DataFrame, group: list[str], value: str, delta: int = DELTA) -> DataFrame:
     """Each task's centroids per group: the group columns, `mean` and `weight`.
 
-    A task holds at most FLUSH raw values before it clusters them, however many rows it reads;
-    nothing is shuffled. `value` must not be null or NaN.
+    A task clusters and gives out its values whenever it holds FLUSH of them, so every value is
+    clustered once, however many rows it reads; nothing is shuffled. `value` must not be null or NaN.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*group).dtypes) + ", mean double, weight double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        raw: dict = {}
-        count = 0
+        held: list[pd.DataFrame] = []
 
-        def settle() -> None:
-            for k, parts in raw.items():
-                v = np.concatenate(parts)
-                w = np.ones(len(v))
-                if k in held:
-                    v, w = np.r_[v, held[k][0]], np.r_[w, held[k][1]]
-                order = np.argsort(v, kind="stable")
-                held[k] = clusters(v[order], w[order], delta)
-            raw.clear()
+        def settle() -> Iterator[pd.DataFrame]:
+            for k, part in pd.concat(held).groupby(group, dropna=False, sort=False):
+                v = np.sort(part[value].to_numpy(np.float64))
+                m, w = clusters(v, np.ones(len(v)), delta)
+                yield pd.DataFrame({c: pd.Series([None if pd.isna(x) else x] * len(m), dtype=part[c].dtype) for c, x in zip(group, k)} | {"mean": m, "weight": w})
+            held.clear()
 
+        count = 0
         for pdf in batches:
-            for k, v in pdf.groupby(group, dropna=False, sort=False)[value]:
-                raw.setdefault(tuple(None if pd.isna(x) else x for x in k), []).append(v.to_numpy(np.float64))
-            count += len(pdf)
+            if len(pdf):
+                held.append(pdf)
+                count += len(pdf)
             if count >= FLUSH:
-                settle()
+                yield from settle()
                 count = 0
-        settle()
-        for k, (m, w) in held.items():
-            yield pd.DataFrame({c: pd.Series([x] * len(m), dtype=pdf[c].dtype) for c, x in zip(group, k)} | {"mean": m, "weight": w})
+        if held:
+            yield from settle()
 
     return rows.select(*group, value).mapInPandas(run, schema)
 
 
-def merge_digests(centroids: DataFrame, group: list[str], delta: int = DELTA, salts: int = SALTS) -> DataFrame:
-    """Digests merged by re-clustering their centroids, first in salted parts of each group.
+def merge_digests(centroids: DataFrame, group: list[str], delta: int = DELTA, salted: bool = True) -> DataFrame:
+    """Digests merged by re-clustering their centroids, first in parts of each group from SALTED partitions each.
 
     Result: group, `mean`, `weight`. Partial results of other days or partitions are merged by
-    a union of their rows and another call.
+    a union of their rows and another call, without parts where they are few. Each call is
+    one clustering more (two with parts) in `rank_bound`.
     """
 
     def recluster(df: DataFrame, by: list[str]) -> DataFrame:
@@ -84,7 +82,9 @@ def merge_digests(centroids: DataFrame, group: list[str], delta: int = DELTA, sa
             .drop("_unit")
         )
 
-    part = F.pmod(F.spark_partition_id(), F.lit(salts))
+    if not salted:
+        return recluster(centroids, group).select(*group, "mean", "weight")
+    part = F.floor(F.spark_partition_id() / SALTED)
     return recluster(recluster(centroids.withColumn("_salt", part), [*group, "_salt"]).drop("_salt"), group).select(*group, "mean", "weight")
 
 
@@ -106,13 +106,14 @@ def estimates(digest: DataFrame, group: list[str], quantiles: list[float]) -> Da
     return centres.groupBy(*group).agg(F.max("_n").cast("bigint").alias("n"), F.array(*[value(q) for q in quantiles]).alias("est"))
 
 
-def rank_bound(q: float, delta: int = DELTA) -> float:
+def rank_bound(q: float, delta: int = DELTA, clusterings: int = 3) -> float:
     """Stated bound on the rank error as a share of n, besides one row.
 
-    A centroid of one clustering spans at most pi/delta * sqrt(q(1-q)) of the ranks, and the
-    three clusterings of a value add up.
+    A centroid of one clustering spans about pi/delta * sqrt(q(1-q)) of the ranks, and the
+    clusterings a value goes through add up: three up to a merged digest (in the task, in a part,
+    in the group), one more for each union of stored digests.
     """
-    return 3 * np.pi / delta * float(np.sqrt(q * (1 - q)))
+    return clusterings * np.pi / delta * float(np.sqrt(q * (1 - q)))
 
 
 def certify(rows: DataFrame, group: list[str], value: str, est: DataFrame, quantiles: list[float], groups: int, salts: int = SALTS) -> DataFrame:

@@ -13,7 +13,8 @@ from tarnwork.llm.tokens import token_count
 
 BLOCK_TOKENS = 256
 SHARD_TOKENS = 50_000_000
-MAX_TARGETS = 100_000
+#: Up to so many target rows their quotas go to every task; beyond, documents are joined with them by source.
+BROADCAST_TARGETS = 100_000
 
 
 def apportion(votes: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
@@ -63,36 +64,31 @@ def mix(sizes: DataFrame, key: str, targets: DataFrame, seed: int = 17, block_to
     passes come first; the remaining blocks are the first ones in an order drawn with the seed.
 
     `sizes` is read twice and should be written or checkpointed.
-    - Only totals per listed source come to the driver; more than MAX_TARGETS target rows raise.
+    - Only the number of target rows comes to the driver. The sources of one mix, and the shards of
+      one source, are apportioned in one task each.
     - Null, negative or NaN shares count as 0, a null max_repeats as 1; of repeated targets
       for one source the largest share holds. Sources without documents get nothing.
     - Documents with a null or unlisted source, or without tokens, are in no mix.
     """
-    wanted = (
-        targets.groupBy("mix_name", "source")
-        .agg(F.max("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats"), F.max("total_ratio").alias("ratio"))
-        .limit(MAX_TARGETS + 1)
-        .toPandas()
-    )
-    if len(wanted) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    spark = sizes.sparkSession
-    listed = targets.select("source").distinct()
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    have = dict(map(tuple, sizes.join(listed, "source", "left_semi").groupBy("source").agg(F.sum("tokens")).collect()))
-    quota = []
-    for name, part in wanted.sort_values(["mix_name", "source"]).groupby("mix_name", dropna=False):
-        ratio = part["ratio"].max()
-        blocks = round(total * (ratio if ratio == ratio else 0) / block_tokens)
-        caps = [math.ceil(max(0, int(r)) * have.get(s, 0) / block_tokens) for s, r in zip(part["source"], part["repeats"])]
-        shares = [x if x == x else 0.0 for x in part["share"]]
-        for s, r, b in zip(part["source"], part["repeats"], apportion(shares, blocks, caps)):
-            if b:
-                quota.append((name, s, int(r), b, max(1, min(65_536, math.ceil(have[s] / shard_tokens)))))
-    schema = "mix_name string, source string, repeats_max int, blocks bigint, shards int"
-    quotas = spark.createDataFrame(quota, schema)
+    wanted = targets.groupBy("mix_name", "source").agg(F.max("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats"), F.max("total_ratio").alias("ratio"))
+    have = sizes.groupBy("source").agg(F.sum("tokens").alias("have"))
+    total = F.broadcast(sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")))  # one row
+
+    def blocks_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The blocks of each source of one mix."""
+        pdf = pdf.sort_values("source")
+        ratio = pdf["ratio"].max()
+        seats = round(int(pdf["total"].iloc[0]) * (ratio if ratio == ratio else 0) / block_tokens)
+        caps = [math.ceil(max(0, int(r)) * int(h) / block_tokens) for h, r in zip(pdf["have"], pdf["repeats"])]
+        pdf["blocks"] = apportion([float(x) if x == x else 0.0 for x in pdf["share"]], seats, caps)
+        pdf["shards"] = [max(1, math.ceil(int(h) / shard_tokens)) for h in pdf["have"]]
+        return pdf.loc[pdf["blocks"] > 0, ["mix_name", "source", "repeats", "blocks", "shards"]]
+
+    met = wanted.join(have, "source", "left").fillna(0, ["have"]).join(total)
+    quotas = met.groupBy("mix_name").applyInPandas(blocks_of, "mix_name string, source string, repeats int, blocks bigint, shards bigint").withColumnRenamed("repeats", "repeats_max")
+    quotas = F.broadcast(quotas) if targets.count() <= BROADCAST_TARGETS else quotas
     draw = F.xxhash64(F.lit(seed), F.col(key))
-    rows = sizes.join(F.broadcast(quotas), "source").withColumn("shard", F.pmod(F.shiftright(draw, 20), F.col("shards")))
+    rows = sizes.join(quotas, "source").withColumn("shard", F.pmod(F.shiftright(draw, 20), F.col("shards")))
     group = ["mix_name", "source"]
     shard_sizes = rows.groupBy(*group, "shard").agg(F.sum("tokens").alias("shard_tokens"), F.max("blocks").alias("blocks"), F.max("repeats_max").alias("repeats_max"))
 

@@ -23,7 +23,7 @@ def p2_day_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_certified_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per day, week and over all days, with the rank error that a second count certifies.
+    """Percentiles per day, week and over all days, with the stated bound and the rank error that a second count certifies.
 
     Weeks and the whole come from the stored day digests alone. Rows with a null ts form a day
     of their own; a week is named by its Monday.
@@ -34,7 +34,7 @@ def p2_certified_percentiles(spark: SparkSession, d: str) -> DataFrame:
     scoped = days.withColumn("s", F.explode(_scopes())).select("interface", "kind", F.col("s.scope").alias("scope"), F.col("s.start").alias("start"), "mean", "weight")
     key = ["interface", "kind", "scope", "start"]
     single, union = scoped.where("scope = 'day'"), scoped.where("scope <> 'day'")
-    est = cut(estimates(single.unionByName(merge_digests(union, key)), key, QS))
+    est = cut(estimates(single.unionByName(merge_digests(union, key, salted=False)), key, QS))
     ks = [F.coalesce(c, F.lit("")) for c in ("interface", "kind")]
     day = F.coalesce("day", F.lit("0001-01-01").cast("date"))
     mine = rows.select(*[k.alias(n) for k, n in zip(ks, ("interface", "kind"))], day.alias("day"), "x")
@@ -65,11 +65,12 @@ def p2_certified_percentiles(spark: SparkSession, d: str) -> DataFrame:
     r, e = ranks.alias("r"), est.alias("e")
     on = [F.col("r.interface") == F.coalesce("e.interface", F.lit("")), F.col("r.kind") == F.coalesce("e.kind", F.lit("")), F.col("r.scope") == F.col("e.scope"), F.col("r.start").eqNullSafe(F.col("e.start"))]
     met = e.join(r, on)
-    q = F.explode(F.array(*[F.struct(F.lit(x).alias("q"), F.col("e.est")[i].alias("estimate"), F.col(f"r.b{i}").alias("below"), F.col(f"r.u{i}").alias("upto"), F.lit(rank_bound(x)).alias("bound")) for i, x in enumerate(QS)]))
+    q = F.explode(F.array(*[F.struct(F.lit(x).alias("q"), F.col("e.est")[i].alias("estimate"), F.col(f"r.b{i}").alias("below"), F.col(f"r.u{i}").alias("upto"), F.when(F.col("e.scope") == "day", rank_bound(x)).otherwise(rank_bound(x, clusterings=4)).alias("bound")) for i, x in enumerate(QS)]))
     out = met.select("e.scope", "e.start", "e.interface", "e.kind", "e.n", q.alias("z")).select("scope", "start", "interface", "kind", "n", "z.*")
     at = F.col("q") * F.col("n")
+    bound = F.col("bound") + 1.0 / F.col("n")
     error = F.greatest(F.col("below") - at, at - F.col("upto"), F.lit(0.0)) / F.col("n")
-    return out.select("scope", "start", "interface", "kind", "n", "q", "estimate", error.alias("rank_error"), F.col("bound"), (error <= F.col("bound") + 1.0 / F.col("n")).alias("certified"))
+    return out.select("scope", "start", "interface", "kind", "n", "q", "estimate", error.alias("rank_error"), bound.alias("bound"), (error <= bound).alias("certified"))
 
 
 def _scopes():
