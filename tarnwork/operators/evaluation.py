@@ -24,11 +24,20 @@ def query_metrics(hits: DataFrame, labels: DataFrame) -> DataFrame:
 
     Every labelled query has a row, also without hits. Gains are 0 or 1, discounted by log2(rank + 1).
     """
-    marked = labels.select("query_id", "category", "id").distinct().join(hits.select("query_id", "id", "rank"), ["query_id", "id"], "left")
-    per = marked.groupBy("query_id", "category").agg(
-        F.count("*").alias("relevant"), F.count_if(F.col("rank") <= 5).alias("h5"), F.count_if(F.col("rank") <= 10).alias("h10"),
-        F.coalesce(F.sum(F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"),
+    marked = labels.select("query_id", "category", "id").distinct()
+    found = hits.select("query_id", "id", "rank").join(marked.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    return counted_metrics(marked.groupBy("query_id", "category").agg(F.count("*").alias("relevant")), found)
+
+
+def counted_metrics(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """As query_metrics, from the number of relevant rows per query (query_id, category, relevant) and its relevant hits (query_id, rank).
+
+    For labels that are classes of rows: the rows of a class are counted, not listed.
+    """
+    at = found.groupBy("query_id").agg(
+        F.count_if(F.col("rank") <= 5).alias("h5"), F.count_if(F.col("rank") <= 10).alias("h10"), F.sum(F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"),
     )
+    per = asked.join(at, "query_id", "left").fillna(0, ["h5", "h10", "dcg"])
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     return per.select("query_id", "category", (F.col("h5") / F.col("relevant")).alias("recall_5"), (F.col("h10") / F.col("relevant")).alias("recall_10"), (F.col("dcg") / ideal).alias("ndcg_10"))
 

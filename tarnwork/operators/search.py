@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import overlap, words
-from tarnwork.session import cut
+from tarnwork.session import cut, written
 
-BLOCK = 2048
+BLOCK, QUERY_BATCH = 50_000, 256
+#: Share of a query's highest weights that its first words make up, and room for rounding in bounds.
+FIRST_WORDS, SLACK = 0.4, 1e-6
 K1, B = 1.2, 0.75
 RRF_K = 60
 
@@ -33,56 +35,49 @@ def dense(queries: DataFrame, rows: DataFrame, k: int, filters: list[str] | None
     """query_id, id, score, rank: the k nearest rows by cosine similarity.
 
     `queries` has query_id, vector and the filter columns, `rows` has id, vector and the same.
-    The query set is taken in blocks of at most `block`, so what a task holds beside its
-    batch is bounded; each task keeps its k best per query and only those are shuffled.
+    Rows are dealt to groups of about `block`, each group gets all queries, so rows are shuffled
+    once and the query set once a group; a task holds one group and streams the queries past
+    it, and only the k best of each query and group go on. No vector comes to the driver.
     Scores are rounded to 6 places, ties go to the smaller id. Null vectors match nothing;
-    with `filters` a row counts only for queries whose filter values equal its own.
+    with `filters` a row counts only for queries whose filter values equal its own (null equals null).
     """
     filters = filters or []
-    spark = rows.sparkSession
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector", *filters)
-    asked = cut(asked.withColumn("_n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id"))).withColumn("_b", F.concat(F.pmod(F.xxhash64("query_id"), F.lit(64)), F.lit("-"), F.floor(F.col("_n") * 64 / block))))
-    groups: list[list[str]] = [[]]
-    size = 0
-    for r in asked.groupBy("_b").count().orderBy("_b").toLocalIterator():
-        if size + r["count"] > block and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append(r["_b"])
-        size += r["count"]
-    kinds = dict(rows.dtypes)
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {kinds['id']}, score double"
-    data = rows.where(F.col("vector").isNotNull()).select("id", "vector", *filters)
-    found = None
-    for names in groups:
-        if not names:
-            continue
-        held = spark.sparkContext.broadcast(asked.where(F.col("_b").isin(names)).drop("_n", "_b").toPandas())
-
-        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            q = held.value
-            matrix = _unit(q["vector"])
-            score, ids = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=object)
-            for pdf in batches:
-                if pdf.empty:
+    data = rows.where(F.col("vector").isNotNull())
+    groups = max(rows.sparkSession.sparkContext.defaultParallelism, -(-data.count() // block))
+    kinds, asked_kinds = dict(rows.dtypes), dict(queries.dtypes)
+    none = lambda t: F.lit(None).cast(t)
+    held = data.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), "vector", *filters)
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("_g")
+    asked = queries.where(F.col("vector").isNotNull()).select(each, F.lit(1).alias("_side"), none(kinds["id"]).alias("id"), "query_id", F.col("vector").cast(kinds["vector"]).alias("vector"), *filters)
+    both = held.unionByName(asked).repartition("_g").sortWithinPartitions("_g", "_side")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, parts, matrix, mine = None, [], None, None
+        for pdf in batches:
+            for g, part in pdf.groupby("_g", sort=False):
+                if g != group:
+                    group, parts, matrix = g, [], None
+                here = part[part["_side"] == 0]
+                if len(here):
+                    parts.append(here.drop(columns=["_g", "_side", "query_id"]))
+                q = part[part["_side"] == 1]
+                if q.empty or not parts:
                     continue
-                s = np.round(matrix @ _unit(pdf["vector"]).T, 6) + 0.0
-                for f in filters:
-                    s[q[f].to_numpy()[:, None] != pdf[f].to_numpy()[None, :]] = -np.inf
-                score, ids = np.hstack([score, s]), np.hstack([ids, np.broadcast_to(pdf["id"].to_numpy(dtype=object), s.shape)])
-                if score.shape[1] > k:
-                    order = np.argsort(ids.astype(type(ids[0, 0])) if ids.size else ids, axis=1, kind="stable")
-                    score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-                    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-            keep = np.isfinite(score)
-            at = np.nonzero(keep)
-            yield pd.DataFrame({"query_id": q["query_id"].to_numpy()[at[0]], "id": ids[at], "score": score[at]})
-
-        part = data.mapInPandas(best, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema + ", rank int")
+                if matrix is None:
+                    mine = pd.concat(parts).sort_values("id", kind="stable")
+                    matrix = _unit(mine["vector"])
+                for at in range(0, len(q), QUERY_BATCH):
+                    some = q.iloc[at : at + QUERY_BATCH]
+                    score = np.round(_unit(some["vector"]) @ matrix.T, 6) + 0.0
+                    for f in filters:
+                        a, b = some[f].to_numpy(dtype=object)[:, None], mine[f].to_numpy(dtype=object)[None, :]
+                        score[~((a == b) | (pd.isna(a) & pd.isna(b)))] = -np.inf
+                    near = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(score, near, 1)
+                    keep = np.nonzero(np.isfinite(value))
+                    yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[keep[0]], "id": mine["id"].to_numpy()[near[keep]], "score": value[keep]})
+
+    found = both.mapInPandas(best, f"query_id {asked_kinds['query_id']}, id {kinds['id']}, score double")
     return top(found, ["query_id"], "score", "id", k)
 
 
@@ -127,15 +122,15 @@ def ivf_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int
     return top(scored, ["query_id"], "score", "id", k)
 
 
-def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf and the row's length in words; rows without words have no postings.
+def postings(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """term, key, tf, the row's length in words and the columns to keep; rows without words have no postings.
 
-    Texts are shuffled by key before they are cut into words, so counting needs no second
-    shuffle and all postings of a row lie together: scores are complete within a task.
+    Words are counted where the text is read, before anything is shuffled: what moves is a
+    row per distinct word of a text.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, for texts are small beside the work on them
-    tokens = rows.select(F.col(key), F.col(text)).repartition(n, key).select(F.col(key), words(F.col(text)).alias("_w"))
-    return tokens.select(key, F.size("_w").alias("doc_len"), F.explode("_w").alias("term")).groupBy("term", key, "doc_len").agg(F.count("*").alias("tf"))
+    keep = keep or []
+    tokens = rows.select(F.col(key), *keep, words(F.col(text)).alias("_w"))
+    return tokens.select(key, *keep, F.size("_w").alias("doc_len"), F.explode("_w").alias("term")).groupBy("term", key, "doc_len", *keep).agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(post: DataFrame, key: str) -> DataFrame:
@@ -144,24 +139,62 @@ def corpus_stats(post: DataFrame, key: str) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(docs), F.lit(True))
 
 
-def bm25_weights(post: DataFrame, key: str) -> DataFrame:
-    """term, key, weight: idf times the saturated term frequency."""
+def bm25_weights(post: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+    """term, key, the columns to keep, weight: idf times the saturated term frequency."""
     stats = corpus_stats(post, key)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return post.join(stats, "term").select("term", key, (idf * tf).alias("weight"))
+    return post.join(stats, "term").select("term", key, *(keep or []), (idf * tf).alias("weight"))
+
+
+def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """The weighted postings, written once and sorted by term and weight, so that a term's highest weights lie together."""
+    weights = bm25_weights(cut(postings(rows, key, text, keep)), key, keep)
+    return written(weights.repartitionByRange("term", F.col("weight").desc()).sortWithinPartitions("term", F.col("weight").desc()))
 
 
-def sparse(queries: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] | None = None) -> DataFrame:
     """query_id, id, score, rank of the k best rows by BM25; rows without a query word are absent.
 
-    `queries` has query_id and text; `weights` has term, id, weight. Distinct query words are
-    joined to postings by term; AQE splits the terms that very many rows hold, and scores are
-    summed on the map side before they are shuffled.
+    `queries` has query_id, text and the filter columns; `weights` has term, id, weight and the
+    same, is read several times and should be written. With `filters` a row counts only for
+    queries whose values equal its own (null equals null).
+
+    No row that could be among the k best is left out, but most pairs are never scored. A
+    query's words are ordered by their highest weight. The first ones give k rows and with the
+    k-th of their scores a floor. Words whose highest weights together, with those of all words
+    behind them, do not reach the floor find no new rows: these are the words that most rows
+    hold. Rows found by the others are scored to the end if they can still reach the k-th score.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    scored = asked.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    return top(scored, ["query_id"], "score", "id", k)
+    filters = filters or []
+    asked = queries.select("query_id", *[F.col(f).alias(f"_q_{f}") for f in filters], F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    highest = weights.groupBy("term").agg(F.max("weight").alias("_high"))
+    order = Window.partitionBy("query_id").orderBy(F.col("_high").desc(), "term")
+    # the highest weights of a word and all behind it, and of all words of the query
+    mass = {"_reach": F.sum("_high").over(order.rowsBetween(0, Window.unboundedFollowing)), "_all": F.sum("_high").over(Window.partitionBy("query_id"))}
+    plan = cut(asked.join(highest, "term").withColumns(mass))
+    alike = [F.col(f"_q_{f}").eqNullSafe(F.col(f)) for f in filters]
+
+    def scored(some: DataFrame) -> DataFrame:
+        met = some.join(weights, "term")
+        for a in alike:
+            met = met.where(a)
+        return met.groupBy("query_id", "id").agg(F.sum("weight").alias("_s"))
+
+    def floor_of(scores: DataFrame) -> DataFrame:
+        """The k-th score of each query that has k rows."""
+        best = top(scores, ["query_id"], "_s", "id", k)
+        return best.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("_s").alias("_floor")).where(F.col("_n") == k).select("query_id", "_floor")
+
+    first = plan.where(F.col("_reach") > (1 - FIRST_WORDS) * F.col("_all"))
+    split = cut(plan.join(floor_of(scored(first)), "query_id", "left").withColumn("_finds", F.col("_reach") >= F.coalesce("_floor", F.lit(0.0)) - SLACK).select("query_id", *[f"_q_{f}" for f in filters], "term", "_reach", "_finds"))
+    part = scored(split.where("_finds"))
+    late = split.where("NOT _finds")
+    open_ = part.join(floor_of(part), "query_id", "left").join(late.groupBy("query_id").agg(F.max("_reach").alias("_left")), "query_id", "left")
+    alive = open_.where(F.col("_s") + F.coalesce("_left", F.lit(0.0)) >= F.coalesce("_floor", F.lit(0.0)) - SLACK).select("query_id", "id", "_s")
+    more = alive.select("query_id", "id").join(late.select("query_id", "term"), "query_id").join(weights.select("term", "id", "weight"), ["term", "id"]).select("query_id", "id", F.col("weight").alias("_s"))
+    whole = alive.unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("_s"), 6).alias("score"))
+    return top(whole, ["query_id"], "score", "id", k)
 
 
 def fuse(ranked: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -173,20 +206,52 @@ def fuse(ranked: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
     return top(fused, ["query_id"], "score", "id", k)
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, weights: DataFrame, k: int, prefetch: int = 50) -> DataFrame:
-    """Fusion of the dense and the lexical channel, each to depth max(prefetch, k)."""
+def hybrid(queries: DataFrame, rows: DataFrame, weights: DataFrame, k: int, prefetch: int = 50, filters: list[str] | None = None) -> DataFrame:
+    """Fusion of the dense and the lexical channel, each to depth max(prefetch, k), each with the filters."""
     depth = max(prefetch, k)
-    return fuse([dense(queries, rows, depth), sparse(queries, weights, depth)], k)
+    return fuse([dense(queries, rows, depth, filters), sparse(queries, weights, depth, filters)], k)
+
+
+CHANNELS = ("hybrid", "dense", "sparse")
+
+
+def search(queries: DataFrame, rows: DataFrame, weights: DataFrame | None, channel: str = "hybrid", top_k: int = 10, candidates: int = 50, filters: list[str] | None = None, reranked: bool = False, score: Column | None = None) -> DataFrame:
+    """query_id, id, score, rank (and rerank_score): one entry for all channels.
+
+    Filters hold inside each channel, before fusion and ranks. A reranked search asks the channel
+    for max(candidates, top_k) rows and gives the top_k of the second score. Unknown channels,
+    and numbers below 1, raise ValueError before anything runs.
+    """
+    if channel not in CHANNELS:
+        raise ValueError(f"channel must be one of {', '.join(CHANNELS)}")
+    if top_k < 1 or candidates < 1:
+        raise ValueError("top_k and candidates must be at least 1")
+    for f in filters or []:
+        if f not in queries.columns or f not in rows.columns or (weights is not None and channel != "dense" and f not in weights.columns):
+            raise ValueError(f"no column {f} to filter by")
+    depth = max(candidates, top_k) if reranked else top_k
+    if channel == "dense":
+        hits = dense(queries, rows, depth, filters)
+    elif channel == "sparse":
+        hits = sparse(queries, weights, depth, filters)
+    else:
+        hits = hybrid(queries, rows, weights, depth, candidates, filters)
+    return rerank(hits, queries, rows, top_k, score) if reranked else hits
 
 
 def rerank(hits: DataFrame, queries: DataFrame, rows: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     """hits in the order of a second score over query and row text, by default their word overlap.
 
     `queries` has query_id, text; `rows` has id, text. Ties keep the order of the hits; a
-    score that isn't a number comes last and is null.
+    score that isn't a number comes last and is null. A score of one's own is an expression over
+    `_q` and `_t`, the texts.
     """
-    met = hits.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(rows.select("id", F.col("text").alias("_t")), "id")
-    s = score if score is not None else overlap(words(F.col("_q")), words(F.col("_t")))
+    if score is None:  # each text is cut into words once, not once a pair
+        left, right = F.array_distinct(words(F.col("text"))).alias("_q"), F.array_distinct(words(F.col("text"))).alias("_t")
+    else:
+        left, right = F.col("text").alias("_q"), F.col("text").alias("_t")
+    met = hits.join(queries.select("query_id", left), "query_id").join(rows.select("id", right), "id")
+    s = score if score is not None else overlap(F.col("_q"), F.col("_t"))
     met = met.withColumn("rerank_score", F.when(~F.isnan(s) & (F.abs(s) < F.lit(float("inf"))), s))
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), F.col("rank"))
     return met.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).select("query_id", "id", "score", "rerank_score", F.col("new_rank").alias("rank"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators import search as S
-from tarnwork.operators.evaluation import best_per_file, mean_metrics, query_metrics
-from tarnwork.session import cut, spread, table
+from tarnwork.operators.evaluation import best_per_file, counted_metrics, mean_metrics
+from tarnwork.session import cut, once, spread, table
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -22,8 +22,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-def _weights(rows: DataFrame) -> DataFrame:
-    return S.bm25_weights(cut(S.postings(rows, "id", "text")), "id")
+def lexical_index(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted postings of the documents with their kind, built once a session and folder."""
+    rows = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "doc_kind"))
+    return once(spark, f"lexical:{d}", lambda: S.lexical_index(rows, "id", "text", ["doc_kind"]))
 
 
 def search_dense(spark: SparkSession, d: str) -> DataFrame:
@@ -49,23 +51,36 @@ def search_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def search_sparse(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d)
-    return S.sparse(_asked(rows), _weights(rows), 10).select("query_id", "id", "score", "rank")
+    return S.sparse(_asked(rows), lexical_index(spark, d), 10).select("query_id", "id", "score", "rank")
 
 
-def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = _texts(spark, d).join(_vectors(spark, d).drop("label"), "id", "left")
-    return rows, _weights(rows)
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "doc_kind")
+    return rows.join(_vectors(spark, d).drop("label"), "id", "left")
 
 
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    rows, weights = _both(spark, d)
-    return S.hybrid(_asked(rows), rows, weights, 10).select("query_id", "id", "score", "rank")
+    rows = _both(spark, d)
+    return S.hybrid(_asked(rows), rows, lexical_index(spark, d), 10).select("query_id", "id", "score", "rank")
+
+
+def search_sparse_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Only rows of the query's own kind."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "doc_kind")
+    return S.search(_asked(rows), rows, lexical_index(spark, d), channel="sparse", filters=["doc_kind"]).select("query_id", "id", "score", "rank")
+
+
+def search_code(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search: both channels within the query's own kind, fused, the 50 best ranked anew, 10 given."""
+    rows = _both(spark, d)
+    hits = S.search(_asked(rows), rows, lexical_index(spark, d), top_k=10, candidates=50, filters=["doc_kind"], reranked=True)
+    return hits.select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
 def search_reranked(spark: SparkSession, d: str) -> DataFrame:
     """The 50 best of the lexical channel in the order of their word overlap, best 10."""
     rows = _texts(spark, d)
-    hits = S.sparse(_asked(rows), _weights(rows), 50)
+    hits = S.sparse(_asked(rows), lexical_index(spark, d), 50)
     return S.rerank(hits, _asked(rows), rows, 10).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
@@ -76,17 +91,20 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval quality of the lexical channel: relevant are rows of the query's project and kind, categories are kinds."""
-    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "project_id", "doc_kind"))
-    asked = docs.where(F.col("id") % 100 == 0)
-    labels = asked.select(F.col("id").alias("query_id"), F.col("doc_kind").alias("category"), "project_id", "doc_kind").join(docs.select("id", "project_id", "doc_kind"), ["project_id", "doc_kind"]).select("query_id", "category", "id")
-    hits = S.sparse(asked.select(F.col("id").alias("query_id"), "text"), _weights(docs), 10)
-    return mean_metrics(query_metrics(hits, labels)).select(F.coalesce("category", F.lit("all")).alias("category"), "queries", "recall_5", "recall_10", "ndcg_10")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "project_id", "doc_kind")
+    kin = ["project_id", "doc_kind"]
+    asked = docs.where(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
+    classes = docs.where("project_id IS NOT NULL AND doc_kind IS NOT NULL").groupBy(*kin).agg(F.count("*").alias("relevant"))
+    counts = asked.join(classes, kin).select("query_id", F.col("doc_kind").alias("category"), "relevant")
+    hits = S.sparse(asked.select("query_id", "text"), lexical_index(spark, d), 10).select("query_id", "id", "rank")
+    found = hits.join(docs.select("id", *kin), "id").join(asked.select("query_id", *kin), ["query_id", *kin]).select("query_id", "rank")
+    return mean_metrics(counted_metrics(counts, found)).select(F.coalesce("category", F.lit("all")).alias("category"), "queries", "recall_5", "recall_10", "ndcg_10")
 
 
 def best_rank_per_source(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the lexical channel deduplicated to the best rank per source."""
     docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("")).alias("file")))
-    hits = S.sparse(_asked(docs), _weights(docs), 50).join(docs.select("id", "file"), "id")
+    hits = S.sparse(_asked(docs), lexical_index(spark, d), 50).join(docs.select("id", "file"), "id")
     return best_per_file(hits).select("query_id", "file", "rank")
 
 
@@ -107,9 +125,21 @@ _TOP = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 QUERIES = {
     "search_dense": search_dense, "search_dense_filtered": search_dense_filtered, "search_ivf_recall": search_ivf_recall, "search_sparse": search_sparse, "search_hybrid": search_hybrid,
-    "search_reranked": search_reranked, "corpus_stats": corpus_stats, "eval_metrics": eval_metrics, "best_rank_per_source": best_rank_per_source,
+    "search_reranked": search_reranked, "search_sparse_filtered": search_sparse_filtered, "search_code": search_code, "corpus_stats": corpus_stats, "eval_metrics": eval_metrics, "best_rank_per_source": best_rank_per_source,
 }
+_KIND = """, kh AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = id WHERE a.doc_kind IS NOT DISTINCT FROM b.doc_kind)"""
+_OVERLAP = "round(len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / len(list_distinct(a.w))::DOUBLE, 6)"
 SQL = {
+    "search_sparse_filtered": _BM25 + _KIND + "SELECT query_id, id, score, rank FROM kh WHERE rank <= 10",
+    "search_code": _BM25
+    + _KIND
+    + f""", e AS (SELECT vec_id, embedding, doc_kind FROM embeddings JOIN documents ON doc_id = vec_id),
+dn AS ({_TOP.format(_DENSE.replace("embeddings b", "e b").format(cos=_COS, q="e", more="AND a.doc_kind IS NOT DISTINCT FROM b.doc_kind"), 50)}),
+u AS (SELECT query_id, id, rank FROM dn UNION ALL SELECT query_id, id, rank FROM kh WHERE rank <= 50),
+fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM u GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS old FROM fu QUALIFY old <= 50),
+o AS (SELECT query_id, fr.id, old, coalesce(CASE WHEN len(a.w) > 0 THEN {_OVERLAP} END, 0) AS rerank_score FROM fr JOIN tok a ON a.id = query_id JOIN tok b ON b.id = fr.id)
+SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old) AS rank FROM o QUALIFY rank <= 10""",
     "search_dense": _TOP.format(_DENSE.format(cos=_COS, q="embeddings", more=""), 10),
     "search_dense_filtered": _TOP.format(_DENSE.format(cos=_COS, q="embeddings", more="AND a.label = b.label"), 10),
     "search_sparse": _BM25 + "SELECT query_id, id, score, rank FROM hits WHERE rank <= 10",

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df as a Parquet table of the shared folder, for data that several queries read."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+_built: dict[tuple[str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build gives, built by the first caller of the session; for stored indexes that later queries read."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once a session, so that it need not be installed on them."""
     sc = spark.sparkContext
