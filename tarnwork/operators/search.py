@@ -14,7 +14,7 @@ from tarnwork.session import cut, written
 
 BLOCK, QUERY_BATCH = 50_000, 256
 #: Share of a query's highest weights that its first words make up, and room for rounding in bounds.
-FIRST_WORDS, SLACK = 0.4, 1e-6
+FIRST_WORDS, SLACK = 0.2, 1e-6
 K1, B = 1.2, 0.75
 RRF_K = 60
 
@@ -147,17 +147,23 @@ def bm25_weights(post: DataFrame, key: str, keep: list[str] | None = None) -> Da
     return post.join(stats, "term").select("term", key, *(keep or []), (idf * tf).alias("weight"))
 
 
-def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """The weighted postings, written once and sorted by term and weight, so that a term's highest weights lie together."""
+def highest_weights(weights: DataFrame) -> DataFrame:
+    """term and its highest weight, the bound that lets a search leave words out."""
+    return weights.groupBy("term").agg(F.max("weight").alias("high"))
+
+
+def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The weighted postings, sorted by term and weight so that a term's highest weights lie together, and highest_weights; both written once."""
     weights = bm25_weights(cut(postings(rows, key, text, keep)), key, keep)
-    return written(weights.repartitionByRange("term", F.col("weight").desc()).sortWithinPartitions("term", F.col("weight").desc()))
+    weights = written(weights.repartitionByRange("term", F.col("weight").desc()).sortWithinPartitions("term", F.col("weight").desc()))
+    return weights, written(highest_weights(weights))
 
 
-def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] | None = None) -> DataFrame:
+def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] | None = None, highest: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank of the k best rows by BM25; rows without a query word are absent.
 
     `queries` has query_id, text and the filter columns; `weights` has term, id, weight and the
-    same, is read several times and should be written. With `filters` a row counts only for
+    same, is read several times and should be written; `highest` is highest_weights of it. With `filters` a row counts only for
     queries whose values equal its own (null equals null).
 
     No row that could be among the k best is left out, but most pairs are never scored. A
@@ -168,11 +174,10 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
     """
     filters = filters or []
     asked = queries.select("query_id", *[F.col(f).alias(f"_q_{f}") for f in filters], F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    highest = weights.groupBy("term").agg(F.max("weight").alias("_high"))
-    order = Window.partitionBy("query_id").orderBy(F.col("_high").desc(), "term")
+    order = Window.partitionBy("query_id").orderBy(F.col("high").desc(), "term")
     # the highest weights of a word and all behind it, and of all words of the query
-    mass = {"_reach": F.sum("_high").over(order.rowsBetween(0, Window.unboundedFollowing)), "_all": F.sum("_high").over(Window.partitionBy("query_id"))}
-    plan = cut(asked.join(highest, "term").withColumns(mass))
+    mass = {"_reach": F.sum("high").over(order.rowsBetween(0, Window.unboundedFollowing)), "_all": F.sum("high").over(Window.partitionBy("query_id"))}
+    plan = written(asked.join(highest_weights(weights) if highest is None else highest, "term").withColumns(mass))  # written, not cut: its size decides how it is joined
     alike = [F.col(f"_q_{f}").eqNullSafe(F.col(f)) for f in filters]
 
     def scored(some: DataFrame) -> DataFrame:
@@ -187,8 +192,8 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
         return best.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("_s").alias("_floor")).where(F.col("_n") == k).select("query_id", "_floor")
 
     first = plan.where(F.col("_reach") > (1 - FIRST_WORDS) * F.col("_all"))
-    split = cut(plan.join(floor_of(scored(first)), "query_id", "left").withColumn("_finds", F.col("_reach") >= F.coalesce("_floor", F.lit(0.0)) - SLACK).select("query_id", *[f"_q_{f}" for f in filters], "term", "_reach", "_finds"))
-    part = scored(split.where("_finds"))
+    split = written(plan.join(floor_of(scored(first)), "query_id", "left").withColumn("_finds", F.col("_reach") >= F.coalesce("_floor", F.lit(0.0)) - SLACK).select("query_id", *[f"_q_{f}" for f in filters], "term", "_reach", "_finds"))
+    part = written(scored(split.where("_finds")))
     late = split.where("NOT _finds")
     open_ = part.join(floor_of(part), "query_id", "left").join(late.groupBy("query_id").agg(F.max("_reach").alias("_left")), "query_id", "left")
     alive = open_.where(F.col("_s") + F.coalesce("_left", F.lit(0.0)) >= F.coalesce("_floor", F.lit(0.0)) - SLACK).select("query_id", "id", "_s")
@@ -206,16 +211,16 @@ def fuse(ranked: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
     return top(fused, ["query_id"], "score", "id", k)
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, weights: DataFrame, k: int, prefetch: int = 50, filters: list[str] | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, rows: DataFrame, weights: DataFrame, k: int, prefetch: int = 50, filters: list[str] | None = None, highest: DataFrame | None = None) -> DataFrame:
     """Fusion of the dense and the lexical channel, each to depth max(prefetch, k), each with the filters."""
     depth = max(prefetch, k)
-    return fuse([dense(queries, rows, depth, filters), sparse(queries, weights, depth, filters)], k)
+    return fuse([dense(queries, rows, depth, filters), sparse(queries, weights, depth, filters, highest)], k)
 
 
 CHANNELS = ("hybrid", "dense", "sparse")
 
 
-def search(queries: DataFrame, rows: DataFrame, weights: DataFrame | None, channel: str = "hybrid", top_k: int = 10, candidates: int = 50, filters: list[str] | None = None, reranked: bool = False, score: Column | None = None) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, weights: DataFrame | None, channel: str = "hybrid", top_k: int = 10, candidates: int = 50, filters: list[str] | None = None, reranked: bool = False, score: Column | None = None, highest: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank (and rerank_score): one entry for all channels.
 
     Filters hold inside each channel, before fusion and ranks. A reranked search asks the channel
@@ -233,9 +238,9 @@ def search(queries: DataFrame, rows: DataFrame, weights: DataFrame | None, chann
     if channel == "dense":
         hits = dense(queries, rows, depth, filters)
     elif channel == "sparse":
-        hits = sparse(queries, weights, depth, filters)
+        hits = sparse(queries, weights, depth, filters, highest)
     else:
-        hits = hybrid(queries, rows, weights, depth, candidates, filters)
+        hits = hybrid(queries, rows, weights, depth, candidates, filters, highest)
     return rerank(hits, queries, rows, top_k, score) if reranked else hits
 
 

@@ -22,12 +22,17 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-def lexical_index(spark: SparkSession, d: str) -> DataFrame:
-    """The weighted postings of the documents with their kind, built once a session and folder."""
+def lexical_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The weighted postings of the documents with their kind and the highest weights, built once a session and folder."""
     rows = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "doc_kind"))
     return once(spark, f"lexical:{d}", lambda: S.lexical_index(rows, "id", "text", ["doc_kind"]))
 
 
+def _sparse(spark: SparkSession, d: str, queries: DataFrame, k: int) -> DataFrame:
+    weights, highest = lexical_index(spark, d)
+    return S.sparse(queries, weights, k, highest=highest)
+
+
 def search_dense(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
     return S.dense(_asked(rows), rows, 10).select("query_id", "id", "score", "rank")
@@ -51,7 +56,7 @@ def search_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def search_sparse(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d)
-    return S.sparse(_asked(rows), lexical_index(spark, d), 10).select("query_id", "id", "score", "rank")
+    return _sparse(spark, d, _asked(rows), 10).select("query_id", "id", "score", "rank")
 
 
 def _both(spark: SparkSession, d: str) -> DataFrame:
@@ -61,26 +66,29 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
 
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     rows = _both(spark, d)
-    return S.hybrid(_asked(rows), rows, lexical_index(spark, d), 10).select("query_id", "id", "score", "rank")
+    weights, highest = lexical_index(spark, d)
+    return S.hybrid(_asked(rows), rows, weights, 10, highest=highest).select("query_id", "id", "score", "rank")
 
 
 def search_sparse_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Only rows of the query's own kind."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "doc_kind")
-    return S.search(_asked(rows), rows, lexical_index(spark, d), channel="sparse", filters=["doc_kind"]).select("query_id", "id", "score", "rank")
+    weights, highest = lexical_index(spark, d)
+    return S.search(_asked(rows), rows, weights, channel="sparse", filters=["doc_kind"], highest=highest).select("query_id", "id", "score", "rank")
 
 
 def search_code(spark: SparkSession, d: str) -> DataFrame:
     """The whole search: both channels within the query's own kind, fused, the 50 best ranked anew, 10 given."""
     rows = _both(spark, d)
-    hits = S.search(_asked(rows), rows, lexical_index(spark, d), top_k=10, candidates=50, filters=["doc_kind"], reranked=True)
+    weights, highest = lexical_index(spark, d)
+    hits = S.search(_asked(rows), rows, weights, highest=highest, top_k=10, candidates=50, filters=["doc_kind"], reranked=True)
     return hits.select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
 def search_reranked(spark: SparkSession, d: str) -> DataFrame:
     """The 50 best of the lexical channel in the order of their word overlap, best 10."""
     rows = _texts(spark, d)
-    hits = S.sparse(_asked(rows), lexical_index(spark, d), 50)
+    hits = _sparse(spark, d, _asked(rows), 50)
     return S.rerank(hits, _asked(rows), rows, 10).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
@@ -96,7 +104,7 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     asked = docs.where(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
     classes = docs.where("project_id IS NOT NULL AND doc_kind IS NOT NULL").groupBy(*kin).agg(F.count("*").alias("relevant"))
     counts = asked.join(classes, kin).select("query_id", F.col("doc_kind").alias("category"), "relevant")
-    hits = S.sparse(asked.select("query_id", "text"), lexical_index(spark, d), 10).select("query_id", "id", "rank")
+    hits = _sparse(spark, d, asked.select("query_id", "text"), 10).select("query_id", "id", "rank")
     found = hits.join(docs.select("id", *kin), "id").join(asked.select("query_id", *kin), ["query_id", *kin]).select("query_id", "rank")
     return mean_metrics(counted_metrics(counts, found)).select(F.coalesce("category", F.lit("all")).alias("category"), "queries", "recall_5", "recall_10", "ndcg_10")
 
@@ -104,7 +112,7 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 def best_rank_per_source(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the lexical channel deduplicated to the best rank per source."""
     docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("")).alias("file")))
-    hits = S.sparse(_asked(docs), lexical_index(spark, d), 50).join(docs.select("id", "file"), "id")
+    hits = _sparse(spark, d, _asked(docs), 50).join(docs.select("id", "file"), "id")
     return best_per_file(hits).select("query_id", "file", "rank")
 
 
