@@ -26,7 +26,9 @@ def glob_regex(glob: str) -> str:
     g = glob.strip("/") + ("/**" if glob.endswith("/") else "")
     out, i = "", 0
     while i < len(g):
-        if g.startswith("**/", i):
+        if g[i] == "\\" and i + 1 < len(g):
+            out, i = out + re.escape(g[i + 1]), i + 2
+        elif g.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif g.startswith("**", i):
             out, i = out + ".*", i + 2

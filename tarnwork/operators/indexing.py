@@ -9,9 +9,9 @@ from tarnwork.functions.paths import ancestors
 
 
 def hash_diff(stored: DataFrame, found: DataFrame, key: list[str], content: str) -> DataFrame:
-    """key, bucket in new, changed, unchanged, deleted; one row per key of either side. Content is compared null-safe."""
-    s = stored.select(*key, F.col(content).alias("_s"), F.lit(True).alias("_in_s")).dropDuplicates(key)
-    f = found.select(*key, F.col(content).alias("_f"), F.lit(True).alias("_in_f")).dropDuplicates(key)
+    """key, bucket in new, changed, unchanged, deleted; one row per key of either side. Of repeated keys the largest content counts; content is compared null-safe."""
+    s = stored.groupBy(*key).agg(F.max(content).alias("_s"), F.lit(True).alias("_in_s"))
+    f = found.groupBy(*key).agg(F.max(content).alias("_f"), F.lit(True).alias("_in_f"))
     bucket = F.when(F.col("_in_s").isNull(), "new").when(F.col("_in_f").isNull(), "deleted").when(F.col("_s").eqNullSafe(F.col("_f")), "unchanged").otherwise("changed")
     return s.join(f, key, "full").select(*key, bucket.alias("bucket"))
 

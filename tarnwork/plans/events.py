@@ -40,6 +40,22 @@ def events_daily(spark: SparkSession, d: str) -> DataFrame:
     return E.daily_counters(_events(spark, d))
 
 
+def _live(spark: SparkSession, d: str) -> DataFrame:
+    """Owners that exist: customers in credit."""
+    return table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("owner"))
+
+
+def events_live(spark: SparkSession, d: str) -> DataFrame:
+    """Pending events of owners that exist, beside excluded paths and one ignore rule."""
+    return E.coalesced(E.of_live_owners(E.watched(_events(spark, d), ["*1.py"]), _live(spark, d)))
+
+
+def events_failed_back(spark: SparkSession, d: str) -> DataFrame:
+    """What is pending after a run that failed on the files that were deleted at last."""
+    all_ = E.coalesced(_events(spark, d))
+    return E.back_to_pending(E.pending_after(_events(spark, d), "2024-01-10 00:00:00"), all_.where("event = 'deleted'"))
+
+
 def events_stream(spark: SparkSession, d: str) -> DataFrame:
     """The coalesced events as a stateful stream over the table's files works them out."""
     source = table(spark, d, "events")
@@ -53,10 +69,12 @@ e AS (SELECT owner, path, "at", seq, CASE k WHEN 'signup' THEN 'created' WHEN 'e
 g AS (SELECT owner, path, arg_max(event, ("at", seq)) AS l, arg_max(event, ("at", seq)) FILTER (event <> 'modified') AS base, max("at") AS "at", count(*) AS seen FROM e GROUP BY 1, 2),
 co AS (SELECT owner, path, CASE WHEN l = 'modified' AND base = 'created' THEN 'created' ELSE l END AS event, "at", seen FROM g)
 """
-QUERIES = {f.__name__: f for f in (events_coalesced, events_pending, events_sessions, events_daily, events_stream)}
+QUERIES = {f.__name__: f for f in (events_coalesced, events_pending, events_sessions, events_daily, events_live, events_failed_back, events_stream)}
 SQL = {
     "events_coalesced": _E + "SELECT * FROM co",
     "events_stream": _E + "SELECT * FROM co",
+    "events_live": _E + "SELECT co.* FROM co JOIN customer ON c_custkey = owner WHERE c_acctbal >= 0 AND NOT ends_with(path, '1.py')",
+    "events_failed_back": _E + "SELECT owner, path, CASE WHEN \"at\" > TIMESTAMP '2024-01-10' THEN event ELSE 'modified' END AS event, \"at\" FROM co WHERE \"at\" > TIMESTAMP '2024-01-10' OR event = 'deleted'",
     "events_pending": _E + "SELECT * FROM co WHERE \"at\" > TIMESTAMP '2024-01-10'",
     "events_sessions": _E + """, s AS (SELECT *, CASE WHEN "at" - lag("at") OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY owner ORDER BY "at", seq, path)), i AS (SELECT *, sum(n) OVER (PARTITION BY owner ORDER BY "at", seq, path ROWS UNBOUNDED PRECEDING) AS k FROM s)
 SELECT owner, min("at") AS first, max("at") AS last, count(*) AS events FROM i GROUP BY owner, k""",

@@ -103,9 +103,9 @@ def file_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_ignores(spark: SparkSession, d: str) -> DataFrame:
-    """Files that their project's extra ignore patterns leave out; patterns are few and join by project."""
-    rule = F.udf(glob_regex, "string")
-    rules = table(spark, d, "projects").select(F.col("id").alias("project_id"), F.explode("extra_ignores").alias("glob")).distinct().withColumn("expression", rule("glob"))
+    """Files that their project's extra ignore patterns leave out: one expression a project."""
+    rule = F.udf(lambda globs: "|".join(f"(?:{glob_regex(g)})" for g in globs), "string")
+    rules = table(spark, d, "projects").where("size(extra_ignores) > 0").select(F.col("id").alias("project_id"), rule("extra_ignores").alias("expression"))
     return _files(spark, d).join(rules, "project_id").where(F.expr("path RLIKE expression")).select(*KEY).distinct()
 
 
@@ -123,9 +123,9 @@ def supported_suffixes(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_identities(spark: SparkSession, d: str) -> DataFrame:
     """Content-derived ids, snippet and size estimate of every piece."""
-    c = _chunks(spark, d).select("chunk_id", *KEY, "start_line", "file_hash", "text").distinct()
+    c = _chunks(spark, d)
     name = F.concat_ws(":", "project_id", "path", F.col("start_line").cast("string"), "file_hash")
-    return c.select("chunk_id", uuid5(NAMESPACE, name).alias("uuid"), F.sha2("text", 256).alias("text_hash"), snippet(F.col("text")).alias("snippet"), token_estimate(F.col("text")).alias("tokens"))
+    return c.select("chunk_id", uuid5(NAMESPACE, name).alias("uuid"), F.sha2("text", 256).alias("text_hash"), snippet(F.col("text")).alias("snippet"), token_estimate(F.col("text")).alias("tokens")).distinct()
 
 
 def pseudo_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +155,11 @@ QUERIES = {
 }
 _SUFFIX = r"lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\.[^.]+)$', 1))"
 _BY_SUFFIX = "CASE {s} WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.java' THEN 'java' WHEN '.c' THEN 'c' WHEN '.sh' THEN 'bash' WHEN '.sql' THEN 'sql' WHEN '.json' THEN 'json' WHEN '.yaml' THEN 'yaml' WHEN '.toml' THEN 'toml' WHEN '.md' THEN 'markdown' END".format(s=_SUFFIX)
+_NAME = "regexp_extract(path, '[^/]*$')"
+_SECRET = " OR ".join(
+    [f"{_NAME} IN ('.env', '.netrc', '.npmrc', '.pypirc')", *[f"starts_with({_NAME}, '{x}')" for x in (".env.", "id_rsa", "id_ed25519", "id_ecdsa", "id_dsa", "credentials", "secrets.")]]
+    + [f"ends_with({_NAME}, '{x}')" for x in (".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".ppk", ".tfvars", ".secret")] + [f"contains('/' || path, '/{x}/')" for x in (".aws", ".ssh")]
+)
 _SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(name))"
 SQL = {
     "index_hash_diff": f"WITH {_F}, {_L}, {_DIFF} SELECT * FROM df",
@@ -167,10 +172,10 @@ SQL = {
     "index_gaps": f"WITH {_F}, {_C}, p AS (SELECT DISTINCT project_id, path, chunk_id, start_line, end_line FROM c SEMI JOIN (SELECT project_id, path, content_hash AS file_hash FROM f) USING (project_id, path, file_hash)), s AS (SELECT *, lag(end_line) OVER (PARTITION BY project_id, path ORDER BY start_line) AS e FROM p) SELECT project_id, path, count(*) AS pieces, count(*) FILTER (start_line <> coalesce(e, 0) + 1) AS breaks FROM s GROUP BY 1, 2",
     "files_under_directories": f"WITH {_F}, {_DIRS} SELECT * FROM dirs",
     "longest_prefix": f"WITH {_F}, {_DIRS} SELECT f.project_id, f.path, arg_max(directory, length(directory)) AS prefix FROM (SELECT DISTINCT project_id, path FROM f) f JOIN dirs ON f.project_id = dirs.project_id AND starts_with(f.path, directory || '/') WHERE files >= 3 GROUP BY 1, 2",
-    "project_ignores": f"WITH {_F} SELECT DISTINCT f.project_id, f.path FROM f JOIN (SELECT id, unnest(extra_ignores) AS g FROM projects) p ON p.id = f.project_id WHERE g = 'docs/**' AND starts_with(f.path, 'docs/')",
+    "project_ignores": f"WITH {_F} SELECT DISTINCT f.project_id, f.path FROM f JOIN (SELECT id, unnest(extra_ignores) AS g FROM projects) p ON p.id = f.project_id WHERE ends_with(g, '/**') AND NOT regexp_matches(left(g, len(g) - 3), '[*?]') AND starts_with(f.path, left(g, len(g) - 2))",
     "language_preview": f"WITH {_F} SELECT coalesce(language, 'other') AS language, count(*) AS files, coalesce(sum(chunk_count), 0) AS pieces FROM f GROUP BY 1",
     "supported_suffixes": f"WITH {_F} SELECT {_BY_SUFFIX} AS language, string_agg(DISTINCT {_SUFFIX}, ',' ORDER BY {_SUFFIX}) AS suffixes FROM f GROUP BY 1 HAVING language IS NOT NULL",
-    "file_filters": f"WITH {_F} SELECT DISTINCT project_id, path, list_has_any(string_split(path, '/'), {EXCLUDED_DIRS!r}) AS excluded, regexp_matches(path, '{'|'.join(glob_regex(g) for g in SECRET_FILES)}') AS secret, list_contains({LOCK_FILES!r}, regexp_extract(path, '[^/]*$')) AS lock, coalesce({_BY_SUFFIX}, 'other') AS by_suffix FROM f",
+    "file_filters": f"WITH {_F} SELECT DISTINCT project_id, path, list_has_any(string_split(path, '/'), {EXCLUDED_DIRS!r}) AS excluded, {_SECRET} AS secret, list_contains({LOCK_FILES!r}, regexp_extract(path, '[^/]*$')) AS lock, coalesce({_BY_SUFFIX}, 'other') AS by_suffix FROM f",
     "chunk_identities": f"WITH {_C}, n AS (SELECT DISTINCT chunk_id, concat_ws(':', project_id, path, start_line, file_hash) AS name, text FROM c), h AS (SELECT *, {_SHA} AS h FROM n) SELECT chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][(instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS uuid, sha256(text) AS text_hash, substring(text, 1, 200) AS snippet, CAST(ceil(length(regexp_replace(text, '\\s', '', 'g')) / 4.0) AS BIGINT) AS tokens FROM h",
     "pseudo_vectors": "WITH n AS (SELECT DISTINCT symbol_name, sha256('0:' || symbol_name) AS h FROM chunks WHERE symbol_name IS NOT NULL), b AS (SELECT symbol_name, i, ((instr('0123456789abcdef', h[2*i+1:2*i+1]) - 1) * 16 + instr('0123456789abcdef', h[2*i+2:2*i+2]) - 1) / 255.0::DOUBLE * 2 - 1 AS x FROM n, range(0, 8) t(i)) SELECT symbol_name, round(max(x) FILTER (i = 0), 6) AS first, round(sum(x), 6) AS total FROM b GROUP BY 1",
     "points_per_file": f"WITH {_C} SELECT project_id, path, count(DISTINCT chunk_id) AS points FROM c GROUP BY 1, 2",

@@ -24,20 +24,21 @@ def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("chars"), F.max("end_line").alias("lines"))
 
 
-def _python(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").where(F.lower("language") == "python").dropDuplicates(["chunk_id"])
+def _python(spark: SparkSession, d: str, word: str) -> DataFrame:
+    """Pieces of Python files that hold a word, each once; only those are shuffled."""
+    c = table(spark, d, "chunks").where((F.lower("language") == "python") & F.col("text").contains(word)).dropDuplicates(["chunk_id"])
     return c.withColumn("path", canonical_path(F.col("file_path")))
 
 
 def structural_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls of log_event per project, and how many arguments they have in all."""
-    found = structural_search(_python(spark, d), ["project_id", "path"], "text", "start_line", "log_event($$$ARGS)", "python")
+    found = structural_search(_python(spark, d, "log_event"), ["project_id", "path"], "text", "start_line", "log_event($$$ARGS)", "python")
     return found.groupBy("project_id").agg(F.count("*").alias("calls"), F.sum(F.size(F.col("lists")["ARGS"])).alias("arguments"))
 
 
 def structural_imports(spark: SparkSession, d: str) -> DataFrame:
     """What plain import statements name."""
-    found = structural_search(_python(spark, d), ["project_id", "path"], "text", "start_line", "import $MOD", "python")
+    found = structural_search(_python(spark, d, "import"), ["project_id", "path"], "text", "start_line", "import $MOD", "python")
     return found.groupBy(F.col("singles")["MOD"].alias("module")).agg(F.count("*").alias("imports"))
 
 

@@ -14,7 +14,9 @@ DAYS = ["queries", "searches", "structural", "rest", "mcp", "reranked"]
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "query_log").dropDuplicates(["id"])
+    """Every id once; where copies differ, the least row by its columns in order."""
+    log = table(spark, d, "query_log")
+    return log.groupBy("id").agg(F.min(F.struct(*[c for c in log.columns if c != "id"])).alias("r")).select("id", "r.*")
 
 
 def usage_per_day(spark: SparkSession, d: str) -> DataFrame:

@@ -57,12 +57,12 @@ class CodeTreeReader(DataSourceReader):
         except OSError:
             return []
 
-    def hidden(self, rel: str, stack: list) -> bool:
+    def hidden(self, rel: str, stack: list, folder: bool = False) -> bool:
         verdict = False
         for base, rules in stack:
             part = rel[len(base) + 1 :] if base else rel
             for pattern, ignores in rules:
-                if pattern.match(part) or pattern.match(part + "/x"):
+                if pattern.match(part) or (folder and pattern.match(part + "/x")):
                     verdict = ignores
         return verdict
 
@@ -71,7 +71,7 @@ class CodeTreeReader(DataSourceReader):
         try:
             info = os.lstat(path)
             if stat.S_ISDIR(info.st_mode):
-                if os.path.basename(rel) in EXCLUDED_DIRS or self.hidden(rel, stack) or ignored(rel, fixed):
+                if os.path.basename(rel) in EXCLUDED_DIRS or self.hidden(rel, stack, folder=True) or ignored(rel, fixed):
                     return
                 inner = [*stack, (rel, self.rules(rel))]
                 for name in sorted(os.listdir(path)):

@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A status and its path, or both paths of a rename or copy; an entry that is cut off gives the path it has.
+CHANGE = re.compile(rb"[RC]\d*\0([^\0]+)\0([^\0]+)(?:\0|$)|[A-Z]\d*\0([^\0]+)(?:\0|$)")
+STATE = re.compile(rb"(?:[RC].|.[RC]) ([^\0]+)\0([^\0]+)(?:\0|$)|.. ([^\0]+)(?:\0|$)", re.S)
+
+
+def _paths(entries: re.Pattern, out: bytes) -> set[str]:
+    return {p.decode("utf-8", "surrogateescape") for m in entries.finditer(out) for p in m.groups() if p}
+
+
 def parse_name_status(out: bytes) -> set[str]:
     """Paths of `git diff --name-status -z`; renames and copies carry two, both count."""
-    words, paths, i = [w.decode("utf-8", "surrogateescape") for w in out.split(b"\0")], set(), 0
-    while i < len(words) and words[i]:
-        n = 2 if words[i][0] in "RC" else 1
-        paths.update(words[i + 1 : i + 1 + n])
-        i += 1 + n
-    return paths
+    return _paths(CHANGE, out)
 
 
 def parse_porcelain(out: bytes) -> set[str]:
     """Paths of `git status --porcelain -z`; a rename's or copy's old name follows as an entry of its own."""
-    words, paths, i = [w.decode("utf-8", "surrogateescape") for w in out.split(b"\0")], set(), 0
-    while i < len(words):
-        if len(words[i]) > 3:
-            paths.add(words[i][3:])
-            if words[i][0] in "RC" or words[i][1] in "RC":
-                i += 1
-                paths.add(words[i])
-        i += 1
-    return paths
+    return _paths(STATE, out)
 
 
 def below(paths: set[str], prefix: str) -> set[str]:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions.globs import EXCLUDED_DIRS, LOCK_FILES, SECRET_FILES, compile_rules, glob_regex
 from tarnwork.session import shared_folder
 
 #: Endings and beginnings of the files that editors write beside the real ones.
@@ -43,6 +44,28 @@ def pending_after(events: DataFrame, cut_at: str) -> DataFrame:
     return coalesced(events).where(F.col("at") > F.lit(cut_at).cast("timestamp"))
 
 
+def watched(events: DataFrame, ignores: list[str] | None = None) -> DataFrame:
+    """Events of paths that discovery would read: not below an excluded directory, no secret or lock file, nothing that the ignore lines leave out. Works on streams."""
+    p = F.col("path")
+    out = F.arrays_overlap(F.slice(F.split(p, "/"), 1, F.greatest(F.size(F.split(p, "/")) - 1, F.lit(1))), F.array(*map(F.lit, EXCLUDED_DIRS))) & p.contains("/")
+    kept = events.where(~out & ~p.rlike("|".join(map(glob_regex, SECRET_FILES))) & ~F.element_at(F.split(p, "/"), -1).isin(LOCK_FILES))
+    verdict = F.lit(False)
+    for pattern, hides in compile_rules(ignores or []):
+        verdict = F.when(p.rlike(pattern.pattern), F.lit(hides)).otherwise(verdict)
+    return kept.where(~verdict)
+
+
+def of_live_owners(events: DataFrame, live: DataFrame, owner: str = "owner") -> DataFrame:
+    """Events whose owner still exists; those of a removed one are dropped, the others flow on."""
+    return events.join(live.select(owner).distinct(), owner, "left_semi")
+
+
+def back_to_pending(pending: DataFrame, failed: DataFrame) -> DataFrame:
+    """pending with the paths that a run failed on, as modified; one that is pending already keeps its event. `failed` has owner, path, at."""
+    new = failed.groupBy("owner", "path").agg(F.max("at").alias("at")).join(pending.select("owner", "path"), ["owner", "path"], "left_anti")
+    return pending.select("owner", "path", "event", "at").unionByName(new.select("owner", "path", F.lit("modified").alias("event"), "at"))
+
+
 def quiet_periods(events: DataFrame, gap: str) -> DataFrame:
     """Sessions of an owner's events that end after `gap` without one: start, end of the last event, events."""
     s = events.groupBy("owner", F.session_window("at", gap).alias("w")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("events"))
