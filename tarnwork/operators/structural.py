@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.functions.paths import under
+
 TOKEN = re.compile(r"(?P<space>\s+)|(?P<comment>#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/)|(?P<text>[rbfuRBFU]{0,2}(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|`[^`]*`)|(?P<var>\${3}[A-Z_][A-Z0-9_]*|\$[A-Z_][A-Z0-9_]*)|(?P<name>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<sign>=>|->|::|:=|[=!<>]=|&&|\|\||\S)")
 OPEN, CLOSE = set("([{"), set(")]}")
 COMMENTS = {"python": "#", "bash": "#", "yaml": "#", "toml": "#"}
@@ -155,3 +157,47 @@ def structural_search(rows: DataFrame, key: list[str], text: str, first_line: st
             yield pd.DataFrame(got, columns=[*key, "start_line", "end_line", "matched", "singles", "lists"])
 
     return near.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", " + MATCH)
+
+
+def restricted_paths(paths: list[str]) -> list[str]:
+    """Paths to search below, in one spelling; absolute ones, those that leave the project and empty ones raise ValueError."""
+    out = []
+    for p in paths:
+        q = re.sub(r"/+", "/", p.replace("\\", "/")).strip()
+        q = re.sub(r"^(?:\./)+", "", q).rstrip("/")
+        if not q or q == "." or q.startswith("/") or ".." in q.split("/") or re.match(r"[A-Za-z]:", q):
+            raise ValueError(f"not a path within the project: {p!r}")
+        out.append(q)
+    return out
+
+
+def whole_files(pieces: DataFrame, key: list[str]) -> DataFrame:
+    """key and the text of each file, its pieces in the order of their lines, each once. A row is one file's text."""
+    each = pieces.select(*key, F.struct(F.coalesce("start_line", F.lit(1)).alias("n"), "chunk_id", F.coalesce("text", F.lit("")).alias("t")).alias("_p"))
+    return each.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_set("_p")), lambda p: p["t"]), "").alias("text"))
+
+
+def search_files(pieces: DataFrame, pattern: str, language: str, paths: list[str] | None = None, max_results: int | None = None) -> DataFrame:
+    """project_id, path, file_hash and a row per match in whole files, so that matches over the border of two pieces are found.
+
+    `pieces` needs project_id, path, file_hash, chunk_id, start_line, language, text. Only files with a
+    piece that holds the pattern's longest name are put together. With `max_results` the first
+    matches by path and line come, and `truncated` tells whether as many as that were found. A
+    bad pattern, a bad path or a number below 1 raises ValueError before anything runs.
+    """
+    if max_results is not None and max_results < 1:
+        raise ValueError("max_results must be at least 1")
+    key = ["project_id", "path", "file_hash"]
+    name = Pattern(pattern, language).literal()
+    mine = pieces.where(F.lower("language") == language)
+    if paths is not None:
+        inside = F.lit(False)
+        for p in restricted_paths(paths):
+            inside = inside | under(F.col("path"), F.lit(p))
+        mine = mine.where(inside)
+    files = whole_files(mine.join(mine.where(F.col("text").contains(name)).select(*key).distinct(), key, "left_semi"), key)
+    found = structural_search(files.withColumn("_first", F.lit(1)), key, "text", "_first", pattern, language)
+    if max_results is None:
+        return found.withColumn("truncated", F.lit(False))
+    some = found.orderBy(*key, "start_line", "end_line", "matched").limit(max_results)
+    return some.join(F.broadcast(some.agg((F.count("*") == max_results).alias("truncated"))))

@@ -6,7 +6,7 @@ import pytest
 from tarnwork.operators import indexing as I
 from tarnwork.operators import runs as R
 from tarnwork.operators.chunking import chunk_texts, cut, estimate
-from tarnwork.operators.structural import Pattern, structural_search
+from tarnwork.operators.structural import Pattern, restricted_paths, search_files, structural_search
 from tarnwork.sources import gitstreams, labels
 from tarnwork.sources.filesystem import CodeTree
 from tarnwork.sources.snapshots import SnapshotTable
@@ -128,3 +128,20 @@ def test_labels_and_settings(spark, tmp_path):
     s.write_text('top_k = "5"\n')
     with pytest.raises(ValueError):
         labels.load_settings(str(s))
+
+
+def test_structural_search_over_whole_files(spark):
+    text = ["def f(a):\n    db.Exec(\n", "        'x', a)\n    db.Exec(b)\n"]
+    data = [("p", "src/a.py", "h", "1", 1, "python", text[0]), ("p", "src/a.py", "h", "2", 3, "python", text[1]), ("p", "lib/b.py", "h", "3", 1, "Python", text[1][17:]), ("p", "src/c.js", "h", "4", 1, "javascript", "db.Exec(1)\n"), ("p", "src/n.py", "h", "5", None, None, None)]
+    df = spark.createDataFrame(data + data[:1], "project_id string, path string, file_hash string, chunk_id string, start_line int, language string, text string")
+    got = search_files(df, "db.Exec($$$ARGS)", "python", paths=["./src/"])
+    assert rows(got, "path", "start_line", "end_line", "truncated") == [("src/a.py", 2, 3, False), ("src/a.py", 4, 4, False)]
+    assert rows(got.selectExpr("size(lists['ARGS']) n")) == [(1,), (2,)]
+    assert rows(search_files(df, "db.Exec($$$ARGS)", "python", max_results=2), "path", "truncated") == [("lib/b.py", True), ("src/a.py", True)]
+    assert rows(search_files(df, "db.Exec($$$ARGS)", "python", max_results=9), "truncated") == [(False,)] * 3
+    for bad in (dict(max_results=0), dict(paths=[""]), dict(paths=["/etc"]), dict(paths=["a/../b"])):
+        with pytest.raises(ValueError):
+            search_files(df, "db.Exec($X)", "python", **bad)
+    with pytest.raises(ValueError):
+        search_files(df, "db.Exec(", "python")
+    assert restricted_paths(["a\\\\b/", "./c//d"]) == ["a/b", "c/d"]
