@@ -101,7 +101,7 @@ def project_overview(spark: SparkSession, d: str) -> DataFrame:
     newest = table(spark, d, "files").agg(F.max("last_indexed_at").alias("_now"))
     met = p.select(F.col("id").alias("project_id"), name.alias("name"), F.coalesce(F.size("dirty_paths"), F.lit(0)).alias("_n")).join(f, "project_id", "left").join(F.broadcast(newest))
     age = F.when(F.col("last_indexed").isNotNull(), F.greatest(F.lit(0), F.floor((F.unix_micros("_now") - F.unix_micros("last_indexed")) / 1e6)))
-    return met.select("project_id", "name", F.greatest("_n", F.lit(0)).alias("pending"), "last_indexed", age.cast("bigint").alias("age_seconds"))
+    return met.select("project_id", "name", F.greatest("_n", F.lit(0)).cast("bigint").alias("pending"), "last_indexed", age.cast("double").alias("age_seconds"))
 
 
 def overview_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,7 @@ QUERIES = {
 }
 _OVER = """p AS (SELECT id AS project_id, coalesce(nullif(string_split(root_path, '/')[-1], ''), root_path) AS name, coalesce(len(dirty_paths), 0) AS pending FROM projects),
 x AS (SELECT project_id, max(last_indexed_at) AS last_indexed FROM files GROUP BY 1),
-o AS (SELECT p.project_id, name, pending, last_indexed, CAST(floor((epoch_us((SELECT max(last_indexed_at) FROM files)) - epoch_us(last_indexed)) / 1e6::DOUBLE) AS BIGINT) AS age_seconds FROM p LEFT JOIN x USING (project_id))"""
+o AS (SELECT p.project_id, name, pending, last_indexed, CAST(floor((epoch_us((SELECT max(last_indexed_at) FROM files)) - epoch_us(last_indexed)) / 1e6::DOUBLE) AS DOUBLE) AS age_seconds FROM p LEFT JOIN x USING (project_id))"""
 SQL = {
     "run_orphan_points": f"{_ALL} SELECT DISTINCT chunk_id, project_id, path FROM c WHERE (project_id, path) NOT IN (SELECT (project_id, path) FROM f) AND (project_id, path) NOT IN (SELECT (project_id, path) FROM l) AND (project_id, path) NOT IN (SELECT (project_id, path) FROM fl) AND NOT {_UNDER.format('un', 'c')}",
     "run_readmitted": f"{_ALL} SELECT project_id, path FROM l ANTI JOIN f USING (project_id, path) WHERE {_UNDER.format('un', 'l')}",
