@@ -101,7 +101,7 @@ def failing_files(spark: SparkSession, d: str) -> DataFrame:
     return last.join(parts, "seq").groupBy("owner", "seq").agg(F.count("*").alias("parts"))
 
 
-_L = "l AS (SELECT DISTINCT ON (id) * FROM query_log)"
+_L = f"l AS (SELECT DISTINCT ON (id) * FROM query_log ORDER BY id, {', '.join(c + ' NULLS FIRST' for c in ('ts', 'interface', 'kind', 'project_id', 'channel', 'reranked', 'latency_ms', 'result_count'))})"
 _CNT = "count(*) AS queries, count(*) FILTER (kind = 'search') AS searches, count(*) FILTER (kind = 'structural') AS structural, count(*) FILTER (interface = 'rest') AS rest, count(*) FILTER (interface = 'mcp') AS mcp, count(*) FILTER (reranked) AS reranked"
 _DAY = "CAST(ts AT TIME ZONE 'UTC' AS DATE)"
 _R = "r AS (SELECT o_custkey AS owner, o_orderdate AS \"at\", o_orderkey AS seq, o_orderstatus AS status FROM orders)"
