@@ -26,7 +26,7 @@ def usage_per_day(spark: SparkSession, d: str) -> DataFrame:
 def usage_recent(spark: SparkSession, d: str) -> DataFrame:
     """The last 30 days before the newest entry."""
     log = _log(spark, d)
-    end = log.agg(F.to_date(F.max("ts")).alias("_end"))
+    end = table(spark, d, "query_log").agg(F.to_date(F.max("ts")).alias("_end"))  # copies don't change the newest
     return U.per_day(log.join(F.broadcast(end), F.to_date("ts") >= F.date_sub("_end", 29)))
 
 

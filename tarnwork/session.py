@@ -29,6 +29,9 @@ def session(app: str = "tarnwork", cpus: str = "8", **conf: str) -> SparkSession
     return builder.getOrCreate()
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for data that later stages read: what spark.checkpoint.dir names.
 
@@ -41,8 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _folders.get(sc.applicationId) or _folders.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return folder
 
 
@@ -62,13 +64,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-_built: dict[tuple[str, str], DataFrame] = {}
+_built: dict[tuple[str, str], tuple[DataFrame, ...]] = {}
+
+
+def _stands(df: DataFrame) -> bool:
+    """Whether the files of a written table are still there."""
+    sc = df.sparkSession.sparkContext
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return all(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p) for p in paths)
 
 
-def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What build gives, built by the first caller of the session; for stored indexes that later queries read."""
+def once(spark: SparkSession, name: str, build: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """The written tables that build gives, built by the first caller of the session, and anew if their files are gone; for stored indexes that later queries read."""
     key = (spark.sparkContext.applicationId, name)
-    if key not in _built:
+    if key not in _built or not all(map(_stands, _built[key])):
         _built[key] = build()
     return _built[key]
 
