@@ -154,7 +154,7 @@ def highest_weights(weights: DataFrame) -> DataFrame:
 
 def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The weighted postings, in each part sorted by term and weight so that a term's highest weights lie together, and highest_weights; both written once."""
-    weights = bm25_weights(cut(postings(rows, key, text, keep)), key, keep)
+    weights = bm25_weights(written(postings(rows, key, text, keep)), key, keep)
     weights = written(weights.sortWithinPartitions("term", F.col("weight").desc()))
     return weights, written(highest_weights(weights))
 
