@@ -6,15 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import overlap, words
-from tarnwork.session import cut, written
+from tarnwork.session import written
 
 BLOCK, QUERY_BATCH = 50_000, 256
-#: Share of a query's highest weights that its first words make up, and room for rounding in bounds.
-FIRST_WORDS, SLACK = 0.2, 1e-6
+#: Postings of a group of rows. Terms held by more than a share of a block's rows are kept as full lines, up to so many bytes.
+POSTINGS, LINE_SHARE, LINES_BYTES = 3_000_000, 0.08, 64 << 20
+#: Pieces of a block's scores whose maxima give a floor. Two scores may be rounded to the same 6 places and differ by less than this.
+PIECES, ROUNDING = 32, 2e-6
 K1, B = 1.2, 0.75
 RRF_K = 60
 
@@ -122,84 +126,194 @@ def ivf_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int
     return top(scored, ["query_id"], "score", "id", k)
 
 
+def _schema(kinds: dict[str, str], columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+
 def postings(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """term, key, tf, the row's length in words and the columns to keep; rows without words have no postings.
+    """The key, the columns to keep, doc_len (words), terms (distinct words) and tfs (how often each); a row a text, none for texts without words.
 
-    Words are counted where the text is read, before anything is shuffled: what moves is a
-    row per distinct word of a text.
+    Words are counted in the task that reads the text, so nothing is shuffled. The key has to be unique.
     """
-    keep = keep or []
-    tokens = rows.select(F.col(key), *keep, words(F.col(text)).alias("_w"))
-    return tokens.select(key, *keep, F.size("_w").alias("doc_len"), F.explode("_w").alias("term")).groupBy("term", key, "doc_len", *keep).agg(F.count("*").alias("tf"))
+    held = [key, *(keep or [])]
+    tokens = rows.select(*held, words(F.col(text)).alias("_w"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.greater(pc.list_value_length(b.column("_w")), 0))
+            length = pc.list_value_length(b.column("_w")).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = b.column("_w").flatten().dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            pairs, tf = np.unique(np.repeat(np.arange(len(length)), length) * size + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs // size, np.arange(len(length) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (coded.dictionary.take(pa.array(pairs % size)), pa.array(tf, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*map(b.column, held), pa.array(length, pa.int32()), *lists], [*held, "doc_len", "terms", "tfs"])
+
+    return tokens.mapInArrow(count, _schema(dict(tokens.dtypes), held) + ", doc_len int, terms array<string>, tfs array<int>")
 
 
-def corpus_stats(post: DataFrame, key: str) -> DataFrame:
+def corpus_stats(post: DataFrame) -> DataFrame:
     """df per term, beside the number of rows with words and their mean length."""
-    docs = post.groupBy(key).agg(F.max("doc_len").alias("doc_len")).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    return post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(docs), F.lit(True))
+    docs = post.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    return post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(docs), F.lit(True))
 
 
 def bm25_weights(post: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
-    """term, key, the columns to keep, weight: idf times the saturated term frequency."""
-    stats = corpus_stats(post, key)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return post.join(stats, "term").select("term", key, *(keep or []), (idf * tf).alias("weight"))
+    """The key, the columns to keep, terms and weights: the saturated term frequencies, which idf multiplies."""
+    docs = post.agg(F.avg("doc_len").alias("avg_len"))
+    flat = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
+    return post.join(F.broadcast(docs), F.lit(True)).select(key, *(keep or []), "terms", F.transform("tfs", lambda tf: tf * (K1 + 1) / (tf + flat)).alias("weights"))
 
 
-def highest_weights(weights: DataFrame) -> DataFrame:
-    """term and its highest weight, the bound that lets a search leave words out."""
-    return weights.groupBy("term").agg(F.max("weight").alias("high"))
+def idfs(post: DataFrame) -> DataFrame:
+    """term and idf, from postings or weights."""
+    docs = post.agg(F.count("*").alias("n_docs"))
+    df = post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(docs), F.lit(True)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The weighted postings, in each part sorted by term and weight so that a term's highest weights lie together, and highest_weights; both written once."""
-    weights = bm25_weights(written(postings(rows, key, text, keep)), key, keep)
-    weights = written(weights.sortWithinPartitions("term", F.col("weight").desc()))
-    return weights, written(highest_weights(weights))
+    """bm25_weights over postings that are written once, and idfs, written too."""
+    post = written(postings(rows, key, text, keep))
+    return bm25_weights(post, key, keep), written(idfs(post))
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rounded values of the k highest scores above 0; equal rounded values by place."""
+    low = 0.0
+    if (width := len(scores) // PIECES) >= k:  # k pieces have a score that high, so the k-th score is no lower
+        low = np.partition(scores[: width * PIECES].reshape(PIECES, width).max(axis=0), width - k)[width - k]
+    at = np.flatnonzero(scores >= max(low - ROUNDING, np.nextafter(0, 1)))
+    value = np.round(scores[at], 6)
+    first = np.argsort(-value, kind="stable")[:k]
+    return at[first], value[first]
+
 
+class _Block:
+    """The postings of some rows by term, held in memory to score queries against them.
 
-def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] | None = None, highest: DataFrame | None = None) -> DataFrame:
+    `lengths` are the terms per row, `codes` and `weights` those of all rows in turn. Terms that
+    many rows hold are kept as a full line of weights: adding a line is cheaper than adding at
+    places.
+    """
+
+    def __init__(self, lengths: np.ndarray, codes: np.ndarray, weights: np.ndarray):
+        self.n = len(lengths)
+        order = np.argsort(codes, kind="stable")
+        self.rows, self.weights = np.repeat(np.arange(self.n), lengths)[order], weights[order]
+        self.terms, first, held = np.unique(codes[order], return_index=True, return_counts=True)
+        self.ends = np.append(first, len(codes))
+        often = np.argsort(-held, kind="stable")[: min(LINES_BYTES // (8 * self.n), np.count_nonzero(held > LINE_SHARE * self.n))]
+        self.line = np.full(len(self.terms), -1)
+        self.line[often] = np.arange(len(often))
+        self.lines = np.zeros((len(often), self.n))
+        for line, t in zip(self.lines, often):
+            line[self.rows[self.ends[t] : self.ends[t + 1]]] = self.weights[self.ends[t] : self.ends[t + 1]]
+        self.scaled = np.zeros(len(self.terms), dtype=bool)
+
+    def scores(self, codes: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """The score of each row; a term's idf is the same in all calls and multiplied in at the first."""
+        at = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
+        known = self.terms[at] == codes
+        at, idf = at[known], idf[known]
+        for t, i in zip(at, idf):
+            if not self.scaled[t]:
+                self.scaled[t] = True
+                if self.line[t] < 0:
+                    self.weights[self.ends[t] : self.ends[t + 1]] *= i
+                else:
+                    self.lines[self.line[t]] *= i
+        line = self.line[at]
+        some = [slice(self.ends[t], self.ends[t + 1]) for t in at[line < 0]]
+        score = np.bincount(np.concatenate([self.rows[x] for x in some]), np.concatenate([self.weights[x] for x in some]), self.n) if some else np.zeros(self.n)
+        for x in line[line >= 0]:
+            score += self.lines[x]
+        return score
+
+
+class _Group:
+    """The rows of a group, in a block for each value of the filters, which is made when a query first has it."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        rows = rows.take(pc.sort_indices(rows.select(["_kind", "id"]), sort_keys=[("_kind", "ascending"), ("id", "ascending")])).combine_chunks()
+        column = lambda c: pa.concat_arrays(rows[c].chunks)
+        self.ids, terms = column("id"), column("terms")
+        coded = terms.flatten().dictionary_encode()
+        self.words, self.codes = coded.dictionary, coded.indices.to_numpy()
+        self.weights = column("weights").flatten().to_numpy()
+        self.lengths = pc.list_value_length(terms).to_numpy().astype(np.int64)
+        self.ends = np.append(0, np.cumsum(self.lengths))
+        kinds = column("_kind").dictionary_encode()
+        first = np.searchsorted(kinds.indices.to_numpy(), np.arange(len(kinds.dictionary) + 1))
+        self.spans = {kind: (first[i], first[i + 1]) for i, kind in enumerate(kinds.dictionary.to_pylist())}
+        self.blocks: dict[str, _Block] = {}
+
+    def block(self, kind: str) -> _Block:
+        if kind not in self.blocks:
+            a, b = self.spans[kind]
+            some = slice(self.ends[a], self.ends[b])
+            self.blocks[kind] = _Block(self.lengths[a:b], self.codes[some], self.weights[some])
+        return self.blocks[kind]
+
+    def answer(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """query_id, id, score: the k best rows of the group for each query."""
+        codes = pc.fill_null(pc.index_in(asked.column("terms").flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        idf = asked.column("weights").flatten().to_numpy()
+        ends = np.append(0, np.cumsum(pc.list_value_length(asked.column("terms")).to_numpy()))
+        who, places, values = [], [], []
+        for q, kind in enumerate(asked.column("_kind").to_pylist()):
+            if kind in self.spans:
+                at, value = _best(self.block(kind).scores(codes[ends[q] : ends[q + 1]], idf[ends[q] : ends[q + 1]]), k)
+                who.append(np.full(len(at), q))
+                places.append(at + self.spans[kind][0])
+                values.append(value)
+        joined = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
+        return pa.RecordBatch.from_arrays([asked.column("query_id").take(pa.array(joined(who, int))), self.ids.take(pa.array(joined(places, int))), pa.array(joined(values, float))], ["query_id", "id", "score"])
+
+
+def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] | None = None, idf: DataFrame | None = None, block: int = POSTINGS) -> DataFrame:
     """query_id, id, score, rank of the k best rows by BM25; rows without a query word are absent.
 
-    `queries` has query_id, text and the filter columns; `weights` has term, id, weight and the
-    same, is read several times and should be written; `highest` is highest_weights of it. With `filters` a row counts only for
-    queries whose values equal its own (null equals null).
+    `queries` has query_id, text and the filter columns; `weights` has id, terms, weights and the
+    same; `idf` is idfs of it. With `filters` a row counts only for queries whose values equal
+    its own (null equals null). Scores are rounded to 6 places, ties go to the smaller id.
 
-    No row that could be among the k best is left out, but most pairs are never scored. A
-    query's words are ordered by their highest weight. The first ones give k rows and with the
-    k-th of their scores a floor. Words whose highest weights together, with those of all words
-    behind them, do not reach the floor find no new rows: these are the words that most rows
-    hold. Rows found by the others are scored to the end if they can still reach the k-th score.
+    As in dense, rows are dealt to groups, here of about `block` postings, and each group gets
+    all queries: rows are shuffled once, the query set once a group. A task holds one group and
+    scores every row of it that a query may find, so the result is exact, and only the k best
+    of each query and group go on. No pair of query word and posting becomes a row.
     """
     filters = filters or []
-    asked = queries.select("query_id", *[F.col(f).alias(f"_q_{f}") for f in filters], F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    order = Window.partitionBy("query_id").orderBy(F.col("high").desc(), "term")
-    # the highest weights of a word and all behind it, and of all words of the query
-    mass = {"_reach": F.sum("high").over(order.rowsBetween(0, Window.unboundedFollowing)), "_all": F.sum("high").over(Window.partitionBy("query_id"))}
-    plan = written(asked.join(highest_weights(weights) if highest is None else highest, "term").withColumns(mass))  # written, not cut: its size decides how it is joined
-    alike = [F.col(f"_q_{f}").eqNullSafe(F.col(f)) for f in filters]
-
-    def scored(some: DataFrame) -> DataFrame:
-        met = some.join(weights, "term")
-        for a in alike:
-            met = met.where(a)
-        return met.groupBy("query_id", "id").agg(F.sum("weight").alias("_s"))
-
-    def floor_of(scores: DataFrame) -> DataFrame:
-        """The k-th score of each query that has k rows."""
-        best = top(scores, ["query_id"], "_s", "id", k)
-        return best.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("_s").alias("_floor")).where(F.col("_n") == k).select("query_id", "_floor")
-
-    first = plan.where(F.col("_reach") > (1 - FIRST_WORDS) * F.col("_all"))
-    split = written(plan.join(floor_of(scored(first)), "query_id", "left").withColumn("_finds", F.col("_reach") >= F.coalesce("_floor", F.lit(0.0)) - SLACK).select("query_id", *[f"_q_{f}" for f in filters], "term", "_reach", "_finds"))
-    part = written(scored(split.where("_finds")))
-    late = split.where("NOT _finds")
-    open_ = part.join(floor_of(part), "query_id", "left").join(late.groupBy("query_id").agg(F.max("_reach").alias("_left")), "query_id", "left")
-    alive = open_.where(F.col("_s") + F.coalesce("_left", F.lit(0.0)) >= F.coalesce("_floor", F.lit(0.0)) - SLACK).select("query_id", "id", "_s")
-    more = alive.select("query_id", "id").join(late.select("query_id", "term"), "query_id").join(weights.select("term", "id", "weight"), ["term", "id"]).select("query_id", "id", F.col("weight").alias("_s"))
-    whole = alive.unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("_s"), 6).alias("score"))
-    return top(whole, ["query_id"], "score", "id", k)
+    kinds, asked_kinds = dict(weights.dtypes), dict(queries.dtypes)
+
+    def kind() -> Column:
+        """One text for the filter values, equal where all of them are."""
+        same = [F.col(f).cast(kinds[f]) for f in filters]
+        same = [c + F.lit(0).cast(kinds[f]) if kinds[f] in ("float", "double") else c for c, f in zip(same, filters)]  # -0.0 equals 0.0
+        return (F.to_json(F.array(*[c.cast("string") for c in same])) if filters else F.lit("")).alias("_kind")
+
+    count = weights.agg(F.sum(F.size("terms").cast("bigint"))).first()[0] or 0
+    groups = max(weights.sparkSession.sparkContext.defaultParallelism, -(-count // block))
+    none = lambda t: F.lit(None).cast(t)
+    held = weights.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), kind(), "terms", "weights")
+    each = queries.select("query_id", kind(), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    each = each.join(idfs(weights) if idf is None else idf, "term").groupBy("query_id", "_kind").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("_words"))
+    asked = each.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), F.lit(1).alias("_side"), none(kinds["id"]).alias("id"), "query_id", "_kind", F.col("_words.term").alias("terms"), F.col("_words.idf").alias("weights"))
+    both = held.unionByName(asked).repartitionById(groups, "_g").sortWithinPartitions("_side")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, group = [], None
+        for b in batches:
+            mine = pc.sum(pc.equal(b.column("_side"), 0)).as_py() or 0
+            if mine:
+                parts.append(b.slice(0, mine))
+            if mine < b.num_rows and parts:
+                group = group or _Group(parts)
+                yield group.answer(b.slice(mine), k)
+
+    found = both.mapInArrow(best, f"query_id {asked_kinds['query_id']}, id {kinds['id']}, score double")
+    return top(found, ["query_id"], "score", "id", k)
 
 
 def fuse(ranked: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -211,16 +325,16 @@ def fuse(ranked: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
     return top(fused, ["query_id"], "score", "id", k)
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, weights: DataFrame, k: int, prefetch: int = 50, filters: list[str] | None = None, highest: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, rows: DataFrame, weights: DataFrame, k: int, prefetch: int = 50, filters: list[str] | None = None, idf: DataFrame | None = None) -> DataFrame:
     """Fusion of the dense and the lexical channel, each to depth max(prefetch, k), each with the filters."""
     depth = max(prefetch, k)
-    return fuse([dense(queries, rows, depth, filters), sparse(queries, weights, depth, filters, highest)], k)
+    return fuse([dense(queries, rows, depth, filters), sparse(queries, weights, depth, filters, idf)], k)
 
 
 CHANNELS = ("hybrid", "dense", "sparse")
 
 
-def search(queries: DataFrame, rows: DataFrame, weights: DataFrame | None, channel: str = "hybrid", top_k: int = 10, candidates: int = 50, filters: list[str] | None = None, reranked: bool = False, score: Column | None = None, highest: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, weights: DataFrame | None, channel: str = "hybrid", top_k: int = 10, candidates: int = 50, filters: list[str] | None = None, reranked: bool = False, score: Column | None = None, idf: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank (and rerank_score): one entry for all channels.
 
     Filters hold inside each channel, before fusion and ranks. A reranked search asks the channel
@@ -238,9 +352,9 @@ def search(queries: DataFrame, rows: DataFrame, weights: DataFrame | None, chann
     if channel == "dense":
         hits = dense(queries, rows, depth, filters)
     elif channel == "sparse":
-        hits = sparse(queries, weights, depth, filters, highest)
+        hits = sparse(queries, weights, depth, filters, idf)
     else:
-        hits = hybrid(queries, rows, weights, depth, candidates, filters, highest)
+        hits = hybrid(queries, rows, weights, depth, candidates, filters, idf)
     return rerank(hits, queries, rows, top_k, score) if reranked else hits
 
 

@@ -23,14 +23,14 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The weighted postings of the documents with their kind and the highest weights, built once a session and folder."""
+    """The weighted postings of the documents with their kind, and the idf of each term, built once a session and folder."""
     rows = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "doc_kind"))
     return once(spark, f"lexical:{d}", lambda: S.lexical_index(rows, "id", "text", ["doc_kind"]))
 
 
 def _sparse(spark: SparkSession, d: str, queries: DataFrame, k: int) -> DataFrame:
-    weights, highest = lexical_index(spark, d)
-    return S.sparse(queries, weights, k, highest=highest)
+    weights, idf = lexical_index(spark, d)
+    return S.sparse(queries, weights, k, idf=idf)
 
 
 def search_dense(spark: SparkSession, d: str) -> DataFrame:
@@ -66,22 +66,22 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
 
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     rows = _both(spark, d)
-    weights, highest = lexical_index(spark, d)
-    return S.hybrid(_asked(rows), rows, weights, 10, highest=highest).select("query_id", "id", "score", "rank")
+    weights, idf = lexical_index(spark, d)
+    return S.hybrid(_asked(rows), rows, weights, 10, idf=idf).select("query_id", "id", "score", "rank")
 
 
 def search_sparse_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Only rows of the query's own kind."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "doc_kind")
-    weights, highest = lexical_index(spark, d)
-    return S.search(_asked(rows), rows, weights, channel="sparse", filters=["doc_kind"], highest=highest).select("query_id", "id", "score", "rank")
+    weights, idf = lexical_index(spark, d)
+    return S.search(_asked(rows), rows, weights, channel="sparse", filters=["doc_kind"], idf=idf).select("query_id", "id", "score", "rank")
 
 
 def search_code(spark: SparkSession, d: str) -> DataFrame:
     """The whole search: both channels within the query's own kind, fused, the 50 best ranked anew, 10 given."""
     rows = _both(spark, d)
-    weights, highest = lexical_index(spark, d)
-    hits = S.search(_asked(rows), rows, weights, highest=highest, top_k=10, candidates=50, filters=["doc_kind"], reranked=True)
+    weights, idf = lexical_index(spark, d)
+    hits = S.search(_asked(rows), rows, weights, idf=idf, top_k=10, candidates=50, filters=["doc_kind"], reranked=True)
     return hits.select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
@@ -93,7 +93,7 @@ def search_reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    stats = S.corpus_stats(cut(S.postings(_texts(spark, d), "id", "text")), "id")
+    stats = S.corpus_stats(cut(S.postings(_texts(spark, d), "id", "text")))
     return stats.select("term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
