@@ -26,7 +26,7 @@ def shuffled(spark, run):
 
 
 #: Registered queries and the records a document that they may shuffle on a stored index.
-MOST = [("best_rank_per_source", 6), ("search_reranked", 6), ("search_hybrid", 6), ("search_code", 4.5)]
+MOST = [("best_rank_per_source", 6), ("search_reranked", 6), ("search_hybrid", 6), ("search_code", 4.5), ("search_sparse_filtered", 2.5)]
 
 
 def test_the_index_shuffles_counts_of_words_only(spark):
@@ -39,3 +39,23 @@ def test_no_pairs_are_shuffled(spark, name, most):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     lexical_index(spark, SMALL)
     assert shuffled(spark, lambda: QUERIES[name](spark, SMALL).write.format("noop").mode("overwrite").save()) < most * docs
+
+
+def test_filtered_search_over_many_groups(spark):
+    texts = [["a b", "b b c", "a", "c d a", None, ""][i % 6] for i in range(240)]
+    kinds = [[None, "x", "y"][i % 5 % 3] for i in range(240)]
+    df = spark.createDataFrame(list(zip(range(240), texts, kinds)), "id bigint, text string, kind string")
+    asked = df.where("id % 20 < 2").withColumnRenamed("id", "query_id")
+    weights = S.bm25_weights(S.postings(df, "id", "text", ["kind"]), "id", ["kind"])
+    got = {}
+    for r in S.sparse(asked, weights, 7, filters=["kind"], block=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    flat = S.bm25_weights(S.postings(df, "id", "text", ["kind"]), "id", ["kind"]).collect()
+    idf = {r.term: r.idf for r in S.idfs(weights).collect()}
+    want = {}
+    for q in (i for i in range(240) if i % 20 < 2):
+        mine = set((texts[q] or "").split())
+        score = {r.id: round(sum(w * idf[t] for t, w in zip(r.terms, r.weights) if t in mine), 6) for r in flat if kinds[r.id] == kinds[q] and mine & set(r.terms)}
+        if score:
+            want[q] = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:7]
+    assert got == want
