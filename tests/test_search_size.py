@@ -26,7 +26,7 @@ def shuffled(spark, run):
 
 
 #: Registered queries and the records a document that they may shuffle on a stored index.
-MOST = [("best_rank_per_source", 6), ("search_reranked", 6), ("search_hybrid", 6), ("search_code", 4.5), ("search_sparse_filtered", 2.5), ("eval_metrics", 4)]
+MOST = [("best_rank_per_source", 6), ("search_reranked", 6), ("search_hybrid", 6), ("search_code", 4.5), ("search_sparse_filtered", 2.5), ("eval_metrics", 4), ("search_sparse", 4)]
 
 
 def test_the_index_shuffles_counts_of_words_only(spark):
