@@ -15,10 +15,10 @@ from tarnwork.functions.text import overlap, words
 from tarnwork.session import written
 
 BLOCK, QUERY_BATCH = 50_000, 256
-#: Postings of a group of rows. Terms held by more than a share of a block's rows are kept as full lines, up to so many bytes.
-POSTINGS, LINE_SHARE, LINES_BYTES = 3_000_000, 0.08, 64 << 20
-#: Pieces of a block's scores whose maxima give a floor. Two scores may be rounded to the same 6 places and differ by less than this.
-PIECES, ROUNDING = 32, 2e-6
+#: Postings of a group of rows. Terms held by more than a share of a block's rows are kept as full lines, up to so many bytes. Bytes of the scores that are made at once.
+POSTINGS, LINE_SHARE, LINES_BYTES, SCORES_BYTES = 3_000_000, 0.04, 80 << 20, 24 << 20
+#: Pieces of a block's scores whose maxima give a floor. Two scores may be rounded to the same 6 places and differ by less than this. Share by which a rounding to single precision is off, doubled.
+PIECES, ROUNDING, SINGLE = 32, 2e-6, 2**-23
 K1, B = 1.2, 0.75
 RRF_K = 60
 
@@ -166,10 +166,10 @@ def bm25_weights(post: DataFrame, key: str, keep: list[str] | None = None) -> Da
 
 
 def idfs(post: DataFrame) -> DataFrame:
-    """term and idf, from postings or weights."""
+    """term, df and idf, from postings or weights."""
     docs = post.agg(F.count("*").alias("n_docs"))
     df = post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(docs), F.lit(True)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return df.join(F.broadcast(docs), F.lit(True)).select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -178,57 +178,78 @@ def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None =
     return bm25_weights(post, key, keep), written(idfs(post))
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and rounded values of the k highest scores above 0; equal rounded values by place."""
-    low = 0.0
-    if (width := len(scores) // PIECES) >= k:  # k pieces have a score that high, so the k-th score is no lower
-        low = np.partition(scores[: width * PIECES].reshape(PIECES, width).max(axis=0), width - k)[width - k]
-    at = np.flatnonzero(scores >= max(low - ROUNDING, np.nextafter(0, 1)))
-    value = np.round(scores[at], 6)
-    first = np.argsort(-value, kind="stable")[:k]
-    return at[first], value[first]
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of each range in turn."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
 class _Block:
-    """The postings of some rows by term, held in memory to score queries against them.
+    """Some rows of a group with their postings by term, held in memory to score queries against them.
 
-    `lengths` are the terms per row, `codes` and `weights` those of all rows in turn. Terms that
-    many rows hold are kept as a full line of weights: adding a line is cheaper than adding at
-    places.
+    Terms that many rows hold are kept as a full line of weights: many queries are multiplied with
+    all lines at once. These scores have single precision, so they only choose the rows that may
+    be among the best; those are scored anew in double precision.
     """
 
-    def __init__(self, lengths: np.ndarray, codes: np.ndarray, weights: np.ndarray):
-        self.n = len(lengths)
-        order = np.argsort(codes, kind="stable")
-        self.rows, self.weights = np.repeat(np.arange(self.n), lengths)[order], weights[order]
-        self.terms, first, held = np.unique(codes[order], return_index=True, return_counts=True)
-        self.ends = np.append(first, len(codes))
-        often = np.argsort(-held, kind="stable")[: min(LINES_BYTES // (8 * self.n), np.count_nonzero(held > LINE_SHARE * self.n))]
+    def __init__(self, ends: np.ndarray, codes: np.ndarray, weights: np.ndarray):
+        """Of row i the codes and weights at ends[i] up to ends[i + 1]."""
+        self.n, self.ends, self.codes, self.weights = len(ends) - 1, ends, codes, weights
+        mine = slice(ends[0], ends[-1])
+        order = np.argsort(codes[mine], kind="stable")
+        self.rows, self.held = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))[order], weights[mine][order].astype(np.float32)
+        self.terms, first, often = np.unique(codes[mine][order], return_index=True, return_counts=True)
+        self.first = np.append(first, len(order))
+        lined = np.argsort(-often, kind="stable")[: min(LINES_BYTES // (4 * self.n), np.count_nonzero(often > LINE_SHARE * self.n))]
         self.line = np.full(len(self.terms), -1)
-        self.line[often] = np.arange(len(often))
-        self.lines = np.zeros((len(often), self.n))
-        for line, t in zip(self.lines, often):
-            line[self.rows[self.ends[t] : self.ends[t + 1]]] = self.weights[self.ends[t] : self.ends[t + 1]]
-        self.scaled = np.zeros(len(self.terms), dtype=bool)
-
-    def scores(self, codes: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """The score of each row; a term's idf is the same in all calls and multiplied in at the first."""
-        at = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
-        known = self.terms[at] == codes
-        at, idf = at[known], idf[known]
-        for t, i in zip(at, idf):
-            if not self.scaled[t]:
-                self.scaled[t] = True
-                if self.line[t] < 0:
-                    self.weights[self.ends[t] : self.ends[t + 1]] *= i
-                else:
-                    self.lines[self.line[t]] *= i
-        line = self.line[at]
-        some = [slice(self.ends[t], self.ends[t + 1]) for t in at[line < 0]]
-        score = np.bincount(np.concatenate([self.rows[x] for x in some]), np.concatenate([self.weights[x] for x in some]), self.n) if some else np.zeros(self.n)
-        for x in line[line >= 0]:
-            score += self.lines[x]
-        return score
+        self.line[lined] = np.arange(len(lined))
+        self.lines = np.zeros((len(lined), self.n), np.float32)
+        for line, t in zip(self.lines, lined):
+            line[self.rows[self.first[t] : self.first[t + 1]]] = self.held[self.first[t] : self.first[t + 1]]
+
+    def near(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The scores of each row for each query (codes, idf), in single precision."""
+        factors, rare = np.zeros((len(asked), len(self.lines)), np.float32), []
+        for q, (codes, idf) in enumerate(asked):
+            at = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
+            known = self.terms[at] == codes
+            at, idf = at[known], idf[known].astype(np.float32)
+            line = self.line[at]
+            factors[q, line[line >= 0]] = idf[line >= 0]
+            rare.append((at[line < 0], idf[line < 0]))
+        scores = factors @ self.lines
+        for score, (at, idf) in zip(scores, rare):
+            for t, i in zip(at, idf):
+                mine = slice(self.first[t], self.first[t + 1])
+                score[self.rows[mine]] += self.held[mine] * i
+        return scores
+
+    def best(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, idf_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each query the places and rounded scores of the k best rows above 0, and how many query words each has; equal rounded scores by place. idf_of has a 0 for each code."""
+        scores = self.near(asked)
+        width = self.n // PIECES if self.n // PIECES >= k else 0
+        cut = width * PIECES
+        if width:  # k pieces have a score that high, so the k-th score is no lower
+            most = scores[:, :cut].reshape(len(asked), PIECES, width).max(axis=1)
+            low = np.partition(most, width - k, axis=1)[:, width - k].astype(float)
+        for q, (codes, idf) in enumerate(asked):
+            floor = max(low[q] * (1 - 3 * (len(codes) + 8) * SINGLE) - ROUNDING, 0) if width else 0  # a sum of n numbers above 0 is off by a share of n roundings at most
+            rest = cut + np.flatnonzero(scores[q, cut:] >= floor)
+            if width:
+                of = np.flatnonzero(most[q] >= floor)
+                piece, place = np.nonzero(scores[q, :cut].reshape(PIECES, width)[:, of] >= floor)
+                rest = np.concatenate([np.sort(piece * width + of[place]), rest])
+            at = rest[scores[q, rest] > 0]
+            if not len(at):
+                yield at, np.empty(0), at
+                continue
+            idf_of[codes] = idf
+            lengths = self.ends[at + 1] - self.ends[at]
+            where, starts = _ranges(self.ends[at], lengths), np.cumsum(lengths) - lengths
+            factor = idf_of[self.codes[where]]
+            value = np.round(np.add.reduceat(self.weights[where] * factor, starts), 6)
+            idf_of[codes] = 0
+            first = np.argsort(-value, kind="stable")[:k]
+            yield at[first], value[first], np.add.reduceat(factor > 0, starts, dtype=int)[first]
 
 
 class _Group:
@@ -238,12 +259,12 @@ class _Group:
         rows = pa.Table.from_batches(parts)
         rows = rows.take(pc.sort_indices(rows.select(["_kind", "id"]), sort_keys=[("_kind", "ascending"), ("id", "ascending")])).combine_chunks()
         column = lambda c: pa.concat_arrays(rows[c].chunks)
-        self.ids, terms = column("id"), column("terms")
+        self.ids, terms = column("id"), pc.split_pattern(column("terms"), " ")
         coded = terms.flatten().dictionary_encode()
         self.words, self.codes = coded.dictionary, coded.indices.to_numpy()
+        self.idf_of = np.zeros(len(self.words))
         self.weights = column("weights").flatten().to_numpy()
-        self.lengths = pc.list_value_length(terms).to_numpy().astype(np.int64)
-        self.ends = np.append(0, np.cumsum(self.lengths))
+        self.ends = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy().astype(np.int64)))
         kinds = column("_kind").dictionary_encode()
         first = np.searchsorted(kinds.indices.to_numpy(), np.arange(len(kinds.dictionary) + 1))
         self.spans = {kind: (first[i], first[i + 1]) for i, kind in enumerate(kinds.dictionary.to_pylist())}
@@ -252,29 +273,43 @@ class _Group:
     def block(self, kind: str) -> _Block:
         if kind not in self.blocks:
             a, b = self.spans[kind]
-            some = slice(self.ends[a], self.ends[b])
-            self.blocks[kind] = _Block(self.lengths[a:b], self.codes[some], self.weights[some])
+            self.blocks[kind] = _Block(self.ends[a : b + 1], self.codes, self.weights)
         return self.blocks[kind]
 
     def answer(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
-        """query_id, id, score: the k best rows of the group for each query."""
-        codes = pc.fill_null(pc.index_in(asked.column("terms").flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        """query_id, id, score, shared: the k best rows of the group for each query."""
+        terms = pc.split_pattern(asked.column("terms"), " ")
+        codes = pc.fill_null(pc.index_in(terms.flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False)
         idf = asked.column("weights").flatten().to_numpy()
-        ends = np.append(0, np.cumsum(pc.list_value_length(asked.column("terms")).to_numpy()))
-        who, places, values = [], [], []
+        ends = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy()))
+        of: dict[str, list[int]] = {}
         for q, kind in enumerate(asked.column("_kind").to_pylist()):
             if kind in self.spans:
-                at, value = _best(self.block(kind).scores(codes[ends[q] : ends[q + 1]], idf[ends[q] : ends[q + 1]]), k)
-                who.append(np.full(len(at), q))
-                places.append(at + self.spans[kind][0])
-                values.append(value)
+                of.setdefault(kind, []).append(q)
+        who, places, values, shared = [], [], [], []
+        for kind, all_queries in of.items():
+            block = self.block(kind)
+            together = max(1, SCORES_BYTES // (4 * block.n))
+            for i in range(0, len(all_queries), together):
+                some = all_queries[i : i + together]
+                words = []
+                for q in some:
+                    mine = codes[ends[q] : ends[q + 1]]
+                    words.append((mine[mine >= 0], idf[ends[q] : ends[q + 1]][mine >= 0]))
+                for q, (at, value, common) in zip(some, block.best(words, k, self.idf_of)):
+                    who.append(np.full(len(at), q))
+                    places.append(at + self.spans[kind][0])
+                    values.append(value)
+                    shared.append(common)
         joined = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        return pa.RecordBatch.from_arrays([asked.column("query_id").take(pa.array(joined(who, int))), self.ids.take(pa.array(joined(places, int))), pa.array(joined(values, float))], ["query_id", "id", "score"])
+        return pa.RecordBatch.from_arrays([asked.column("query_id").take(pa.array(joined(who, int))), self.ids.take(pa.array(joined(places, int))), pa.array(joined(values, float)), pa.array(joined(shared, int), pa.int32())], ["query_id", "id", "score", "shared"])
 
 
-def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] | None = None, idf: DataFrame | None = None, block: int = POSTINGS) -> DataFrame:
+def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] | None = None, idf: DataFrame | None = None, block: int = POSTINGS, shared: bool = False) -> DataFrame:
     """query_id, id, score, rank of the k best rows by BM25; rows without a query word are absent.
 
+    With `shared` also how many distinct words of the query the row has.
+
     `queries` has query_id, text and the filter columns; `weights` has id, terms, weights and the
     same; `idf` is idfs of it. With `filters` a row counts only for queries whose values equal
     its own (null equals null). Scores are rounded to 6 places, ties go to the smaller id.
@@ -282,7 +317,8 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
     As in dense, rows are dealt to groups, here of about `block` postings, and each group gets
     all queries: rows are shuffled once, the query set once a group. A task holds one group and
     scores every row of it that a query may find, so the result is exact, and only the k best
-    of each query and group go on. No pair of query word and posting becomes a row.
+    of each query and group go on. No pair of query word and posting becomes a row. The terms of
+    a row are shuffled as one text, parted by spaces, which no word has.
     """
     filters = filters or []
     kinds, asked_kinds = dict(weights.dtypes), dict(queries.dtypes)
@@ -293,13 +329,14 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
         same = [c + F.lit(0).cast(kinds[f]) if kinds[f] in ("float", "double") else c for c, f in zip(same, filters)]  # -0.0 equals 0.0
         return (F.to_json(F.array(*[c.cast("string") for c in same])) if filters else F.lit("")).alias("_kind")
 
-    count = weights.agg(F.sum(F.size("terms").cast("bigint"))).first()[0] or 0
+    idf = idfs(weights) if idf is None else idf
+    count = idf.agg(F.sum("df")).first()[0] or 0
     groups = max(weights.sparkSession.sparkContext.defaultParallelism, -(-count // block))
     none = lambda t: F.lit(None).cast(t)
-    held = weights.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), kind(), "terms", "weights")
+    held = weights.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), kind(), F.array_join("terms", " ").alias("terms"), "weights")
     each = queries.select("query_id", kind(), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    each = each.join(idfs(weights) if idf is None else idf, "term").groupBy("query_id", "_kind").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("_words"))
-    asked = each.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), F.lit(1).alias("_side"), none(kinds["id"]).alias("id"), "query_id", "_kind", F.col("_words.term").alias("terms"), F.col("_words.idf").alias("weights"))
+    each = each.join(idf.select("term", "idf"), "term").groupBy("query_id", "_kind").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("_words"))
+    asked = each.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), F.lit(1).alias("_side"), none(kinds["id"]).alias("id"), "query_id", "_kind", F.array_join("_words.term", " ").alias("terms"), F.col("_words.idf").alias("weights"))
     both = held.unionByName(asked).repartitionById(groups, "_g").sortWithinPartitions("_side")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +349,8 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
                 group = group or _Group(parts)
                 yield group.answer(b.slice(mine), k)
 
-    found = both.mapInArrow(best, f"query_id {asked_kinds['query_id']}, id {kinds['id']}, score double")
-    return top(found, ["query_id"], "score", "id", k)
+    found = both.mapInArrow(best, f"query_id {asked_kinds['query_id']}, id {kinds['id']}, score double, shared int")
+    return top(found if shared else found.drop("shared"), ["query_id"], "score", "id", k)
 
 
 def fuse(ranked: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -352,25 +389,35 @@ def search(queries: DataFrame, rows: DataFrame, weights: DataFrame | None, chann
     if channel == "dense":
         hits = dense(queries, rows, depth, filters)
     elif channel == "sparse":
-        hits = sparse(queries, weights, depth, filters, idf)
+        hits = sparse(queries, weights, depth, filters, idf, shared=reranked and score is None)
     else:
         hits = hybrid(queries, rows, weights, depth, candidates, filters, idf)
-    return rerank(hits, queries, rows, top_k, score) if reranked else hits
+    if not reranked:
+        return hits
+    return rerank(hits, queries, rows if score is not None or weights is None else weights, top_k, score)
 
 
 def rerank(hits: DataFrame, queries: DataFrame, rows: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     """hits in the order of a second score over query and row text, by default their word overlap.
 
-    `queries` has query_id, text; `rows` has id, text. Ties keep the order of the hits; a
+    `queries` has query_id, text; `rows` has id, text. For word overlap `rows` may have the terms
+    of postings instead, where texts without words have no row, and isn't read at all if the
+    hits tell how many words they share with their query. Ties keep the order of the hits; a
     score that isn't a number comes last and is null. A score of one's own is an expression over
     `_q` and `_t`, the texts.
     """
-    if score is None:  # each text is cut into words once, not once a pair
-        left, right = F.array_distinct(words(F.col("text"))).alias("_q"), F.array_distinct(words(F.col("text"))).alias("_t")
-    else:
-        left, right = F.col("text").alias("_q"), F.col("text").alias("_t")
-    met = hits.join(queries.select("query_id", left), "query_id").join(rows.select("id", right), "id")
-    s = score if score is not None else overlap(F.col("_q"), F.col("_t"))
+    distinct = F.array_distinct(words(F.col("text")))
+    if score is not None:
+        met = hits.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(rows.select("id", F.col("text").alias("_t")), "id")
+        s = score
+    elif "shared" in hits.columns:
+        met = hits.join(queries.select("query_id", F.size(distinct).alias("_n")), "query_id")
+        s = F.when(F.col("_n") > 0, F.col("shared") / F.col("_n")).otherwise(0.0)
+    else:  # each text is cut into words once, not once a pair, and its words are shuffled as one text
+        held = "terms" in rows.columns
+        met = hits.join(queries.select("query_id", F.array_join(distinct, " ").alias("_q")), "query_id")
+        met = met.join(rows.select("id", F.array_join("terms" if held else distinct, " ").alias("_t")), "id", "left" if held else "inner")
+        s = F.when((F.col("_q") != "") & (F.col("_t") != ""), overlap(F.split("_q", " "), F.split("_t", " "))).otherwise(0.0)
     met = met.withColumn("rerank_score", F.when(~F.isnan(s) & (F.abs(s) < F.lit(float("inf"))), s))
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), F.col("rank"))
     return met.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).select("query_id", "id", "score", "rerank_score", F.col("new_rank").alias("rank"))

@@ -28,9 +28,9 @@ def lexical_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return once(spark, f"lexical:{d}", lambda: S.lexical_index(rows, "id", "text", ["doc_kind"]))
 
 
-def _sparse(spark: SparkSession, d: str, queries: DataFrame, k: int) -> DataFrame:
+def _sparse(spark: SparkSession, d: str, queries: DataFrame, k: int, shared: bool = False) -> DataFrame:
     weights, idf = lexical_index(spark, d)
-    return S.sparse(queries, weights, k, idf=idf)
+    return S.sparse(queries, weights, k, idf=idf, shared=shared)
 
 
 def search_dense(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ def search_code(spark: SparkSession, d: str) -> DataFrame:
 def search_reranked(spark: SparkSession, d: str) -> DataFrame:
     """The 50 best of the lexical channel in the order of their word overlap, best 10."""
     rows = _texts(spark, d)
-    hits = _sparse(spark, d, _asked(rows), 50)
+    hits = _sparse(spark, d, _asked(rows), 50, shared=True)
     return S.rerank(hits, _asked(rows), rows, 10).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
