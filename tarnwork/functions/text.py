@@ -18,7 +18,7 @@ SUFFIXES = {
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits in order; null texts give no words."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def visible(text: Column) -> Column:
@@ -39,9 +39,3 @@ def language_of(path: Column) -> Column:
     """Language by suffix; null for other suffixes and for names that are all suffix."""
     table = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
     return F.element_at(table, suffix(path))
-
-
-def overlap(query_words: Column, text_words: Column) -> Column:
-    """Share of the query's distinct words in the text; 0 for a query without words."""
-    q = F.array_distinct(query_words)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, text_words)) / F.size(q)).otherwise(0.0)

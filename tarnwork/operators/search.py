@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import overlap, words
+from tarnwork.functions.text import words
 from tarnwork.session import written
 
 BLOCK, QUERY_BATCH = 50_000, 256
 #: Postings of a group of rows. Terms held by more than a share of a block's rows are kept as full lines, up to so many bytes. Bytes of the scores that are made at once.
-POSTINGS, LINE_SHARE, LINES_BYTES, SCORES_BYTES = 3_000_000, 0.04, 80 << 20, 24 << 20
+POSTINGS, LINE_SHARE, LINES_BYTES, SCORES_BYTES = 3_000_000, 0.08, 64 << 20, 64 << 20
 #: Pieces of a block's scores whose maxima give a floor. Two scores may be rounded to the same 6 places and differ by less than this. Share by which a rounding to single precision is off, doubled.
 PIECES, ROUNDING, SINGLE = 32, 2e-6, 2**-23
 K1, B = 1.2, 0.75
@@ -408,16 +408,17 @@ def rerank(hits: DataFrame, queries: DataFrame, rows: DataFrame, k: int, score:
     """
     distinct = F.array_distinct(words(F.col("text")))
     if score is not None:
-        met = hits.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(rows.select("id", F.col("text").alias("_t")), "id")
-        s = score
-    elif "shared" in hits.columns:
-        met = hits.join(queries.select("query_id", F.size(distinct).alias("_n")), "query_id")
-        s = F.when(F.col("_n") > 0, F.col("shared") / F.col("_n")).otherwise(0.0)
-    else:  # each text is cut into words once, not once a pair, and its words are shuffled as one text
-        held = "terms" in rows.columns
-        met = hits.join(queries.select("query_id", F.array_join(distinct, " ").alias("_q")), "query_id")
-        met = met.join(rows.select("id", F.array_join("terms" if held else distinct, " ").alias("_t")), "id", "left" if held else "inner")
-        s = F.when((F.col("_q") != "") & (F.col("_t") != ""), overlap(F.split("_q", " "), F.split("_t", " "))).otherwise(0.0)
-    met = met.withColumn("rerank_score", F.when(~F.isnan(s) & (F.abs(s) < F.lit(float("inf"))), s))
+        met = hits.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(rows.select("id", F.col("text").alias("_t")), "id").withColumn("_s", score)
+        s = F.when(~F.isnan("_s") & (F.abs("_s") < F.lit(float("inf"))), F.col("_s"))
+    else:
+        asked = queries.select("query_id", distinct.alias("_w")).select("query_id", F.size("_w").alias("_n"), F.array_join("_w", " ").alias("_q"))
+        if "shared" in hits.columns:
+            met, shared = hits.join(asked.drop("_q"), "query_id"), F.col("shared")
+        else:  # each text is cut into words once, not once a pair, and its words are shuffled as one text
+            held = "terms" in rows.columns
+            met = hits.join(asked, "query_id").join(rows.select("id", F.array_join("terms" if held else distinct, " ").alias("_t")), "id", "left" if held else "inner")
+            shared = F.size(F.array_intersect(F.split("_q", " "), F.split(F.coalesce("_t", F.lit("")), " ")))
+        s = F.when(F.col("_n") > 0, shared / F.col("_n")).otherwise(0.0)
+    met = met.withColumn("rerank_score", s)
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), F.col("rank"))
     return met.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).select("query_id", "id", "score", "rerank_score", F.col("new_rank").alias("rank"))
