@@ -10,7 +10,7 @@ from tests.conftest import rows
 from tests.test_search_size import QUERIES, SMALL
 
 #: Registered queries and the bytes a document that they may shuffle on a stored index.
-MOST = [("search_reranked", 500), ("search_code", 500), ("search_sparse_filtered", 500), ("eval_metrics", 500), ("search_sparse", 500)]
+MOST = [("search_reranked", 500), ("search_code", 500), ("search_sparse_filtered", 500), ("eval_metrics", 500), ("search_sparse", 500), ("search_hybrid", 500)]
 
 
 def shuffled_bytes(spark, run):
