@@ -1,7 +1,13 @@
-"""Column expressions on text: words, estimates, snippets, languages."""
+"""Column expressions on text: words, estimates, snippets, languages; words of Arrow batches of texts."""
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +27,48 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+#: Ranges of characters whose lower case and kind cut_words knows: no character here has a lower case that is longer or depends on its neighbours (as those of U+0130 and U+03A3).
+PLAIN = [(0x0, 0x12F), (0x131, 0x24F), (0x300, 0x377), (0x37A, 0x37F), (0x384, 0x3A1), (0x3A4, 0x52F), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x2190, 0x23FF), (0x2500, 0x27BF), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFB00, 0xFB06), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0x1F300, 0x1FAFF)]
+
+
+def plain(text: Column) -> Column:
+    """Whether a text has characters of PLAIN only, as nearly all have."""
+    text = F.coalesce(text, F.lit(""))
+    latin, other = ("[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in some) + "]++" for some in (PLAIN[:1], PLAIN[1:]))
+    return (F.octet_length(text) == F.char_length(text)) | text.rlike(f"^(?:{latin}|{other})*+\\z")
+
+
+@cache
+def _lowered() -> np.ndarray:
+    """The lower case of each letter and digit of PLAIN, 0 for other characters."""
+    table = np.zeros(PLAIN[-1][1] + 1, np.uint32)
+    for a, b in PLAIN:
+        for c in range(a, b + 1):
+            if unicodedata.category(chr(c))[0] in "LN":
+                table[c] = ord(chr(c).lower())
+    return table
+
+
+def cut_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all texts in order, as `words` gives them; the texts must be plain, null texts have none."""
+    texts = pc.fill_null(texts, "")
+    ends = np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_py()
+    low = _lowered()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+    inside = low != 0
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    rows = ends[:-1][ends[:-1] < len(low)]
+    starts[rows] = inside[rows]
+    at = np.flatnonzero(starts)
+    kept = low[inside]
+    size = 1 + (kept >= 0x80).astype(np.int8) + (kept >= 0x800)
+    first = np.cumsum(inside)[at] - 1
+    offsets = np.append(np.append(0, np.cumsum(size, dtype=np.int64))[first], size.sum(dtype=np.int64)).astype(np.int32)
+    data = kept.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return np.diff(np.searchsorted(at, ends)), pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+
+
 def visible(text: Column) -> Column:
     """Number of characters that are not white space."""
     return F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", ""))

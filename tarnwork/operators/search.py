@@ -11,12 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import words
+from tarnwork.functions.text import cut_words, plain, words
 from tarnwork.session import written
 
 BLOCK, QUERY_BATCH = 50_000, 256
 #: Postings of a group of rows. Terms held by more than a share of a block's rows are kept as full lines, up to so many bytes. Bytes of the scores that are made at once.
-POSTINGS, LINE_SHARE, LINES_BYTES, SCORES_BYTES = 3_000_000, 0.08, 64 << 20, 64 << 20
+POSTINGS, LINE_SHARE, LINES_BYTES, SCORES_BYTES = 3_000_000, 0.03, 96 << 20, 64 << 20
+#: Rows whose scores are made at once, so that they stay near the processor. Columns of pieces whose rows are scored anew at once.
+TILE, OPEN = 6250, 4096
 #: Pieces of a block's scores whose maxima give a floor. Two scores may be rounded to the same 6 places and differ by less than this. Share by which a rounding to single precision is off, doubled.
 PIECES, ROUNDING, SINGLE = 32, 2e-6, 2**-23
 K1, B = 1.2, 0.75
@@ -126,30 +128,45 @@ def ivf_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int
     return top(scored, ["query_id"], "score", "id", k)
 
 
+def _text(terms: str, kinds: dict[str, str]) -> Column:
+    """The terms of a row as one text, parted by spaces, which no word has."""
+    return F.col(terms) if kinds[terms] == "string" else F.array_join(terms, " ")
+
+
 def _schema(kinds: dict[str, str], columns: list[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
 
-def postings(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """The key, the columns to keep, doc_len (words), terms (distinct words) and tfs (how often each); a row a text, none for texts without words.
-
-    Words are counted in the task that reads the text, so nothing is shuffled. The key has to be unique.
-    """
-    held = [key, *(keep or [])]
-    tokens = rows.select(*held, words(F.col(text)).alias("_w"))
+def _counted(rows: DataFrame, key: str, text: str, held: list[str], joined: bool) -> DataFrame:
+    """The rows of postings; if joined their terms as one text, parted by spaces, and their tfs as one value, 4 bytes each, which need no steps per term outside of Python."""
+    tokens = rows.select(*held, F.col(text).alias("_t"), F.when(~plain(F.col(text)), words(F.col(text))).alias("_w"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pc.greater(pc.list_value_length(b.column("_w")), 0))
-            length = pc.list_value_length(b.column("_w")).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = b.column("_w").flatten().dictionary_encode()
+            hard = pc.fill_null(pc.list_value_length(b.column("_w")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths, found = cut_words(pc.if_else(pc.is_null(b.column("_w")), b.column("_t"), ""))
+            of = np.concatenate([np.repeat(np.arange(b.num_rows), x) for x in (lengths, hard)])
+            coded = pa.concat_arrays([found, pc.cast(b.column("_w").flatten(), pa.string())]).dictionary_encode()
             size = max(1, len(coded.dictionary))
-            pairs, tf = np.unique(np.repeat(np.arange(len(length)), length) * size + coded.indices.to_numpy(), return_counts=True)
-            ends = pa.array(np.searchsorted(pairs // size, np.arange(len(length) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, x) for x in (coded.dictionary.take(pa.array(pairs % size)), pa.array(tf, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*map(b.column, held), pa.array(length, pa.int32()), *lists], [*held, "doc_len", "terms", "tfs"])
+            pairs, tf = np.unique(of * size + coded.indices.to_numpy(), return_counts=True)
+            length = lengths + hard
+            ends = pa.array(np.searchsorted(pairs // size, np.arange(b.num_rows + 1)), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pairs % size)))
+            if joined:
+                terms, tfs = pc.binary_join(terms, " "), pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.to_numpy() * 4), pa.py_buffer(tf.astype("<i4"))])
+            else:
+                tfs = pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*map(b.column, held), pa.array(length, pa.int32()), terms, tfs], [*held, "doc_len", "terms", "tfs"]).filter(pa.array(length > 0))
+
+    return tokens.mapInArrow(count, _schema(dict(tokens.dtypes), held) + f", doc_len int, terms {'string' if joined else 'array<string>'}, tfs {'binary' if joined else 'array<int>'}")
+
+
+def postings(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """The key, the columns to keep, doc_len (words), terms (distinct words) and tfs (how often each); a row a text, none for texts without words.
 
-    return tokens.mapInArrow(count, _schema(dict(tokens.dtypes), held) + ", doc_len int, terms array<string>, tfs array<int>")
+    Words are counted in the task that reads the text, so nothing is shuffled. The key has to be unique.
+    """
+    return _counted(rows, key, text, [key, *(keep or [])], False)
 
 
 def corpus_stats(post: DataFrame) -> DataFrame:
@@ -158,24 +175,39 @@ def corpus_stats(post: DataFrame) -> DataFrame:
     return post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(docs), F.lit(True))
 
 
+def _flat(post: DataFrame) -> DataFrame:
+    """Postings with flat: what a term frequency is held against, by the length of the text."""
+    docs = post.agg(F.avg("doc_len").alias("avg_len"))
+    return post.join(F.broadcast(docs), F.lit(True)).withColumn("flat", K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+
+
 def bm25_weights(post: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     """The key, the columns to keep, terms and weights: the saturated term frequencies, which idf multiplies."""
-    docs = post.agg(F.avg("doc_len").alias("avg_len"))
-    flat = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
-    return post.join(F.broadcast(docs), F.lit(True)).select(key, *(keep or []), "terms", F.transform("tfs", lambda tf: tf * (K1 + 1) / (tf + flat)).alias("weights"))
+    return _flat(post).select(key, *(keep or []), "terms", F.transform("tfs", lambda tf: tf * (K1 + 1) / (tf + F.col("flat"))).alias("weights"))
 
 
 def idfs(post: DataFrame) -> DataFrame:
     """term, df and idf, from postings or weights."""
     docs = post.agg(F.count("*").alias("n_docs"))
-    df = post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            often = pc.value_counts(pc.split_pattern(b.column("terms"), " ").flatten())
+            yield pa.RecordBatch.from_arrays([often.field("values"), often.field("counts")], ["term", "n"])
+
+    if dict(post.dtypes)["terms"] == "string":
+        each = post.select("terms").mapInArrow(count, "term string, n bigint")
+    else:
+        each = post.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
+    df = each.groupBy("term").agg(F.sum("n").alias("df"))
     return df.join(F.broadcast(docs), F.lit(True)).select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """bm25_weights over postings that are written once, and idfs, written too."""
-    post = written(postings(rows, key, text, keep))
-    return bm25_weights(post, key, keep), written(idfs(post))
+    """Postings that are written once, with the terms of a row as one text, parted by spaces, and flat, from which sparse works out the weights; and idfs, written too."""
+    held = [key, *(keep or [])]
+    post = written(_counted(rows, key, text, held, True))
+    return _flat(post).select(*held, "terms", "tfs", "flat"), written(idfs(post))
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -206,8 +238,8 @@ class _Block:
         for line, t in zip(self.lines, lined):
             line[self.rows[self.first[t] : self.first[t + 1]]] = self.held[self.first[t] : self.first[t + 1]]
 
-    def near(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The scores of each row for each query (codes, idf), in single precision."""
+    def near(self, asked: list[tuple[np.ndarray, np.ndarray]], room: np.ndarray) -> np.ndarray:
+        """The scores of each row for each query (codes, idf), in single precision, held in room."""
         factors, rare = np.zeros((len(asked), len(self.lines)), np.float32), []
         for q, (codes, idf) in enumerate(asked):
             at = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
@@ -216,40 +248,57 @@ class _Block:
             line = self.line[at]
             factors[q, line[line >= 0]] = idf[line >= 0]
             rare.append((at[line < 0], idf[line < 0]))
-        scores = factors @ self.lines
+        scores = room[: len(asked) * self.n].reshape(len(asked), self.n)
+        for i in range(0, self.n, TILE):
+            np.matmul(factors, self.lines[:, i : i + TILE], out=scores[:, i : i + TILE])
         for score, (at, idf) in zip(scores, rare):
             for t, i in zip(at, idf):
                 mine = slice(self.first[t], self.first[t + 1])
                 score[self.rows[mine]] += self.held[mine] * i
         return scores
 
-    def best(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, idf_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each query the places and rounded scores of the k best rows above 0, and how many query words each has; equal rounded scores by place. idf_of has a 0 for each code."""
-        scores = self.near(asked)
+    def best(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, idf_of: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Query by query the numbers of the queries, the places and rounded scores of their k best rows above 0, and how many query words each has; equal rounded scores by place. idf_of has a 0 for each code."""
+        scores = self.near(asked, room)
         width = self.n // PIECES if self.n // PIECES >= k else 0
         cut = width * PIECES
+        floor, many = np.zeros(len(asked)), np.full(len(asked), -(-self.n // PIECES))
         if width:  # k pieces have a score that high, so the k-th score is no lower
-            most = scores[:, :cut].reshape(len(asked), PIECES, width).max(axis=1)
+            pieces = scores[:, :cut].reshape(len(asked), PIECES, width)
+            most = pieces.max(axis=1)
             low = np.partition(most, width - k, axis=1)[:, width - k].astype(float)
-        for q, (codes, idf) in enumerate(asked):
-            floor = max(low[q] * (1 - 3 * (len(codes) + 8) * SINGLE) - ROUNDING, 0) if width else 0  # a sum of n numbers above 0 is off by a share of n roundings at most
-            rest = cut + np.flatnonzero(scores[q, cut:] >= floor)
+            words = np.array([len(codes) for codes, _ in asked])
+            floor = np.maximum(low * (1 - 3 * (words + 8) * SINGLE) - ROUNDING, 0)  # a sum of n numbers above 0 is off by a share of n roundings at most
+            held = (most >= floor[:, None]) & (most > 0)
+            many = held.sum(axis=1)
+        parts = np.flatnonzero(np.diff(np.cumsum(many) // OPEN)) + 1
+        for a, b in zip([0, *parts], [*parts, len(asked)]):
+            q, at = np.nonzero(scores[a:b, cut:] >= floor[a:b, None])
+            at = at + cut
             if width:
-                of = np.flatnonzero(most[q] >= floor)
-                piece, place = np.nonzero(scores[q, :cut].reshape(PIECES, width)[:, of] >= floor)
-                rest = np.concatenate([np.sort(piece * width + of[place]), rest])
-            at = rest[scores[q, rest] > 0]
+                of, column = np.nonzero(held[a:b])
+                which, piece = np.nonzero(pieces[a:b][of, :, column] >= floor[a:b][of, None])
+                q, at = np.concatenate([q, of[which]]), np.concatenate([at, piece * width + column[which]])
+            above = scores[a + q, at] > 0
+            q, at = q[above], at[above]
             if not len(at):
-                yield at, np.empty(0), at
                 continue
-            idf_of[codes] = idf
+            order = np.argsort(q, kind="stable")
+            q, at = q[order], at[order]
             lengths = self.ends[at + 1] - self.ends[at]
             where, starts = _ranges(self.ends[at], lengths), np.cumsum(lengths) - lengths
-            factor = idf_of[self.codes[where]]
+            codes, factor = self.codes[where], np.empty(len(where))
+            first = np.searchsorted(q, np.arange(b - a + 1))
+            ends = np.append(starts, len(where))[first]
+            for (mine, idf), i, j in zip(asked[a:b], ends, ends[1:]):
+                if i < j:
+                    idf_of[mine] = idf
+                    factor[i:j] = idf_of[codes[i:j]]
+                    idf_of[mine] = 0
             value = np.round(np.add.reduceat(self.weights[where] * factor, starts), 6)
-            idf_of[codes] = 0
-            first = np.argsort(-value, kind="stable")[:k]
-            yield at[first], value[first], np.add.reduceat(factor > 0, starts, dtype=int)[first]
+            order = np.lexsort((at, -value, q))
+            order = order[np.arange(len(q)) - first[q] < k]
+            yield a + q[order], at[order], value[order], np.add.reduceat(factor > 0, starts, dtype=int)[order]
 
 
 class _Group:
@@ -263,8 +312,13 @@ class _Group:
         coded = terms.flatten().dictionary_encode()
         self.words, self.codes = coded.dictionary, coded.indices.to_numpy()
         self.idf_of = np.zeros(len(self.words))
-        self.weights = column("weights").flatten().to_numpy()
-        self.ends = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy().astype(np.int64)))
+        length = pc.list_value_length(terms).to_numpy().astype(np.int64)
+        self.ends = np.append(0, np.cumsum(length))
+        if "tfs" in rows.column_names:
+            tf = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), column("tfs")), b"")[0].as_py(), "<i4")
+            self.weights = tf * (K1 + 1) / (tf + np.repeat(column("flat").to_numpy(), length))
+        else:
+            self.weights = column("weights").flatten().to_numpy()
         kinds = column("_kind").dictionary_encode()
         first = np.searchsorted(kinds.indices.to_numpy(), np.arange(len(kinds.dictionary) + 1))
         self.spans = {kind: (first[i], first[i + 1]) for i, kind in enumerate(kinds.dictionary.to_pylist())}
@@ -286,18 +340,20 @@ class _Group:
         for q, kind in enumerate(asked.column("_kind").to_pylist()):
             if kind in self.spans:
                 of.setdefault(kind, []).append(q)
-        who, places, values, shared = [], [], [], []
+        who, places, values, shared, room = [], [], [], [], np.empty(0, np.float32)
         for kind, all_queries in of.items():
             block = self.block(kind)
-            together = max(1, SCORES_BYTES // (4 * block.n))
+            together = min(len(all_queries), max(1, SCORES_BYTES // (4 * block.n)))
+            if len(room) < together * block.n:
+                room = np.empty(together * block.n, np.float32)
             for i in range(0, len(all_queries), together):
                 some = all_queries[i : i + together]
                 words = []
                 for q in some:
                     mine = codes[ends[q] : ends[q + 1]]
                     words.append((mine[mine >= 0], idf[ends[q] : ends[q + 1]][mine >= 0]))
-                for q, (at, value, common) in zip(some, block.best(words, k, self.idf_of)):
-                    who.append(np.full(len(at), q))
+                for q, at, value, common in block.best(words, k, self.idf_of, room):
+                    who.append(np.array(some)[q])
                     places.append(at + self.spans[kind][0])
                     values.append(value)
                     shared.append(common)
@@ -311,7 +367,7 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
     With `shared` also how many distinct words of the query the row has.
 
     `queries` has query_id, text and the filter columns; `weights` has id, terms, weights and the
-    same; `idf` is idfs of it. With `filters` a row counts only for queries whose values equal
+    same, or is that of lexical_index; `idf` is idfs of it. With `filters` a row counts only for queries whose values equal
     its own (null equals null). Scores are rounded to 6 places, ties go to the smaller id.
 
     As in dense, rows are dealt to groups, here of about `block` postings, and each group gets
@@ -333,10 +389,11 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
     count = idf.agg(F.sum("df")).first()[0] or 0
     groups = max(weights.sparkSession.sparkContext.defaultParallelism, -(-count // block))
     none = lambda t: F.lit(None).cast(t)
-    held = weights.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), kind(), F.array_join("terms", " ").alias("terms"), "weights")
+    counted = ["tfs", "flat"] if "tfs" in kinds else []  # or weights
+    held = weights.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), kind(), _text("terms", kinds).alias("terms"), *counted, none("array<double>").alias("weights") if counted else "weights")
     each = queries.select("query_id", kind(), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     each = each.join(idf.select("term", "idf"), "term").groupBy("query_id", "_kind").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("_words"))
-    asked = each.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), F.lit(1).alias("_side"), none(kinds["id"]).alias("id"), "query_id", "_kind", F.array_join("_words.term", " ").alias("terms"), F.col("_words.idf").alias("weights"))
+    asked = each.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), F.lit(1).alias("_side"), none(kinds["id"]).alias("id"), "query_id", "_kind", F.array_join("_words.term", " ").alias("terms"), *[none(kinds[c]).alias(c) for c in counted], F.col("_words.idf").alias("weights"))
     both = held.unionByName(asked).repartitionById(groups, "_g").sortWithinPartitions("_side")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +473,7 @@ def rerank(hits: DataFrame, queries: DataFrame, rows: DataFrame, k: int, score:
             met, shared = hits.join(asked.drop("_q"), "query_id"), F.col("shared")
         else:  # each text is cut into words once, not once a pair, and its words are shuffled as one text
             held = "terms" in rows.columns
-            met = hits.join(asked, "query_id").join(rows.select("id", F.array_join("terms" if held else distinct, " ").alias("_t")), "id", "left" if held else "inner")
+            met = hits.join(asked, "query_id").join(rows.select("id", (_text("terms", dict(rows.dtypes)) if held else F.array_join(distinct, " ")).alias("_t")), "id", "left" if held else "inner")
             shared = F.size(F.array_intersect(F.split("_q", " "), F.split(F.coalesce("_t", F.lit("")), " ")))
         s = F.when(F.col("_n") > 0, shared / F.col("_n")).otherwise(0.0)
     met = met.withColumn("rerank_score", s)
