@@ -31,7 +31,7 @@ def test_other_characters_are_cut_by_words(spark):
     assert {r.id: dict(zip(r.terms, r.tfs)) for r in S.postings(df, "id", "text").collect()} == want
 
 
-@pytest.mark.parametrize("name,k,filters", [("search_sparse_filtered", 10, ["kind"]), ("eval_metrics", 10, None), ("search_hybrid", 50, None)])
+@pytest.mark.parametrize("name,k,filters", [("search_sparse_filtered", 10, ["kind"]), ("eval_metrics", 10, None), ("search_hybrid", 50, None), ("search_sparse", 10, None)])
 def test_stored_index_holds_a_row_as_one_text_and_gives_the_same(spark, name, k, filters):
     """No array of a row's terms or counts is stored, shuffled or handed to Python, and none of it changes a score."""
     weights, _ = lexical_index(spark, SMALL)
