@@ -38,23 +38,55 @@ def plain(text: Column) -> Column:
     return (F.octet_length(text) == F.char_length(text)) | text.rlike(f"^(?:{latin}|{other})*+\\z")
 
 
+#: Stands for a character beyond PLAIN.
+ODD = 0xFFFFFFFF
+
+
 @cache
 def _lowered() -> np.ndarray:
-    """The lower case of each letter and digit of PLAIN, 0 for other characters."""
-    table = np.zeros(PLAIN[-1][1] + 1, np.uint32)
+    """The lower case of each letter and digit of PLAIN, 0 for its other characters, ODD for those beyond, up to the first that is above all of PLAIN."""
+    table = np.full(PLAIN[-1][1] + 2, ODD, np.uint32)
     for a, b in PLAIN:
         for c in range(a, b + 1):
-            if unicodedata.category(chr(c))[0] in "LN":
-                table[c] = ord(chr(c).lower())
+            table[c] = ord(chr(c).lower()) if unicodedata.category(chr(c))[0] in "LN" else 0
     return table
 
 
-def cut_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """How many words each text has, and the words of all texts in order, as `words` gives them; the texts must be plain, null texts have none."""
-    texts = pc.fill_null(texts, "")
+def _lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts in order: in lower case, 0 if no letter or digit, ODD if beyond PLAIN; and where each text begins. No text may be null."""
     ends = np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_py()
-    low = _lowered()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+    return np.take(_lowered(), np.frombuffer(joined.encode("utf-32-le"), np.uint32), mode="clip"), ends
+
+
+def _broken(text: pa.Scalar) -> bool:
+    try:
+        text.as_py()
+    except UnicodeDecodeError:
+        return True
+    return False
+
+
+def cut_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all texts in order, as `words` gives them; the texts must be plain, null texts have none."""
+    return _cut(*_lower(pc.fill_null(texts, "")))
+
+
+def cut_plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which texts are left uncut, as they have characters beyond PLAIN or bytes that are no characters, and what cut_words gives with these texts empty. No text may be null."""
+    odd = np.zeros(len(texts), bool)
+    while True:
+        try:
+            low, ends = _lower(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        except UnicodeDecodeError:
+            odd = np.array([_broken(t) for t in texts])
+            continue
+        if not (low == ODD).any():
+            return odd, *_cut(low, ends)
+        odd[np.searchsorted(ends, np.flatnonzero(low == ODD), "right") - 1] = True
+
+
+def _cut(low: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     inside = low != 0
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]

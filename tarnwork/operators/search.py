@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import cut_words, plain, words
+from tarnwork.functions.text import cut_plain, plain, words
 from tarnwork.session import written
 
 BLOCK, QUERY_BATCH = 50_000, 256
@@ -137,28 +137,33 @@ def _schema(kinds: dict[str, str], columns: list[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
 
-def _counted(rows: DataFrame, key: str, text: str, held: list[str], joined: bool) -> DataFrame:
-    """The rows of postings; if joined their terms as one text, parted by spaces, and their tfs as one value, 4 bytes each, which need no steps per term outside of Python."""
-    tokens = rows.select(*held, F.col(text).alias("_t"), F.when(~plain(F.col(text)), words(F.col(text))).alias("_w"))
+def _counted(texts: DataFrame, held: list[str], joined: bool) -> DataFrame:
+    """The rows of postings, of held, _t (texts) or _w (words, of texts that are cut already) or both; if joined their terms as one text, parted by spaces, and their tfs as one value, 4 bytes each, which need no steps per term outside of Python.
+
+    A text in _t that cut_plain leaves uncut comes out as it is: doc_len is -1, terms the text.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hard = pc.fill_null(pc.list_value_length(b.column("_w")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            lengths, found = cut_words(pc.if_else(pc.is_null(b.column("_w")), b.column("_t"), ""))
+            whole = pc.fill_null(b.column("_t"), "") if "_t" in b.schema.names else pa.array([""] * b.num_rows, pa.string())
+            listed = b.column("_w") if "_w" in b.schema.names else pa.nulls(b.num_rows, pa.list_(pa.string()))
+            hard = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            odd, lengths, found = cut_plain(pc.if_else(pc.is_null(listed), whole, ""))
             of = np.concatenate([np.repeat(np.arange(b.num_rows), x) for x in (lengths, hard)])
-            coded = pa.concat_arrays([found, pc.cast(b.column("_w").flatten(), pa.string())]).dictionary_encode()
+            coded = pa.concat_arrays([found, pc.cast(listed.flatten(), pa.string())]).dictionary_encode()
             size = max(1, len(coded.dictionary))
             pairs, tf = np.unique(of * size + coded.indices.to_numpy(), return_counts=True)
-            length = lengths + hard
+            length = np.where(odd, -1, lengths + hard)
             ends = pa.array(np.searchsorted(pairs // size, np.arange(b.num_rows + 1)), pa.int32())
             terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pairs % size)))
             if joined:
-                terms, tfs = pc.binary_join(terms, " "), pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.to_numpy() * 4), pa.py_buffer(tf.astype("<i4"))])
+                terms, tfs = pc.binary_join(terms, " "), _packed(ends.to_numpy(), tf.astype("<i4"))
+                terms = pc.if_else(pa.array(odd), whole, terms) if odd.any() else terms
             else:
                 tfs = pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*map(b.column, held), pa.array(length, pa.int32()), terms, tfs], [*held, "doc_len", "terms", "tfs"]).filter(pa.array(length > 0))
+            yield pa.RecordBatch.from_arrays([*map(b.column, held), pa.array(length, pa.int32()), terms, tfs], [*held, "doc_len", "terms", "tfs"]).filter(pa.array(length != 0))
 
-    return tokens.mapInArrow(count, _schema(dict(tokens.dtypes), held) + f", doc_len int, terms {'string' if joined else 'array<string>'}, tfs {'binary' if joined else 'array<int>'}")
+    return texts.mapInArrow(count, _schema(dict(texts.dtypes), held) + f", doc_len int, terms {'string' if joined else 'array<string>'}, tfs {'binary' if joined else 'array<int>'}")
 
 
 def postings(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
@@ -166,7 +171,8 @@ def postings(rows: DataFrame, key: str, text: str, keep: list[str] | None = None
 
     Words are counted in the task that reads the text, so nothing is shuffled. The key has to be unique.
     """
-    return _counted(rows, key, text, [key, *(keep or [])], False)
+    held = [key, *(keep or [])]
+    return _counted(rows.select(*held, F.col(text).alias("_t"), F.when(~plain(F.col(text)), words(F.col(text))).alias("_w")), held, False)
 
 
 def corpus_stats(post: DataFrame) -> DataFrame:
@@ -204,9 +210,16 @@ def idfs(post: DataFrame) -> DataFrame:
 
 
 def lexical_index(rows: DataFrame, key: str, text: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings that are written once, with the terms of a row as one text, parted by spaces, and flat, from which sparse works out the weights; and idfs, written too."""
+    """Postings that are written once, with the terms of a row as one text, parted by spaces, and flat, from which sparse works out the weights; and idfs, written too.
+
+    The few texts that cut_plain leaves uncut are cut by words afterwards, so that no text is searched for their characters in the JVM.
+    """
     held = [key, *(keep or [])]
-    post = written(_counted(rows, key, text, held, True))
+    post = written(_counted(rows.select(*held, F.col(text).alias("_t")), held, True))
+    odd = post.where("doc_len < 0")
+    if not odd.isEmpty():
+        late = written(_counted(odd.select(*held, words(F.col("terms")).alias("_w")), held, True))
+        post = post.where("doc_len > 0").unionByName(late)
     return _flat(post).select(*held, "terms", "tfs", "flat"), written(idfs(post))
 
 
@@ -215,6 +228,15 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
+def _packed(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary value for each range of values; an array makes mapInArrow go value by value in the JVM, also where it is null."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype("<i4")), pa.py_buffer(values)])
+
+
+def _unpacked(packed: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), packed), b"")[0].as_py(), kind)
+
+
 class _Block:
     """Some rows of a group with their postings by term, held in memory to score queries against them.
 
@@ -315,7 +337,7 @@ class _Group:
         length = pc.list_value_length(terms).to_numpy().astype(np.int64)
         self.ends = np.append(0, np.cumsum(length))
         if "tfs" in rows.column_names:
-            tf = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), column("tfs")), b"")[0].as_py(), "<i4")
+            tf = _unpacked(column("tfs"), "<i4")
             self.weights = tf * (K1 + 1) / (tf + np.repeat(column("flat").to_numpy(), length))
         else:
             self.weights = column("weights").flatten().to_numpy()
@@ -334,7 +356,8 @@ class _Group:
         """query_id, id, score, shared: the k best rows of the group for each query."""
         terms = pc.split_pattern(asked.column("terms"), " ")
         codes = pc.fill_null(pc.index_in(terms.flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False)
-        idf = asked.column("weights").flatten().to_numpy()
+        idf = asked.column("weights")
+        idf = _unpacked(idf, "<f8") if pa.types.is_binary(idf.type) else idf.flatten().to_numpy()
         ends = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy()))
         of: dict[str, list[int]] = {}
         for q, kind in enumerate(asked.column("_kind").to_pylist()):
@@ -390,10 +413,20 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
     groups = max(weights.sparkSession.sparkContext.defaultParallelism, -(-count // block))
     none = lambda t: F.lit(None).cast(t)
     counted = ["tfs", "flat"] if "tfs" in kinds else []  # or weights
-    held = weights.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), kind(), _text("terms", kinds).alias("terms"), *counted, none("array<double>").alias("weights") if counted else "weights")
+    held = weights.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), kind(), _text("terms", kinds).alias("terms"), *counted, none("binary").alias("weights") if counted else "weights")
     each = queries.select("query_id", kind(), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     each = each.join(idf.select("term", "idf"), "term").groupBy("query_id", "_kind").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("_words"))
-    asked = each.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), F.lit(1).alias("_side"), none(kinds["id"]).alias("id"), "query_id", "_kind", F.array_join("_words.term", " ").alias("terms"), *[none(kinds[c]).alias(c) for c in counted], F.col("_words.idf").alias("weights"))
+    each = each.select("query_id", "_kind", F.array_join("_words.term", " ").alias("terms"), F.col("_words.idf").alias("weights"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idf = b.column("weights")
+            ends = np.append(0, np.cumsum(pc.list_value_length(idf).to_numpy()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _packed(ends, idf.flatten().to_numpy())], b.schema.names)
+
+    if counted:
+        each = each.mapInArrow(pack, f"query_id {asked_kinds['query_id']}, _kind string, terms string, weights binary")
+    asked = each.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), F.lit(1).alias("_side"), none(kinds["id"]).alias("id"), "query_id", "_kind", "terms", *[none(kinds[c]).alias(c) for c in counted], "weights")
     both = held.unionByName(asked).repartitionById(groups, "_g").sortWithinPartitions("_side")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
