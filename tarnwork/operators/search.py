@@ -393,7 +393,7 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
     same, or is that of lexical_index; `idf` is idfs of it. With `filters` a row counts only for queries whose values equal
     its own (null equals null). Scores are rounded to 6 places, ties go to the smaller id.
 
-    As in dense, rows are dealt to groups, here of about `block` postings, and each group gets
+    As in dense, rows are dealt to groups, here of `block` postings at most, the same number for each core, and each group gets
     all queries: rows are shuffled once, the query set once a group. A task holds one group and
     scores every row of it that a query may find, so the result is exact, and only the k best
     of each query and group go on. No pair of query word and posting becomes a row. The terms of
@@ -410,7 +410,8 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int, filters: list[str] |
 
     idf = idfs(weights) if idf is None else idf
     count = idf.agg(F.sum("df")).first()[0] or 0
-    groups = max(weights.sparkSession.sparkContext.defaultParallelism, -(-count // block))
+    cores = weights.sparkSession.sparkContext.defaultParallelism
+    groups = cores * max(1, -(-count // (block * cores)))  # no core waits for a last group
     none = lambda t: F.lit(None).cast(t)
     counted = ["tfs", "flat"] if "tfs" in kinds else []  # or weights
     held = weights.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g"), F.lit(0).alias("_side"), "id", none(asked_kinds["query_id"]).alias("query_id"), kind(), _text("terms", kinds).alias("terms"), *counted, none("binary").alias("weights") if counted else "weights")

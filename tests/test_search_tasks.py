@@ -44,3 +44,16 @@ def test_texts_that_are_left_uncut_are_cut_by_words(spark):
         listed = S.bm25_weights(S.postings(some, "id", "text"), "id")
         asked = some.withColumnRenamed("id", "query_id")
         assert rows(S.sparse(asked, stored, 9, idf=idf)) == rows(S.sparse(asked, listed, 9)) and rows(idf) == rows(S.idfs(listed))
+
+
+def test_eval_metrics_deals_each_core_the_same_number_of_groups(spark, monkeypatch):
+    """Else the cores wait for the last few groups of the lexical channel."""
+    df = sample(spark, 400)
+    asked = df.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    stored, idf = S.lexical_index(df, "id", "text", ["kind"])
+    want = rows(S.sparse(asked, stored, 10, idf=idf))
+    calls = spied(monkeypatch, df, "repartitionById")
+    for parts in (5, 6, 7, 8):
+        postings = idf.agg(F.sum("df")).first()[0]
+        assert rows(S.sparse(asked, stored, 10, idf=idf, block=-(-postings // parts))) == want
+    assert [a[0] for _, a in calls] == [8, 8, 8, 8]
