@@ -17,8 +17,10 @@ from tarnwork.session import written
 BLOCK, QUERY_BATCH = 50_000, 256
 #: Postings of a group of rows. Terms held by more than a share of a block's rows are kept as full lines, up to so many bytes. Bytes of the scores that are made at once.
 POSTINGS, LINE_SHARE, LINES_BYTES, SCORES_BYTES = 3_000_000, 0.03, 96 << 20, 64 << 20
-#: Rows whose scores are made at once, so that they stay near the processor. Columns of pieces whose rows are scored anew at once.
-TILE, OPEN = 6250, 4096
+#: Rows and queries whose scores are made at once, so that they stay near the processor. Columns of pieces whose rows are scored anew at once.
+TILE, TOGETHER, OPEN = 6250, 384, 4096
+#: Sorts of rows in a block at most, rows a sort at least, and rows drawn from it to tell them apart. Postings beside the lines that are added at once.
+SORTS, SORTED, DRAWN, RARE = 16, 4096, 4096, 1 << 19
 #: Pieces of a block's scores whose maxima give a floor. Two scores may be rounded to the same 6 places and differ by less than this. Share by which a rounding to single precision is off, doubled.
 PIECES, ROUNDING, SINGLE = 32, 2e-6, 2**-23
 K1, B = 1.2, 0.75
@@ -238,45 +240,102 @@ def _unpacked(packed: pa.Array, kind: str) -> np.ndarray:
 
 
 class _Block:
-    """Some rows of a group with their postings by term, held in memory to score queries against them.
+    """Some rows of a group with their postings, held in memory to score queries against them.
 
-    Terms that many rows hold are kept as a full line of weights: many queries are multiplied with
-    all lines at once. These scores have single precision, so they only choose the rows that may
-    be among the best; those are scored anew in double precision.
+    Terms that many rows hold are kept as full lines of weights: many queries are multiplied with
+    all lines at once. Rows that hold the same terms (those of a language, say) stand together in
+    tiles, and a tile has lines of the terms that many of its rows hold; what is beside the lines
+    is added posting by posting. These scores have single precision, so they only choose the rows
+    that may be among the best; those are scored anew in double precision.
     """
 
-    def __init__(self, ends: np.ndarray, codes: np.ndarray, weights: np.ndarray):
-        """Of row i the codes and weights at ends[i] up to ends[i + 1]."""
+    def __init__(self, ends: np.ndarray, codes: np.ndarray, weights: np.ndarray, line_of: np.ndarray):
+        """Of row i the codes and weights at ends[i] up to ends[i + 1]. line_of has room for each code."""
         self.n, self.ends, self.codes, self.weights = len(ends) - 1, ends, codes, weights
-        mine = slice(ends[0], ends[-1])
-        order = np.argsort(codes[mine], kind="stable")
-        self.rows, self.held = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))[order], weights[mine][order].astype(np.float32)
-        self.terms, first, often = np.unique(codes[mine][order], return_index=True, return_counts=True)
-        self.first = np.append(first, len(order))
-        lined = np.argsort(-often, kind="stable")[: min(LINES_BYTES // (4 * self.n), np.count_nonzero(often > LINE_SHARE * self.n))]
-        self.line = np.full(len(self.terms), -1)
+        mine, lengths, starts = slice(ends[0], ends[-1]), np.diff(ends), ends[:-1] - ends[0]
+        self.terms, often = np.unique(codes[mine], return_counts=True)
+        sorts = max(1, min(SORTS, self.n // SORTED))
+        lined = np.flatnonzero(often > LINE_SHARE * self.n / (1 if sorts == 1 else 4))
+        lined = lined[np.argsort(-often[lined], kind="stable")][: LINES_BYTES // (4 * self.n)]
+        self.line = np.full(len(self.terms), -1, np.int32)
         self.line[lined] = np.arange(len(lined))
-        self.lines = np.zeros((len(lined), self.n), np.float32)
-        for line, t in zip(self.lines, lined):
-            line[self.rows[self.first[t] : self.first[t + 1]]] = self.held[self.first[t] : self.first[t + 1]]
+        line_of[self.terms] = self.line
+        line, weights = line_of[codes[mine]], weights[mine].astype(np.float32)
+
+        def lines(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The lines that more than so many of some rows hold, and their weights in these rows; the other postings and whose they are."""
+            where, row = _ranges(starts[rows], lengths[rows]), np.repeat(np.arange(len(rows), dtype=np.int32), lengths[rows])
+            at = line[where]
+            held = np.bincount(at + 1, minlength=len(lined) + 1)[1:] > least
+            new = np.append(np.where(held, np.cumsum(held) - 1, -1), -1)[at]
+            common = new >= 0
+            made = np.zeros((np.count_nonzero(held), len(rows)), np.float32)
+            made[new[common], row[common]] = weights[where[common]]
+            return np.flatnonzero(held), made, where[~common], row[~common]
+
+        own = np.zeros(self.n, np.int8)
+        self.centres = np.zeros((len(lined), sorts), np.float32)
+        if len(lined) and sorts > 1:
+            held, drawn, *_ = lines(np.linspace(0, self.n - 1, min(self.n, DRAWN)).astype(int), 0)
+            drawn /= np.maximum(np.linalg.norm(drawn, axis=0), 1e-9)
+            centres = drawn[:, np.linspace(0, drawn.shape[1] - 1, sorts).astype(int)]
+            for _ in range(4):
+                near = np.argmax(centres.T @ drawn, axis=0)
+                for c in np.unique(near):
+                    v = drawn[:, near == c].mean(axis=1)
+                    centres[:, c] = v / max(np.linalg.norm(v), 1e-9)
+            self.centres[held] = centres
+            for i in range(0, self.n, TILE):
+                held, made, *_ = lines(np.arange(i, min(i + TILE, self.n)), 0)
+                own[i : i + TILE] = np.argmax(self.centres[held].T @ made, axis=0)
+        #: The rows in the order of the tiles, as their numbers, by which equal scores go.
+        self.places = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[self.places], np.arange(sorts + 1))
+        self.tiles, rare, rows = [], [], []
+        for a, b in zip(bounds, bounds[1:]):
+            for i in range(a, b, TILE):
+                j = min(i + TILE, b)
+                held, made, where, row = lines(self.places[i:j], LINE_SHARE * (j - i))
+                self.tiles.append((i, j, held, made))
+                rare.append(where)
+                rows.append(row + np.int32(i))
+        rare, rows = np.concatenate(rare), np.concatenate(rows)
+        order = np.argsort(codes[mine][rare], kind="stable")
+        self.rows, self.held = rows[order], weights[rare[order]]
+        self.first = np.searchsorted(codes[mine][rare[order]], np.append(self.terms, np.iinfo(codes.dtype).max))
+
+    def factors(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The factor of each line for each query (codes, idf); the queries, terms and idf of all that may have postings beside the lines."""
+        of = np.repeat(np.arange(len(asked)), [len(codes) for codes, _ in asked])
+        codes, idf = (np.concatenate(x) for x in zip(*asked))
+        at = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
+        known = self.terms[at] == codes
+        of, at, idf = of[known], at[known], idf[known].astype(np.float32)
+        line, made = self.line[at], np.zeros((len(asked), len(self.centres)), np.float32)
+        made[of[line >= 0], line[line >= 0]] = idf[line >= 0]
+        rare = self.first[at + 1] > self.first[at]
+        return made, of[rare], at[rare], idf[rare]
+
+    def alike(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The queries in the order of the tiles that are most like them."""
+        if self.centres.shape[1] == 1:
+            return np.arange(len(asked))
+        return np.argsort(np.concatenate([np.argmax(self.factors(asked[i : i + TOGETHER])[0] @ self.centres, axis=1) for i in range(0, len(asked), TOGETHER)]), kind="stable")
 
     def near(self, asked: list[tuple[np.ndarray, np.ndarray]], room: np.ndarray) -> np.ndarray:
-        """The scores of each row for each query (codes, idf), in single precision, held in room."""
-        factors, rare = np.zeros((len(asked), len(self.lines)), np.float32), []
-        for q, (codes, idf) in enumerate(asked):
-            at = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
-            known = self.terms[at] == codes
-            at, idf = at[known], idf[known].astype(np.float32)
-            line = self.line[at]
-            factors[q, line[line >= 0]] = idf[line >= 0]
-            rare.append((at[line < 0], idf[line < 0]))
-        scores = room[: len(asked) * self.n].reshape(len(asked), self.n)
-        for i in range(0, self.n, TILE):
-            np.matmul(factors, self.lines[:, i : i + TILE], out=scores[:, i : i + TILE])
-        for score, (at, idf) in zip(scores, rare):
-            for t, i in zip(at, idf):
-                mine = slice(self.first[t], self.first[t + 1])
-                score[self.rows[mine]] += self.held[mine] * i
+        """The scores of each row, in the order of the tiles, for each query, in single precision, held in room."""
+        factors, of, at, idf = self.factors(asked)
+        scores, used = room[: len(asked) * self.n].reshape(len(asked), self.n), factors.any(axis=0)
+        for a, b, held, lines in self.tiles:
+            mine = used[held]
+            if np.count_nonzero(mine) < 0.6 * len(held):  # with more of them the copy costs more than it saves
+                held, lines = held[mine], lines[mine]
+            np.matmul(factors[:, held], lines, out=scores[:, a:b])
+        often = self.first[at + 1] - self.first[at]
+        parts = np.flatnonzero(np.diff(np.cumsum(often) // RARE)) + 1
+        for i, j in zip([0, *parts], [*parts, len(at)]):
+            where = _ranges(self.first[at[i:j]], often[i:j])
+            np.add.at(scores.reshape(-1), np.repeat(of[i:j] * self.n, often[i:j]) + self.rows[where], self.held[where] * np.repeat(idf[i:j], often[i:j]))
         return scores
 
     def best(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, idf_of: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -302,7 +361,7 @@ class _Block:
                 which, piece = np.nonzero(pieces[a:b][of, :, column] >= floor[a:b][of, None])
                 q, at = np.concatenate([q, of[which]]), np.concatenate([at, piece * width + column[which]])
             above = scores[a + q, at] > 0
-            q, at = q[above], at[above]
+            q, at = q[above], self.places[at[above]]
             if not len(at):
                 continue
             order = np.argsort(q, kind="stable")
@@ -333,7 +392,7 @@ class _Group:
         self.ids, terms = column("id"), pc.split_pattern(column("terms"), " ")
         coded = terms.flatten().dictionary_encode()
         self.words, self.codes = coded.dictionary, coded.indices.to_numpy()
-        self.idf_of = np.zeros(len(self.words))
+        self.idf_of, self.line_of = np.zeros(len(self.words)), np.empty(len(self.words), np.int32)
         length = pc.list_value_length(terms).to_numpy().astype(np.int64)
         self.ends = np.append(0, np.cumsum(length))
         if "tfs" in rows.column_names:
@@ -349,7 +408,7 @@ class _Group:
     def block(self, kind: str) -> _Block:
         if kind not in self.blocks:
             a, b = self.spans[kind]
-            self.blocks[kind] = _Block(self.ends[a : b + 1], self.codes, self.weights)
+            self.blocks[kind] = _Block(self.ends[a : b + 1], self.codes, self.weights, self.line_of)
         return self.blocks[kind]
 
     def answer(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
@@ -366,17 +425,18 @@ class _Group:
         who, places, values, shared, room = [], [], [], [], np.empty(0, np.float32)
         for kind, all_queries in of.items():
             block = self.block(kind)
-            together = min(len(all_queries), max(1, SCORES_BYTES // (4 * block.n)))
+            words = []
+            for q in all_queries:
+                mine = codes[ends[q] : ends[q + 1]]
+                words.append((mine[mine >= 0], idf[ends[q] : ends[q + 1]][mine >= 0]))
+            order = block.alike(words)
+            together = min(len(order), TOGETHER, max(1, SCORES_BYTES // (4 * block.n)))
             if len(room) < together * block.n:
                 room = np.empty(together * block.n, np.float32)
-            for i in range(0, len(all_queries), together):
-                some = all_queries[i : i + together]
-                words = []
-                for q in some:
-                    mine = codes[ends[q] : ends[q + 1]]
-                    words.append((mine[mine >= 0], idf[ends[q] : ends[q + 1]][mine >= 0]))
-                for q, at, value, common in block.best(words, k, self.idf_of, room):
-                    who.append(np.array(some)[q])
+            for i in range(0, len(order), together):
+                some = order[i : i + together]
+                for q, at, value, common in block.best([words[q] for q in some], k, self.idf_of, room):
+                    who.append(np.array(all_queries)[some[q]])
                     places.append(at + self.spans[kind][0])
                     values.append(value)
                     shared.append(common)
